@@ -6,12 +6,12 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 _BLOCK = 64
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def sha3_256_hex(ids: pd.Series) -> pd.Series:
     """SHA3-256 has no Spark built-in; each distinct id of an Arrow batch is hashed once."""
     codes, distinct = pd.factorize(ids)

@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from .risk import FEATURES, feature_vector, model_score, rule_score
 
@@ -23,7 +23,7 @@ def score_with(features: Column, load_model: Callable[[], Predict] | None = None
         return rule_score(features)
     width = len(FEATURES)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         run = load_model()
         for vectors in batches:

@@ -34,7 +34,8 @@ def density_curve(df: DataFrame, score: str = "anomaly_score", points: int = 200
 
 
 def percentile_label(pct: Column) -> Column:
-    return F.concat(F.format_number(pct, 1), F.lit("th"))
+    """One decimal, half up on the two decimals shown."""
+    return F.concat(F.round(pct.cast("decimal(5,2)"), 1).cast("string"), F.lit("th"))
 
 
 def outlier_percentiles(df: DataFrame, score: str = "anomaly_score") -> DataFrame:

@@ -111,7 +111,7 @@ _PCT = f"round(({cdf('z')}) * 100, 2)"
 
 
 @query(f"""{views('stats')} SELECT txn_id, anomaly_score, {_PCT} AS percentile, round(density, 6) AS density,
-    printf('%.1fth', {_PCT}) AS label
+    CAST(round(CAST({_PCT} AS DECIMAL(5, 2)), 1) AS VARCHAR) || 'th' AS label
     FROM (SELECT txn_id, anomaly_score, (anomaly_score - mu) / sigma AS z,
                  greatest(exp(-0.5 * power((anomaly_score - mu) / sigma, 2)) / (sigma * sqrt(2 * pi())), 1e-9) AS density
           FROM ledger, stats)""")
@@ -120,7 +120,7 @@ def outlier_percentiles(spark, sf):
     placed = distribution.outlier_percentiles(fx.ledger(spark, sf).select("txn_id", "anomaly_score"))
     return placed.select(
         "txn_id", "anomaly_score", "percentile", F.round("density", 6).alias("density"),
-        F.concat(F.format_string("%.1f", "percentile"), F.lit("th")).alias("label"),
+        distribution.percentile_label(F.col("percentile")).alias("label"),
     )
 
 
