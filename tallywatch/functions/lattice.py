@@ -19,14 +19,18 @@ from ..schemas import LWE_K, LWE_N, LWE_Q
 
 PAYLOAD_BYTES = 2 * (LWE_K + 1) * LWE_N
 
-_POPCOUNT4 = np.array([bin(i).count("1") for i in range(16)], dtype=np.int16)
+_BALANCE = np.array([bin(b & 15).count("1") - bin(b >> 4).count("1") for b in range(256)], dtype=np.int8)
 
 
-def small_poly(seed: bytes, nonce: int) -> np.ndarray:
-    """Centred binomial coefficients: bits of the low nibble minus bits of the high one."""
-    stream = hashlib.shake_256(seed + nonce.to_bytes(2, "little")).digest(2 * LWE_N)
-    taken = np.frombuffer(stream, dtype=np.uint8, count=LWE_N)
-    return _POPCOUNT4[taken & 15] - _POPCOUNT4[taken >> 4]
+def small_polys(seeds: list[bytes], count: int) -> np.ndarray:
+    """Centred binomial coefficients, ``count`` polynomials per seed in one row each.
+
+    A coefficient is the bits of a byte's low nibble minus those of its high one.
+    """
+    suffixes = [nonce.to_bytes(2, "little") for nonce in range(count)]
+    stream = b"".join(hashlib.shake_256(seed + s).digest(LWE_N) for seed in seeds for s in suffixes)
+    taken = np.frombuffer(stream, dtype=np.uint8).reshape(len(seeds), count * LWE_N)
+    return _BALANCE[taken]
 
 
 def uniform_poly(seed: bytes, row: int, col: int) -> np.ndarray:
@@ -47,8 +51,8 @@ def multiplier(poly: np.ndarray) -> np.ndarray:
 def public_matrix(seed: bytes) -> np.ndarray:
     """Stack u = A^T r and v = t0 r0 into one (3N x 2N) matrix, entries centred mod q."""
     a = [[uniform_poly(seed, i, j) for j in range(LWE_K)] for i in range(LWE_K)]
-    secret = [small_poly(seed, i) for i in range(LWE_K)]
-    t0 = small_poly(seed, LWE_K) + sum(multiplier(a[0][j]) @ secret[j] for j in range(LWE_K))
+    small = small_polys([seed], 2 * LWE_K).reshape(2 * LWE_K, LWE_N).astype(np.int64)
+    t0 = small[LWE_K] + sum(multiplier(a[0][j]) @ small[j] for j in range(LWE_K))
     blocks = [[multiplier(a[j][i]) for j in range(LWE_K)] for i in range(LWE_K)]
     blocks.append([multiplier(t0 % LWE_Q)] + [np.zeros((LWE_N, LWE_N), dtype=np.int64)] * (LWE_K - 1))
     stacked = np.block(blocks) % LWE_Q
@@ -57,17 +61,17 @@ def public_matrix(seed: bytes) -> np.ndarray:
 
 def commit_batch(matrix: np.ndarray, nonces: list[bytes], amounts: np.ndarray, bits: int) -> np.ndarray:
     """Payload coefficients (n x 3N, uint16) for n transactions."""
-    draws = np.stack([np.concatenate([small_poly(r, i) for i in range(2 * LWE_K + 1)]) for r in nonces])
+    draws = small_polys(nonces, 2 * LWE_K + 1)
     width = LWE_K * LWE_N
-    product = draws[:, :width].astype(np.float32) @ matrix.T
-    out = product.astype(np.int64) + draws[:, width:]
+    out = draws[:, :width].astype(np.float32) @ matrix.T
+    out += draws[:, width:]
     message = (amounts[:, None] >> np.arange(bits)) & 1
     out[:, width:width + bits] += message * (LWE_Q // 2)
-    return (out % LWE_Q).astype("<u2")
+    return (out.astype(np.int32) % LWE_Q).astype("<u2")
 
 
 def commit_batches(
-    batches: Iterator[pd.DataFrame], matrix: np.ndarray, bits: int, chunk: int = 2048
+    batches: Iterator[pd.DataFrame], matrix: np.ndarray, bits: int, chunk: int = 1024
 ) -> Iterator[pd.DataFrame]:
     """Add payload and binding hash to batches that carry ``nonce_hex`` and ``amount_cents``."""
     for batch in batches:

@@ -17,7 +17,8 @@ def score_with(features: Column, load_model: Callable[[], Predict] | None = None
     """Score the nine features with a model, or with the rules when none is given.
 
     ``load_model`` runs once per task and returns a function from an (n, 9)
-    matrix to n raw outputs; batches reach it over Arrow.
+    matrix to n raw outputs; batches reach it over Arrow. It is marked
+    non-deterministic so that no plan runs it twice; filter before scoring.
     """
     if load_model is None:
         return rule_score(features)
@@ -30,4 +31,4 @@ def score_with(features: Column, load_model: Callable[[], Predict] | None = None
             matrix = np.stack(vectors.to_numpy()) if len(vectors) else np.empty((0, width))
             yield pd.Series(np.asarray(run(matrix), dtype=np.float64).reshape(-1))
 
-    return model_score(predict(feature_vector(features)))
+    return model_score(predict.asNondeterministic()(feature_vector(features)))

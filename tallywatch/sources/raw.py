@@ -34,12 +34,16 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
 
 
 def parse_raw(feed: DataFrame, value: str = "value") -> DataFrame:
-    """JSON text to raw columns; ``malformed`` marks text that is no JSON object."""
+    """JSON text to raw columns; ``malformed`` marks text that is no JSON object.
+
+    The text is parsed below a one-element explode: later filters on the parsed
+    fields are not pushed through it, which would parse each text once per use.
+    """
     parsed = F.from_json(
         F.col(value), _PARSE_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _CORRUPT}
     )
     keep = [c for c in feed.columns if c != value]
-    out = feed.select(*keep, F.col(value), parsed.alias("_p"))
+    out = feed.select(*keep, F.col(value), F.explode(F.array(parsed)).alias("_p"))
     malformed = F.col("_p").isNull() | F.col(f"_p.{_CORRUPT}").isNotNull() | ~F.ltrim(F.col(value)).startswith("{")
     return out.select(
         *keep,

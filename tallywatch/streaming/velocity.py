@@ -1,6 +1,6 @@
 """Exact trailing counts per account over a stream, equal to the batch operator.
 
-Arrivals are kept in a folder by hour and batch. Each micro-batch emits the
+Arrivals are kept in a folder by six-hour chunk and batch, sorted by time. Each micro-batch emits the
 rows the watermark has passed, counted by the batch operator over them and one
 window before. So a hot account is split like in batch, nothing lives in
 executor memory between batches, and a retried batch rewrites the same files.
@@ -18,11 +18,14 @@ from ..operators.velocity import velocity
 from .sinks import parquet_sink
 
 
+CHUNK_NS = 6 * HOUR_NS
+
+
 def _history(spark: SparkSession, out: str, low: int, high: int) -> DataFrame:
-    """Arrivals with low <= timestamp_ns < high; only those hours are listed."""
-    hours = ",".join(str(h) for h in range(low // HOUR_NS, high // HOUR_NS + 1))
-    path = f"{out}/history/hour={{{hours}}}"
-    rows = spark.read.option("basePath", f"{out}/history").parquet(path).drop("hour", "batch_id")
+    """Arrivals with low <= timestamp_ns < high; only their chunks are listed."""
+    chunks = ",".join(str(c) for c in range(low // CHUNK_NS, high // CHUNK_NS + 1))
+    path = f"{out}/history/chunk={{{chunks}}}"
+    rows = spark.read.option("basePath", f"{out}/history").parquet(path).drop("chunk", "batch_id")
     return rows.where((F.col("timestamp_ns") >= low) & (F.col("timestamp_ns") < high))
 
 
@@ -55,10 +58,11 @@ def velocity_batch(out: str, key: str = "account_hash", window_s: int = 3600, de
                 return
             late = F.lit(False) if mark is None else F.col("timestamp_ns") < mark
             fresh = rows.where(~late).withColumns({
-                "hour": floor_div(F.col("timestamp_ns"), HOUR_NS), "batch_id": F.lit(batch_id)
+                "chunk": floor_div(F.col("timestamp_ns"), CHUNK_NS), "batch_id": F.lit(batch_id)
             })
-            (fresh.hint("rebalance", "hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("hour", "batch_id").parquet(f"{out}/history"))
+            spread = fresh.hint("rebalance", "chunk").sortWithinPartitions("chunk", "timestamp_ns")
+            (spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+             .partitionBy("chunk", "batch_id").parquet(f"{out}/history"))
             write("late", rows.where(late), batch_id)
         finally:
             rows.unpersist()
