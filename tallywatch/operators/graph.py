@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..session import shared_dir
+from ..session import work_dir
 
 
 def transfer_edges(txns: DataFrame, src: str = "account_id", dst: str = "counterparty_id") -> DataFrame:
@@ -21,33 +21,48 @@ def _salt(col: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(col), F.lit(salts))
 
 
+def _spread(frontier: DataFrame, salts: int) -> DataFrame:
+    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
+    return frontier.select(F.col("node").alias("dst"), copies.alias("salt"))
+
+
+def _bucketed_by_target(edges: DataFrame, salts: int, path: str) -> tuple[DataFrame, str]:
+    """Edges as a table bucketed by (dst, salt), so that no hop shuffles them again."""
+    spark = edges.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = "edges_" + path.rsplit("-", 1)[-1]
+    salted = (
+        edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct()
+        .withColumn("salt", _salt(F.col("src"), salts))
+    )
+    writer = salted.repartition(buckets, "dst", "salt").write.bucketBy(buckets, "dst", "salt")
+    writer.option("path", path).saveAsTable(name)
+    return spark.table(name), name
+
+
 def hops_to_blacklist(edges: DataFrame, blacklist: DataFrame, max_hops: int = 5, salts: int = 16) -> DataFrame:
     """Least number of transfers from each node to a blacklisted one, up to ``max_hops``.
 
     ``edges`` has (src, dst), ``blacklist`` has (node). A breadth-first search
-    against the edge direction: each hop joins the frontier to the edges that
-    end in it, keeps each new node once, and is checkpointed to the shared
-    folder. Edges into a hub are spread over ``salts`` tasks by their source;
-    the narrow frontier is repeated to match.
+    against the edge direction. The edges are written once, bucketed by the
+    node they end in; each hop joins the frontier to them, keeps each new node
+    once, and is checkpointed, both in the shared folder. Edges into a hub are
+    spread over ``salts`` buckets by their source; the narrow frontier is
+    repeated to match.
     """
-    shared_dir(edges.sparkSession)
-    incoming = (
-        edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct()
-        .withColumn("salt", _salt(F.col("src"), salts))
-        .repartition("dst", "salt")
-        .checkpoint()
-    )
-    frontier = blacklist.select("node").distinct().withColumn("hops", F.lit(0)).checkpoint()
-    reached = frontier
-    for hop in range(1, max_hops + 1):
-        spread = frontier.select(
-            F.col("node").alias("dst"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-        ).withColumn("salt", F.col("salt").cast("bigint"))
-        found = incoming.join(spread, ["dst", "salt"]).select(F.col("src").alias("node")).distinct()
-        frontier = (
-            found.join(reached.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)).checkpoint()
-        )
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier)
-    return reached
+    spark = edges.sparkSession
+    incoming, name = _bucketed_by_target(edges, salts, work_dir(spark, "edges"))
+    try:
+        frontier = blacklist.select("node").distinct().withColumn("hops", F.lit(0)).checkpoint()
+        reached = frontier
+        for hop in range(1, max_hops + 1):
+            found = incoming.join(_spread(frontier, salts), ["dst", "salt"]).select(F.col("src").alias("node")).distinct()
+            new = found.join(reached.select("node"), "node", "left_anti")
+            frontier = new.withColumn("hops", F.lit(hop)).checkpoint()
+            if frontier.isEmpty():
+                break
+            reached = reached.unionByName(frontier)
+        return reached
+    finally:
+        # the name only; the files stay in the shared folder
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from ..functions.ratios import percent
 from ..functions.timeparts import NS
+from .throughput import lifetime_rate
 
 
 def status_stats(ledger: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -20,6 +21,22 @@ def status_stats(ledger: DataFrame, by: list[str] | None = None) -> DataFrame:
     return counted.withColumn("chain_integrity_pct", percent(F.col("verified"), F.col("total"), 1))
 
 
+def overview(ledger: DataFrame, checked: DataFrame) -> DataFrame:
+    """One row of figures: ledger totals, lifetime rate, and outcomes of the signature and data checks."""
+    passed = F.filter("checks", lambda c: c["status"] == "FAIL")["check"]
+    checks = checked.select(passed.alias("failed")).agg(F.struct(
+        F.count_if(~F.array_contains("failed", "SIGNATURE")).alias("signature_verified"),
+        F.count_if(F.array_contains("failed", "SIGNATURE")).alias("signature_failed"),
+        F.count_if(F.array_contains("failed", "PII_ASSERTION")).alias("pii_failed"),
+    )).scalar()
+    totals = status_stats(ledger).withColumn("_c", checks)
+    rate = lifetime_rate(ledger).select("tps").scalar()
+    return totals.select(
+        rate.alias("tps"), F.col("total").alias("total_commitments"), "verified", "quarantined", "rejected",
+        "chain_integrity_pct", "_c.signature_verified", "_c.signature_failed", "_c.pii_failed",
+    )
+
+
 def batch_summary(results: DataFrame, ts: str = "timestamp_ns") -> DataFrame:
     """One row per ``batch_id`` over results with a ``status``; time is the span of event time."""
     counted = results.groupBy("batch_id").agg(

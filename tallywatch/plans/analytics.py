@@ -8,6 +8,7 @@ from ..functions.digits import EXPECTED_PCT, hash_digit, leading_digit
 from ..functions.normal import normal_cdf
 from ..functions.risk import flag_reason, model_score, watch_list_hops
 from ..operators import benford, distribution, feeds, status, throughput
+from ..operators.envelope import check_envelopes
 from ..sources.raw import union_topics
 from ..streaming.commits import fan_out
 from . import fixtures as fx
@@ -287,3 +288,15 @@ def component_health(spark, sf):
 def stage_nodes(spark, sf):
     """Stage states from measured figures."""
     return status.stage_nodes(metrics(spark, sf))
+
+
+@query(f"""{views('ledger', 'checks')} SELECT (SELECT round(count(*) / {_ELAPSED}, 9) FROM ledger) AS tps,
+    (SELECT count(*) FROM ledger) AS total_commitments, (SELECT count(*) FROM ledger WHERE status = 'VERIFIED') AS verified,
+    (SELECT count(*) FROM ledger WHERE status = 'QUARANTINED') AS quarantined, 0 AS rejected,
+    (SELECT {percent("count(*) FILTER (status = 'VERIFIED')", 'count(*)', 1)} FROM ledger) AS chain_integrity_pct,
+    (SELECT count(*) FROM envelopes) AS signature_verified, 0 AS signature_failed,
+    (SELECT count(*) FROM checks WHERE "check" = 'PII_ASSERTION' AND status = 'FAIL') AS pii_failed""")
+def audit_overview(spark, sf):
+    """Ledger totals, rate and check outcomes in one row."""
+    row = status.overview(fx.ledger(spark, sf), check_envelopes(fx.envelopes(spark, sf)))
+    return row.withColumn("tps", F.round("tps", 9))

@@ -82,6 +82,11 @@ def export_ledger_v2(records: DataFrame) -> DataFrame:
     return have.select(*[F.lit(0).alias(c) if c == "pii_bytes" else F.col(c) for c in EXPORT_V2_COLS])
 
 
+def write_export(ledger: DataFrame, path: str, fmt: str = "json") -> None:
+    """The export as files, JSON lines or any other Spark format."""
+    export_ledger(ledger).write.mode("errorifexists").format(fmt).save(path)
+
+
 def write_vault(ledger: DataFrame, path: str) -> None:
     """Append-only Parquet archive by day."""
     append_ledger(ledger, path)
