@@ -19,16 +19,15 @@ def oldest(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy("timestamp_ns", "txn_id").limit(n)
 
 
-def last_per_topic(df: DataFrame, n: int = 500, topics: list[str] | None = None) -> DataFrame:
+def last_per_topic(df: DataFrame, topics: list[str], n: int = 500) -> DataFrame:
     """The n newest rows of each topic, numbered.
 
-    With the topics named, each is a distributed top-n that keeps n rows per
-    task. Otherwise Spark limits the ranks before the shuffle.
+    Each topic is a distributed top-n that keeps n rows per task; only those
+    winners are numbered.
     """
     newest_first = Window.partitionBy("topic").orderBy(F.col("timestamp_ns").desc(), F.col("txn_id").desc())
-    if topics:
-        df = reduce(DataFrame.unionByName, [newest(df.where(F.col("topic") == t), n) for t in topics])
-    return df.withColumn("rank", F.row_number().over(newest_first)).where(F.col("rank") <= n)
+    winners = reduce(DataFrame.unionByName, [newest(df.where(F.col("topic") == t), n) for t in topics])
+    return winners.withColumn("rank", F.row_number().over(newest_first))
 
 
 def alert_feed(anomalies: DataFrame, n: int = 10) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.cases import choose
+from ..functions.joins import spread_join
 
 # Review actions and the state they lead to.
 ACTIONS = {"AUTHORIZE": "VERIFIED", "TERMINATE": "REJECTED", "QUARANTINE": "QUARANTINED"}
@@ -32,7 +33,7 @@ def resolve_errors(ledger: DataFrame, actions: DataFrame) -> DataFrame:
         "txn_id", "action", F.lit(400).alias("code"),
         F.concat(F.lit("Unknown action: "), F.coalesce("action", F.lit("None"))).alias("detail"),
     )
-    lost = actions.where(known).join(ledger.select("txn_id"), "txn_id", "left_anti").select(
+    lost = spread_join(actions.where(known), ledger.select("txn_id"), ["txn_id"], "left_anti").select(
         "txn_id", "action", F.lit(404).alias("code"),
         F.concat(F.lit("TXN "), F.col("txn_id"), F.lit(" not found")).alias("detail"),
     )

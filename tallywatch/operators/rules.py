@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.cases import choose
 from ..functions.digits import leading_digit
+from ..functions.joins import spread_join
 from ..functions.timeparts import is_offhours
 from ..schemas import CURRENCIES, TXN_TYPES
 from .velocity import velocity
@@ -51,7 +52,8 @@ def unusual_place(df: DataFrame, place: Column, usual_visits: int = 2) -> DataFr
         .where(F.col("_n") >= usual_visits).drop("_n")
     )
     night = located.where(is_offhours(F.col("timestamp_ns")))
-    return _hits(night.join(usual, ["account_id", "_place"], "left_anti"), "UNUSUAL_PLACE", F.lit(True))
+    strange = spread_join(night, usual, ["account_id", "_place"], "left_anti")
+    return strange.select("txn_id", F.lit("UNUSUAL_PLACE").alias("rule"))
 
 
 def velocity_burst(df: DataFrame, least: int = 3, window_s: int = 3600) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import risk
+from ..functions.joins import spread_join
 from ..functions.model import score_with
 from .velocity import velocity
 
@@ -33,9 +34,9 @@ def with_score(featured: DataFrame, load_model: Callable | None = None, threshol
 
 
 def anomaly_detail(ledger: DataFrame, scored: DataFrame) -> DataFrame:
-    """Ledger records with the score computed where the amounts are known."""
+    """Ledger records, one per id, with the score computed where the amounts are known."""
     extra = scored.select(
         "txn_id", "counterparty_hash", "score", "reconstruction_loss", "hops", "flag_reason", "features",
         "behavioral_delta",
     )
-    return ledger.join(extra, "txn_id")
+    return spread_join(ledger, extra, ["txn_id"], "inner")

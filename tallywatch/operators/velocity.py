@@ -29,18 +29,23 @@ def instant_velocity(
         floor_div(F.col(ts), span).alias("_slot"), F.pmod(F.col(ts), F.lit(span)).alias("_off"),
     )
 
-    # totals of the L slots before each slot, within blocks of L slots: a slot
-    # is also visible to the next block, so each block sees its full look-back
+    # Totals of the L slots before each slot, by the same idea one level up:
+    # within a block of L slots the sum starts at the previous block's total,
+    # gains the slots passed and loses the previous block's as they expire.
     block = floor_div(F.col("_slot"), slots)
-    totals = (
-        placed.groupBy(key, "_slot").agg(F.sum("_n").alias("_n"))
-        .select(key, "_slot", "_n", block.alias("_home"), F.explode(F.array(block, block + 1)).alias("_block"))
-    )
-    look_back = Window.partitionBy(key, "_block").orderBy("_slot").rangeBetween(-slots, -1)
+    zero = F.lit(0).cast("bigint")
+    own = F.struct(block.alias("block"), F.col("_slot").alias("at"), F.col("_n").alias("delta"), zero.alias("carry"),
+                   F.col("_slot").alias("slot"))
+    previous = F.struct((block + 1).alias("block"), (F.col("_slot") + F.lit(slots)).alias("at"),
+                        (-F.col("_n")).alias("delta"), F.col("_n").alias("carry"), F.lit(None).cast("bigint").alias("slot"))
+    totals = placed.groupBy(key, "_slot").agg(F.sum("_n").alias("_n"))
+    entries = totals.select(key, F.explode(F.array(own, previous)).alias("_e")).select(key, "_e.*")
+    whole = Window.partitionBy(key, "block")
+    passed = whole.orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     before = (
-        totals.withColumn("_prior", F.coalesce(F.sum("_n").over(look_back), F.lit(0)))
-        .where(F.col("_block") == F.col("_home"))
-        .where(F.col("_prior") > 0)
+        entries.withColumn("_prior", F.sum("carry").over(whole) + F.coalesce(F.sum("delta").over(passed), zero))
+        .where(F.col("slot").isNotNull() & (F.col("_prior") > 0))
+        .select(key, F.col("slot").alias("_slot"), "_prior")
     )
 
     arrivals = F.struct(F.col("_slot").alias("slot"), F.col("_n").alias("delta"), F.col("_ts").alias("ts"))

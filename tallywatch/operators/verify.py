@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.joins import spread_join
 from ..schemas import LWE_K, LWE_N, LWE_Q
 from .commit import bind
 
@@ -14,7 +15,7 @@ def lookup(ids: DataFrame, ledger: DataFrame, ignore_case: bool = False) -> Data
     stored = ledger.withColumnRenamed("txn_id", "ledger_txn_id")
     held = F.lower("ledger_txn_id") if ignore_case else F.col("ledger_txn_id")
     keyed = stored.withColumn("_key", held)
-    joined = ids.withColumn("_key", wanted).join(keyed, "_key", "left").drop("_key")
+    joined = spread_join(ids.withColumn("_key", wanted), keyed, ["_key"], "left").drop("_key")
     return joined.withColumn("found", F.col("ledger_txn_id").isNotNull()).drop("ledger_txn_id")
 
 
@@ -28,7 +29,7 @@ def verify_claims(claims: DataFrame, ledger: DataFrame, key: bytes, binding: str
         "txn_id", "amount_cents", F.col("binding_hash").alias("recomputed_hash")
     )
     stored = ledger.select("txn_id", F.col("binding_hash").alias("stored_hash"))
-    joined = recomputed.join(stored, "txn_id", "left")
+    joined = spread_join(recomputed, stored, ["txn_id"], "left")
     outcome = (
         F.when(F.col("stored_hash").isNull(), F.lit("NOT_FOUND"))
         .when(F.col("stored_hash") == F.col("recomputed_hash"), F.lit("VERIFIED"))

@@ -220,7 +220,7 @@ _TOPICS = """feed AS (SELECT 'committed' AS topic, * FROM ledger
 def last_500_per_topic(spark, sf):
     """Snapshot of the newest records of each topic."""
     feed = union_topics(fan_out(fx.ledger(spark, sf)))
-    return feeds.last_per_topic(feed, 500).select("topic", "txn_id", "timestamp_ns", "rank")
+    return feeds.last_per_topic(feed, ["committed", "anomalies"], 500).select("topic", "txn_id", "timestamp_ns", "rank")
 
 
 @query(f"""{views('ledger')} SELECT txn_id, timestamp_ns, status FROM ledger ORDER BY timestamp_ns DESC, txn_id DESC LIMIT 50""")

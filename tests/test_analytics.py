@@ -115,10 +115,10 @@ def test_feeds(spark):
     assert [r["timestamp_ns"] for r in feeds.newest(df, 3).collect()] == [39, 38, 37]
     assert [r["timestamp_ns"] for r in feeds.oldest(df, 2).collect()] == [0, 1]
     both = union_topics({"a": df, "b": df.where("timestamp_ns < 5")})
-    for topics in (None, ["a", "b"]):
-        got = feeds.last_per_topic(both, 7, topics).collect()
-        assert sorted(r["timestamp_ns"] for r in got if r["topic"] == "a") == list(range(33, 40))
-        assert sorted(r["timestamp_ns"] for r in got if r["topic"] == "b") == list(range(5))
+    got = feeds.last_per_topic(both, ["a", "b"], 7).collect()
+    assert sorted(r["timestamp_ns"] for r in got if r["topic"] == "a") == list(range(33, 40))
+    assert sorted(r["timestamp_ns"] for r in got if r["topic"] == "b") == list(range(5))
+    assert {r["rank"]: r["timestamp_ns"] for r in got if r["topic"] == "b"} == {i + 1: 4 - i for i in range(5)}
     assert route(both, ["a", "b"])["b"].count() == 5
 
 
