@@ -7,14 +7,22 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import work_dir
 
 
-def transfer_edges(txns: DataFrame, src: str = "account_id", dst: str = "counterparty_id") -> DataFrame:
-    """Distinct directed transfers."""
-    pairs = txns.select(F.col(src).alias("src"), F.col(dst).alias("dst"))
-    return pairs.where(F.col("src") != F.col("dst")).distinct()
+def transfer_edges(
+    txns: DataFrame, src: str = "account_id", dst: str = "counterparty_id", both_ways: bool = False
+) -> DataFrame:
+    """Distinct transfers (src, dst), without transfers to oneself.
 
-
-def undirected(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    ``both_ways`` counts a transfer as a link in either direction: pairs are
+    made distinct without regard to direction, then each is given twice.
+    """
+    pairs = txns.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where(F.col("src") != F.col("dst"))
+    if not both_ways:
+        return pairs.distinct()
+    links = pairs.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    sides = F.array(
+        F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst"))
+    )
+    return links.select(F.explode(sides).alias("e")).select("e.*")
 
 
 def _salt(col: Column, salts: int) -> Column:
@@ -31,10 +39,7 @@ def _bucketed_by_target(edges: DataFrame, salts: int, path: str) -> tuple[DataFr
     spark = edges.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = "edges_" + path.rsplit("-", 1)[-1]
-    salted = (
-        edges.select("src", "dst").where(F.col("src") != F.col("dst")).distinct()
-        .withColumn("salt", _salt(F.col("src"), salts))
-    )
+    salted = edges.select("src", "dst").withColumn("salt", _salt(F.col("src"), salts))
     writer = salted.repartition(buckets, "dst", "salt").write.bucketBy(buckets, "dst", "salt")
     writer.option("path", path).saveAsTable(name)
     return spark.table(name), name
@@ -43,7 +48,7 @@ def _bucketed_by_target(edges: DataFrame, salts: int, path: str) -> tuple[DataFr
 def hops_to_blacklist(edges: DataFrame, blacklist: DataFrame, max_hops: int = 5, salts: int = 16) -> DataFrame:
     """Least number of transfers from each node to a blacklisted one, up to ``max_hops``.
 
-    ``edges`` has (src, dst), ``blacklist`` has (node). A breadth-first search
+    ``edges`` comes from :func:`transfer_edges`, ``blacklist`` has (node). A breadth-first search
     against the edge direction. The edges are written once, bucketed by the
     node they end in; each hop joins the frontier to them, keeps each new node
     once, and is checkpointed, both in the shared folder. Edges into a hub are

@@ -9,7 +9,7 @@ from ..functions import risk as rk
 from ..functions.digits import benford_deviation
 from ..functions.timeparts import hour_of_day, is_offhours, is_weekend, weekday
 from ..operators import rules
-from ..operators.graph import hops_to_blacklist, transfer_edges, undirected
+from ..operators.graph import hops_to_blacklist, transfer_edges
 from ..operators.proximity import proximity_edges
 from ..operators.scoring import anomaly_detail, with_features, with_score
 from ..operators.velocity import velocity
@@ -193,7 +193,7 @@ def overdrawn_supplier_hops(spark, sf):
     listed = fx.table(spark, sf, "supplier").where("s_acctbal < 0").select(
         F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("node")
     )
-    return hops_to_blacklist(undirected(transfer_edges(deals)), listed)
+    return hops_to_blacklist(transfer_edges(deals, both_ways=True), listed)
 
 
 LIMITS, GAP = [10_000_000, 20_000_000, 40_000_000], 100_000

@@ -4,7 +4,7 @@ from collections import defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
-from tallywatch.operators.graph import hops_to_blacklist, transfer_edges, undirected
+from tallywatch.operators.graph import hops_to_blacklist, transfer_edges
 from tallywatch.operators.proximity import proximity_edges
 from tallywatch.operators.velocity import velocity
 
@@ -90,9 +90,11 @@ def test_hops_match_breadth_first_search(spark, most):
     assert len(rows) == len(dict(rows)) and dict(rows) == walk(edges, listed, most)
 
 
-def test_undirected(spark):
-    df = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "b")], "src string, dst string")
-    assert {tuple(r) for r in undirected(df).collect()} == {("a", "b"), ("b", "a"), ("c", "b"), ("b", "c")}
+def test_edges(spark):
+    df = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "b"), ("c", "b"), ("d", "d")], "src string, dst string")
+    both = transfer_edges(df, "src", "dst", both_ways=True).collect()
+    assert sorted(tuple(r) for r in both) == [("a", "b"), ("b", "a"), ("b", "c"), ("c", "b")]
+    assert sorted(tuple(r) for r in transfer_edges(df, "src", "dst").collect()) == [("a", "b"), ("b", "a"), ("c", "b")]
 
 
 @pytest.mark.parametrize("hops, nodes, label", [(1, 0, "1 HOP"), (2, 1, "2 HOPS"), (5, 4, "5 HOPS"), (6, 4, "6 HOPS"), (8, 4, "8 HOPS")])
