@@ -34,7 +34,9 @@ def rate_history(
     """The last ``bars`` buckets up to the newest event, empty ones as zero."""
     newest = df.agg(floor_div(F.max(ts), bucket_s * NS).alias("b"))
     end = newest.scalar() if end_bucket is None else end_bucket
-    recent = per_bucket(df, bucket_s, ts).where(F.col("bucket") > end - F.lit(bars))
+    # bounds on the stored time itself, so that files and row groups can be skipped
+    first_ns, end_ns = (end - F.lit(bars - 1)) * F.lit(bucket_s * NS), (end + 1) * F.lit(bucket_s * NS)
+    recent = per_bucket(df.where((F.col(ts) >= first_ns) & (F.col(ts) < end_ns)), bucket_s, ts)
     spine = newest.select(
         F.explode(F.sequence(F.lit(0), F.lit(bars - 1))).alias("bar"),
         F.coalesce(F.col("b") if end_bucket is None else end_bucket, F.lit(0)).alias("_end"),

@@ -100,7 +100,7 @@ def score_distribution(spark, sf):
 
 @query(f"""{views('stats')}, span AS (SELECT *, greatest(0.0, mu - 4 * sigma) AS low, least(1.0, mu + 4 * sigma) AS high,
                                       unnest(range(200)) AS i FROM stats)
-    SELECT i, round(x, 6) AS x, round(exp(-0.5 * power((x - mu) / sigma, 2)) / (sigma * sqrt(2 * pi())), 6) AS y
+    SELECT CAST(i AS INTEGER) AS i, round(x, 6) AS x, round(exp(-0.5 * power((x - mu) / sigma, 2)) / (sigma * sqrt(2 * pi())), 6) AS y
     FROM (SELECT *, low + (high - low) * i / 199.0 AS x FROM span)""")
 def density_curve(spark, sf):
     """200 points of the fitted density."""
@@ -181,7 +181,7 @@ _HISTORY = """buckets AS (SELECT timestamp_ns // 3600000000000 AS b, count(*) AS
                 FROM (SELECT unnest(range(30)) AS bar, max(b) AS last FROM buckets) LEFT JOIN buckets ON b = last - 29 + bar)"""
 
 
-@query(f"{views('raw')}, {_HISTORY} SELECT bar, '-' || CAST(30 - bar AS VARCHAR) || 's' AS label, round(tps, 9) AS tps FROM history")
+@query(f"{views('raw')}, {_HISTORY} SELECT CAST(bar AS INTEGER) AS bar, '-' || CAST(30 - bar AS VARCHAR) || 's' AS label, round(tps, 9) AS tps FROM history")
 def tps_history(spark, sf):
     """The last thirty hourly samples, gaps as zero."""
     return throughput.rate_history(fx.raw_txns(spark, sf), 30, 3600).withColumn("tps", F.round("tps", 9))
@@ -214,7 +214,7 @@ _TOPICS = """feed AS (SELECT 'committed' AS topic, * FROM ledger
                       UNION ALL SELECT 'anomalies', * FROM ledger WHERE anomaly_score >= 0.75)"""
 
 
-@query(f"""{views('ledger')}, {_TOPICS} SELECT topic, txn_id, timestamp_ns, rank FROM (
+@query(f"""{views('ledger')}, {_TOPICS} SELECT topic, txn_id, timestamp_ns, CAST(rank AS INTEGER) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY topic ORDER BY timestamp_ns DESC, txn_id DESC) AS rank FROM feed)
     WHERE rank <= 500""")
 def last_500_per_topic(spark, sf):
@@ -292,9 +292,9 @@ def stage_nodes(spark, sf):
 
 @query(f"""{views('ledger', 'checks')} SELECT (SELECT round(count(*) / {_ELAPSED}, 9) FROM ledger) AS tps,
     (SELECT count(*) FROM ledger) AS total_commitments, (SELECT count(*) FROM ledger WHERE status = 'VERIFIED') AS verified,
-    (SELECT count(*) FROM ledger WHERE status = 'QUARANTINED') AS quarantined, 0 AS rejected,
+    (SELECT count(*) FROM ledger WHERE status = 'QUARANTINED') AS quarantined, 0::BIGINT AS rejected,
     (SELECT {percent("count(*) FILTER (status = 'VERIFIED')", 'count(*)', 1)} FROM ledger) AS chain_integrity_pct,
-    (SELECT count(*) FROM envelopes) AS signature_verified, 0 AS signature_failed,
+    (SELECT count(*) FROM envelopes) AS signature_verified, 0::BIGINT AS signature_failed,
     (SELECT count(*) FROM checks WHERE "check" = 'PII_ASSERTION' AND status = 'FAIL') AS pii_failed""")
 def audit_overview(spark, sf):
     """Ledger totals, rate and check outcomes in one row."""

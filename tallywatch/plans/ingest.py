@@ -52,7 +52,7 @@ def normalise_other_spelling(spark, sf):
 
 @query("""
     SELECT sha256('CUST-' || CAST(o_custkey AS VARCHAR) || chr(31) || CAST(epoch_us(o_orderdate) * 1000 AS VARCHAR)) AS txn_id,
-           'CUST-' || CAST(o_custkey AS VARCHAR) AS account_id, '' AS counterparty_id, 0 AS amount_cents,
+           'CUST-' || CAST(o_custkey AS VARCHAR) AS account_id, '' AS counterparty_id, 0::BIGINT AS amount_cents,
            'INR' AS currency, 'RTGS' AS txn_type, epoch_us(o_orderdate) * 1000 AS timestamp_ns
     FROM orders""")
 def normalise_model_defaults(spark, sf):

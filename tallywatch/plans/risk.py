@@ -89,7 +89,7 @@ def benford_deviations(spark, sf):
     return fx.raw_txns(spark, sf).select("txn_id", F.round(benford_deviation(F.col("amount_cents")), 9).alias("deviation"))
 
 
-@query(f"""{views('raw')} SELECT txn_id, {HOUR} AS hour, {WEEKDAY} AS weekday, {OFFHOURS} AS offhours,
+@query(f"""{views('raw')} SELECT txn_id, CAST({HOUR} AS INTEGER) AS hour, CAST({WEEKDAY} AS INTEGER) AS weekday, {OFFHOURS} AS offhours,
     {WEEKEND} AS weekend FROM raw""")
 def calendar_features(spark, sf):
     ns = F.col("timestamp_ns")
@@ -138,7 +138,7 @@ def model_scores(spark, sf):
 _MIDDLE = "greatest(least(hops - 1, 4), 0)"
 
 
-@query(f"""{views('scored')} SELECT txn_id, seq, CASE WHEN seq = 0 THEN 'source' ELSE 'hop_' || CAST(seq - 1 AS VARCHAR) END AS src,
+@query(f"""{views('scored')} SELECT txn_id, CAST(seq AS INTEGER) AS seq, CASE WHEN seq = 0 THEN 'source' ELSE 'hop_' || CAST(seq - 1 AS VARCHAR) END AS src,
     CASE WHEN seq = {_MIDDLE} THEN 'blacklist' ELSE 'hop_' || CAST(seq AS VARCHAR) END AS dst,
     CASE WHEN seq = {_MIDDLE} THEN CAST(hops AS VARCHAR) || CASE WHEN hops > 1 THEN ' HOPS' ELSE ' HOP' END
          ELSE 'TRANSFERS_TO' END AS label,

@@ -21,10 +21,11 @@ def mac(key: bytes, message: str) -> str:
 
 
 def byte_of(digest: str) -> str:
+    """Value of the first two hex characters."""
     def nibble(i: int) -> str:
         return f"(strpos('0123456789abcdef', substr({digest}, {i}, 1)) - 1)"
 
-    return f"({nibble(1)} * 16 + {nibble(2)})"
+    return f"CAST({nibble(1)} * 16 + {nibble(2)} AS INTEGER)"
 
 
 def digit_of(amount: str) -> str:
@@ -128,7 +129,7 @@ VIEWS = {
         FROM hashed""",
     "near": f"""
         SELECT *, CASE WHEN least(a, b) <= 2 THEN 1 WHEN least(a, b) <= 7 THEN 2 WHEN least(a, b) <= 14 THEN 3
-                       ELSE 4 + a % 5 END AS hops
+                       ELSE CAST(4 + a % 5 AS INTEGER) END AS hops
         FROM (SELECT *, {byte_of('account_hash')} AS a, {byte_of('counterparty_hash')} AS b FROM counted)""",
     "features": f"""
         SELECT *, CASE WHEN amount_cents > 0 THEN ln(1 + amount_cents) ELSE 0 END AS log_amount,

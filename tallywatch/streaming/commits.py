@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.commit import commit_table
 from ..operators.privacy import with_valid_signature
+from ..operators.status import ingest_counts
 from ..schemas import DEFAULT_THRESHOLD
 from ..sources.ledger import append_ledger, export_ledger
 from ..sources.raw import normalise_lenient, parse_raw, split_rejects
@@ -49,7 +50,7 @@ def commit_stream(
     trigger: dict | None = None,
     **options,
 ) -> StreamingQuery:
-    """Run the feed into ``out``/ledger and the sinks.
+    """Run the feed into ``out``/ledger and the sinks; rejects and counters go beside the ledger.
 
     Every output of a batch is replaced as a whole when the batch is retried.
     Repeated ids are kept; the ledger resolves them on read, last batch first.
@@ -67,6 +68,7 @@ def commit_stream(
                 for name, frame in outputs.items():
                     write(name, frame, batch_id)
                 parquet_sink(out)("rejects", bad, batch_id)
+                parquet_sink(out)("counters", ingest_counts(judged), batch_id)
                 run_hooks(on_committed, outputs["committed"], batch_id)
                 run_hooks(on_anomaly, outputs["anomalies"], batch_id)
             finally:

@@ -93,6 +93,8 @@ def test_rates(spark):
     assert sliding[141] == 1 and sliding[170] == 1 and len(sliding) == 61
     history = throughput.rate_history(df, 5, 10).orderBy("bar").collect()
     assert [r["tps"] for r in history] == [0.3, 0.0, 0.0, 0.0, 0.1] and [r["label"] for r in history][0] == "-5s"
+    earlier = throughput.rate_history(df, 2, 10, F.lit(10).cast("bigint")).orderBy("bar").collect()
+    assert [r["tps"] for r in earlier] == [0.0, 0.3]
     summary = throughput.rate_summary(throughput.rate_history(df, 5, 10)).first()
     assert (summary["peak"], summary["avg"]) == (0.3, 0.1)
     life = throughput.lifetime_rate(df).first()

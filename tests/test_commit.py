@@ -2,7 +2,6 @@ import base64
 import hashlib
 
 import pytest
-from pyspark.sql import functions as F
 
 from tallywatch.operators.commit import bind, commit_batch, commit_table
 from tallywatch.operators.envelope import check_counts, check_envelopes

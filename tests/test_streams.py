@@ -49,6 +49,8 @@ def test_commit_stream_fans_out_and_resumes(spark, tmp_path):
     assert read(spark, out, "committed").count() == 11
     assert sorted(r["txn_id"] for r in read(spark, out, "anomalies").collect()) == ["T11", "T8", "T9"]
     assert sorted(r["reject_reason"] for r in read(spark, out, "rejects").collect()) == ["BAD_AMOUNT", "MALFORMED_JSON"]
+    counters = read(spark, out, "counters").agg(F.sum("processed"), F.sum("errors"), F.sum("signature_failures")).first()
+    assert tuple(counters) == (11, 2, 0)
     # only the new file is read after a restart; the later write of T0 wins in the ledger
     put(src, "c", record(0, 0.99), record(12))
     run(spark, src, out)
