@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ship_package
+from ..session import ship_package, work_dir
+from .packing import pack
 from .token_counts import count_tokens
+from .token_files import read_documents, write_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,3 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @register
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
+
+
+@register
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@register
+def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work_dir(spark, "shards")
+    write_shards(table(spark, sf_dir, "documents"), path)
+    return read_documents(spark, path)
