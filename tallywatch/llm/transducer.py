@@ -57,7 +57,7 @@ class MergeTransducer:
     def _clear(self) -> None:
         self._number = {((0, -1, 0),): START}
         self._memory = [((0, -1, 0),)]
-        self._table = np.full((1024, 64), -1, np.int32)
+        self._table = np.full((1024, max(64, 2 * len(self._columns))), -1, np.int32)
         self._blank()
 
     def _blank(self) -> None:
