@@ -53,12 +53,17 @@ def binary_array(data: np.ndarray, bounds: np.ndarray) -> pa.Array:
     )
 
 
-def word_spans(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of each row: first byte, end byte, and bounds of the rows in the word list."""
+def word_spans(
+    data: np.ndarray, bounds: np.ndarray, apart: np.ndarray = _WHITE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each row: first byte, end byte, and bounds of the rows in the word list.
+
+    ``apart`` marks the bytes between words, by default those of ``[^\\x20\\x09-\\x0D]+``.
+    """
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(bounds), np.int64)
-    inner = ~_WHITE[data]
+    inner = ~apart[data]
     first = inner.copy()
     first[1:] &= ~inner[:-1]
     starts_of_rows = bounds[:-1][bounds[:-1] < len(data)]

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality, toxicity
 from ..session import ship_package, work_dir
 from .packing import pack
 from .token_counts import count_tokens
@@ -25,11 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), toxicity.held_out()
+    machine = toxicity.train(docs, table(spark, sf_dir, "labels"), training=~out)
+    return toxicity.score(docs, machine).withColumn("held_out", out)
+
+
 @register
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+@register
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, out = table(spark, sf_dir, "documents"), quality.held_out()
+    model = quality.train(docs, table(spark, sf_dir, "labels"), training=~out)
+    return quality.score(docs, model).withColumn("held_out", out)
+
+
 @register
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
