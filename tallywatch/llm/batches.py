@@ -137,15 +137,19 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np
     return hashes, out_bounds
 
 
-def distinct_per_row(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values of each row and the new bounds."""
-    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+def distinct_in_rows(values: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values of each row and the bounds of the rows; row has the row of each value, in any order."""
     order = np.lexsort((values, row))
     values, row = values[order], row[order]
     keep = np.ones(len(values), bool)
     keep[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
     values, row = values[keep], row[keep]
-    return values, np.searchsorted(row, np.arange(len(bounds)))
+    return values, np.searchsorted(row, np.arange(n_rows + 1))
+
+
+def distinct_per_row(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for values that lie row after row between the given bounds."""
+    return distinct_in_rows(values, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), len(bounds) - 1)
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

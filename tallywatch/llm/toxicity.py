@@ -13,7 +13,8 @@ from . import batches as B
 from .samples import fold_of, labelled
 
 BITS = 20
-STEMS = (4, 5, 6)
+STEMS = (4, 5, 6, 7, 8)
+REPEATS = (2, 4)
 
 
 def _apart() -> np.ndarray:
@@ -26,10 +27,17 @@ def _apart() -> np.ndarray:
 _APART = _apart()
 
 
-def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed terms of each text, repeats included, and the bounds of the texts.
+def _repeated(hashed: np.ndarray, times: int) -> np.ndarray:
+    """The term that says a term occurs so many times."""
+    return (B.mix64(hashed.astype(np.uint64) + (np.uint64(times) << np.uint64(BITS))) >> np.uint64(64 - BITS)).astype(np.int64)
 
-    Terms are lower-case words and their beginnings of 4, 5 and 6 bytes.
+
+def terms(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed terms of each text and the bounds of the texts.
+
+    Terms are lower-case words, their beginnings of 4 to 8 bytes, and for each
+    of these a term that says it occurs 2 times or more, and one for 4. With
+    ``wanted`` only marked words and beginnings, and what derives from them, are kept.
     """
     data, bounds = B.flat_bytes(column)
     data = B.lower_ascii(data)
@@ -39,10 +47,22 @@ def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         second[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
         data = np.where(second, data + np.uint8(32), data)
     starts, ends, rows = B.word_spans(data, bounds, _APART)
-    parts = [B.span_hashes(data, starts, ends)]
-    parts += [B.span_hashes(data, starts, np.minimum(ends, starts + n)) + np.uint64(n) for n in STEMS]
-    hashed = (B.mix64(np.stack(parts, 1)) >> np.uint64(64 - BITS)).astype(np.int64).ravel()
-    return hashed, rows * len(parts)
+    n = len(rows) - 1
+    word_row = np.repeat(np.arange(n), np.diff(rows))
+    parts = []
+    for size in (0, *STEMS):
+        stem = B.span_hashes(data, starts, np.minimum(ends, starts + size) if size else ends)
+        found = (B.mix64(stem + np.uint64(size)) >> np.uint64(64 - BITS)).astype(np.int64)
+        keep = slice(None) if wanted is None else wanted[found]
+        parts.append((found[keep], word_row[keep]))
+    hashed, row = np.concatenate([h for h, _ in parts]), np.concatenate([r for _, r in parts])
+    key, times = np.unique(row << BITS | hashed, return_counts=True)
+    hashed, row = key & ((1 << BITS) - 1), key >> BITS
+    more = [times >= r for r in REPEATS]
+    return B.distinct_in_rows(
+        np.concatenate([hashed, *(_repeated(hashed[m], r) for r, m in zip(REPEATS, more))]),
+        np.concatenate([row, *(row[m] for m in more)]), n,
+    )
 
 
 @dataclass
@@ -54,12 +74,18 @@ class FactorizationMachine:
     weights: np.ndarray
     factors: np.ndarray
 
+    def wanted(self) -> np.ndarray:
+        """Which words and beginnings can lead to a known feature."""
+        every = np.arange(1 << BITS)
+        known = self.place >= 0
+        return known | np.logical_or.reduce([known[_repeated(every, r)] for r in REPEATS])
+
     def features(self, hashed: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Known features of each row, each once."""
+        """Known features of each row."""
         found = self.place[hashed]
         keep = found >= 0
         kept = np.concatenate([[0], np.cumsum(keep)])
-        return B.distinct_per_row(found[keep], kept[bounds])
+        return found[keep], kept[bounds]
 
     def margins(self, features: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         rows = len(bounds) - 1
@@ -94,7 +120,6 @@ def fit(hashed: np.ndarray, bounds: np.ndarray, labels: np.ndarray, prior: float
         batch: int = 256, rate: float = 0.02, decay: float = 1e-4, least_docs: int = 4, least_z: float = 3.0,
         most_terms: int = 5000, seed: int = 7) -> FactorizationMachine:
     """Fit by Adam on the logistic loss, then move the bias from the sample's class share to ``prior``."""
-    hashed, bounds = B.distinct_per_row(hashed, bounds)
     chosen = select_terms(hashed, bounds, labels, least_docs, least_z, most_terms)
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
@@ -151,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Co
 
     def hash_terms(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.slices(parts):
-            hashed, bounds = B.distinct_per_row(*terms(part.column("text")))
+            hashed, bounds = terms(part.column("text"))
             data = B.binary_array(hashed.astype("<i4").view(np.uint8), bounds * 4).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), data], ["doc_id", "label", "terms"])
 
@@ -173,8 +198,10 @@ def score(docs: DataFrame, machine: FactorizationMachine, threshold: float = 0.5
     shared = spark.sparkContext.broadcast(machine)
 
     def rate(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        wanted = model.wanted()
         for part in B.slices(parts):
-            scores = shared.value.scores(*terms(part.column("text")))
+            scores = model.scores(*terms(part.column("text"), wanted))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
                 ["doc_id", "score", "predicted"],
