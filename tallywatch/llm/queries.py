@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import quality, toxicity
 from ..session import ship_package, work_dir
+from .jaccard import jaccard_components
 from .packing import pack
 from .token_counts import count_tokens
 from .token_files import read_documents, write_shards
@@ -26,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@register
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 @register
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), toxicity.held_out()
