@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import batches as B
 from .graph import components, saved
+from .marks import marked, marks_of
 from .segments import PROBE, SMALL, signatures
 
-MOST_BITS = 1 << 28
 REFINE_FROM = 64
 MOST_LEVELS = 3
 _SET_COLUMNS = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint"
@@ -135,44 +135,16 @@ def _document_entries(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return B.id_and_text(docs).where("doc_id is not null").mapInArrow(enter, "sig bigint, node bigint, other bigint")
 
 
-def _marks(ids: DataFrame, n: int) -> np.ndarray:
-    """A bit field of bounded size in which every id has its bit set: a filter, never the decision."""
-    bits = 1 << 16
-    while bits < 16 * n and bits < MOST_BITS:
-        bits *= 2
-    field = np.zeros(bits // 8, np.uint8)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    per_row = 8 * 4096
-    rows = ids.select(place.alias("place")).groupBy(F.floor(F.col("place") / per_row).alias("block")).agg(
-        F.bitmap_construct_agg(F.col("place") % per_row).alias("bits")
-    )
-    for row in rows.toLocalIterator():
-        at = row.block * 4096
-        field[at : at + 4096] = np.frombuffer(row.bits, np.uint8)
-    return field
-
-
 def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """doc_id, h1 and sorted shingles of the documents that have an id in ``ids``."""
-    shared = docs.sparkSession.sparkContext.broadcast(_marks(ids, ids.count()))
-    size = len(shared.value) * 8
-
     def collect(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = shared.value
-        for part in parts:
-            place = np.asarray(part.column("place"))
-            hit = np.flatnonzero((field[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
-            if not len(hit):
-                continue
-            for piece in B.slices([part.select(["doc_id", "text"]).take(pa.array(hit))]):
-                shingles, bounds = _sets(piece, words)
-                h1, _ = _fingerprints(shingles, bounds)
-                data = B.binary_array(shingles.view(np.uint8), bounds * 8).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(h1), data], ["doc_id", "h1", "shingles"])
-
-    placed = B.id_and_text(docs).where("doc_id is not null")
-    placed = placed.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(size)))
-    found = placed.mapInArrow(collect, "doc_id bigint, h1 bigint, shingles binary")
+        for part in B.slices(parts):
+            shingles, bounds = _sets(part, words)
+            h1, _ = _fingerprints(shingles, bounds)
+            data = B.binary_array(shingles.view(np.uint8), bounds * 8).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(h1), data], ["doc_id", "h1", "shingles"])
+
+    found = marked(B.id_and_text(docs), marks_of(ids), True).mapInArrow(collect, "doc_id bigint, h1 bigint, shingles binary")
     return found.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "h1"]).drop("h1")
 
 
