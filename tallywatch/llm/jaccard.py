@@ -34,6 +34,12 @@ def _fingerprints(shingles: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray,
     return of(total), of(other)
 
 
+def sets_with_keys(part: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles, bounds, and both halves of the fingerprint of each document."""
+    shingles, bounds = _sets(part, words)
+    return shingles, bounds, *_fingerprints(shingles, bounds)
+
+
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, size of the shingle set and its 128-bit fingerprint (h1, h2)."""
     def measure(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,7 +102,7 @@ def _stars(rows: DataFrame, partitions: int) -> DataFrame:
     )
 
 
-def _entries(sigs: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+def entries(sigs: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
     """Rows (sig, node, other) of one slice; a signature met several times goes to the shuffle once."""
     sigs = sigs.view(np.int64)
     order = np.lexsort((nodes, sigs))
@@ -130,7 +136,7 @@ def _document_entries(docs: DataFrame, words: int, percent: int) -> DataFrame:
             sizes = np.diff(bounds)[fresh]
             sigs, owner = signatures(shingles[items], np.concatenate([[0], np.cumsum(sizes)]), percent, 100)
             if len(sigs):
-                yield _entries(sigs, h1[fresh][owner])
+                yield entries(sigs, h1[fresh][owner])
 
     return B.id_and_text(docs).where("doc_id is not null").mapInArrow(enter, "sig bigint, node bigint, other bigint")
 
@@ -202,19 +208,27 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     doc_id are one document. Other columns are not read. Shingles are compared
     by 64-bit hashes.
     """
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     described = saved(document_sets(docs, words), "sets")
+    rows = _document_entries(docs, words, percent)
+    return link_classes(docs, described, classes_of(described), rows, words, percent)
+
+
+def classes_of(described: DataFrame) -> DataFrame:
+    """Distinct sets (n_shingles, h1, h2) and the smallest doc_id that has them."""
     there = described.where("n_shingles > 0 and doc_id is not null")
-    classes = there.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id"))
-    known = saved(classes, "classes")
+    return saved(there.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id")), "classes")
+
+
+def link_classes(docs: DataFrame, described: DataFrame, known: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
+    """Components of documents from the signature rows (sig, node, other) of their sets: steps 2 to 4 of the join."""
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def named(pairs: DataFrame, *more: str) -> DataFrame:
         a = known.select(F.col("h1").alias("a"), F.col("class_id").alias("class_a"))
         b = known.select(F.col("h1").alias("b"), F.col("class_id").alias("class_b"))
         return pairs.join(b, "b").join(a, "a").select(*more, F.col("class_a").alias("a"), F.col("class_b").alias("b"))
 
-    ties = saved(named(_stars(_document_entries(docs, words, percent), partitions), "sig"), "ties")
+    ties = saved(named(_stars(rows, partitions), "sig"), "ties")
     fresh = saved(_ordered(ties), "pairs")
     ids = fresh.select(F.col("a").alias("doc_id")).unionByName(fresh.select(F.col("b").alias("doc_id"))).distinct()
     sets = saved(_sets_of(docs, ids, words), "shingles")
@@ -271,7 +285,7 @@ def _refined(members: DataFrame, sets: DataFrame, percent: int, level: int) -> D
             if len(sigs):
                 kind = sigs & np.uint64(PROBE | SMALL)
                 mixed = B.mix64(sigs + parent[owner].view(np.uint64)) & ~np.uint64(3) | kind
-                yield _entries(mixed, node[owner])
+                yield entries(mixed, node[owner])
 
     joined = members.join(sets.withColumnRenamed("doc_id", "node"), "node").select("sig", "node", "shingles")
     return joined.mapInArrow(enter, "sig bigint, node bigint, other bigint")

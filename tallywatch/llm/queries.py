@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import quality, toxicity
 from ..session import ship_package, work_dir
+from .fingerprints import with_edited
 from .jaccard import jaccard_components
 from .packing import pack
 from .repeats import remove_repeats
@@ -58,6 +59,11 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@register
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_edited(table(spark, sf_dir, "documents"))
+
+
 @register
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
