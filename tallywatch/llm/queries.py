@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import quality, toxicity
 from ..session import ship_package, work_dir
+from .fertility import quality_rules
 from .fingerprints import with_edited
 from .jaccard import jaccard_components
 from .packing import pack
@@ -34,6 +35,11 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+@register
+def op2_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 @register
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), toxicity.held_out()

@@ -10,6 +10,7 @@ a special string goes through the library whole.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +49,49 @@ def _cuts(drops_space: bool) -> np.ndarray:
     return cut.ravel()
 
 
+class PieceMemory:
+    """Ids of pieces met lately: piece number -> ``ids[begin : begin + size]``. Full at ``most``, it starts anew."""
+
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = MOST_PIECES):
+        self._encode, self._most = encode, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self._known: dict[bytes, int] = {}
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.begin = np.zeros(1 << 16, np.int64)
+        self.size = np.zeros(1 << 16, np.int64)
+        self._used = 0
+
+    def places(self, pieces: list[bytes]) -> np.ndarray:
+        """Number of each piece, after learning those the memory lacked."""
+        if len(self._known) > self._most:
+            self._forget()
+        known = self._known
+        new = [p for p in pieces if p not in known]
+        if new:
+            encoded = self._encode(new)
+            first = len(known)
+            known.update(zip(new, range(first, first + len(new))))
+            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
+            total = int(sizes.sum())
+            while first + len(new) > len(self.begin):
+                self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
+            while self._used + total > len(self.ids):
+                self.ids = np.resize(self.ids, 2 * len(self.ids))
+            self.ids[self._used : self._used + total] = np.fromiter((i for ids in encoded for i in ids), np.int32, total)
+            self.begin[first : first + len(new)] = self._used + np.cumsum(sizes) - sizes
+            self.size[first : first + len(new)] = sizes
+            self._used += total
+        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+
+    def strung(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered pieces one after another, and the ids of each."""
+        sizes = self.size[place]
+        shift = self.begin[place] - (np.cumsum(sizes) - sizes)
+        return self.ids[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))], sizes
+
+
 class PieceEncoder:
     def __init__(self, vocabulary: str, most_pieces: int = MOST_PIECES):
         self._library = library(vocabulary)
@@ -58,15 +102,7 @@ class PieceEncoder:
         self._model = self._library.model
         self._letters = {byte: letter for letter, byte in byte_letters().items()}
         self._kind, self._cut = _kinds(), _cuts(self._lower)
-        self._most = most_pieces
-        self._forget()
-
-    def _forget(self) -> None:
-        self._known: dict[bytes, int] = {}
-        self._ids = np.zeros(1 << 16, np.int32)
-        self._begin = np.zeros(1 << 16, np.int64)
-        self._size = np.zeros(1 << 16, np.int64)
-        self._used = 0
+        self._memory = PieceMemory(self._encode, most_pieces)
 
     def _is_word(self, text: str) -> bool:
         """Letters of the simple blocks, composed and cased the same everywhere: one piece for the model."""
@@ -90,28 +126,6 @@ class PieceEncoder:
             out[n] = found.ids
         return out
 
-    def _places(self, pieces: list[bytes]) -> np.ndarray:
-        """Where the memory has each piece, after learning those it lacked."""
-        if len(self._known) > self._most:
-            self._forget()
-        known = self._known
-        new = [p for p in pieces if p not in known]
-        if new:
-            encoded = self._encode(new)
-            first = len(known)
-            known.update(zip(new, range(first, first + len(new))))
-            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
-            total = int(sizes.sum())
-            while first + len(new) > len(self._begin):
-                self._begin, self._size = np.resize(self._begin, 2 * len(self._begin)), np.resize(self._size, 2 * len(self._size))
-            while self._used + total > len(self._ids):
-                self._ids = np.resize(self._ids, 2 * len(self._ids))
-            self._ids[self._used : self._used + total] = np.fromiter((i for ids in encoded for i in ids), np.int32, total)
-            self._begin[first : first + len(new)] = self._used + np.cumsum(sizes) - sizes
-            self._size[first : first + len(new)] = sizes
-            self._used += total
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
-
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string column, one after another, and the bounds of the texts."""
         data, bounds = B.flat_bytes(column)
@@ -154,11 +168,8 @@ class PieceEncoder:
         if not len(data):
             return np.zeros(len(bounds), np.int64), np.zeros(0, np.int32), np.zeros(0, np.int64)
         coded = B.binary_array(data, positions).dictionary_encode()
-        place = self._places(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
-        sizes = self._size[place]
-        total = int(sizes.sum())
-        shift = self._begin[place] - (np.cumsum(sizes) - sizes)
-        ids = self._ids[np.repeat(shift, sizes) + np.arange(total)]
+        place = self._memory.places(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+        ids, sizes = self._memory.strung(place)
         return np.searchsorted(positions, bounds), ids, sizes
 
 
