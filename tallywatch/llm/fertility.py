@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import batches as B
-from .token_ids import PieceMemory
+from .token_ids import PieceMemory, flat
 from .vocabulary import find
 
 PIECE_VOCABULARY = "piece_bpe_32k.model"
@@ -129,7 +129,7 @@ class Fertility:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=find(vocabulary))
-        self._memory = PieceMemory(lambda words: model.encode([w.decode() for w in words], num_threads=1))
+        self._memory = PieceMemory(lambda words: flat(model.encode([w.decode() for w in words], num_threads=1)))
         self._is_byte = np.array([model.is_byte(i) for i in range(model.get_piece_size())])
 
     def measure(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> dict[str, np.ndarray]:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import quality, toxicity
 from ..session import ship_package, work_dir
+from .dropout import round_trip
 from .fertility import quality_rules
 from .fingerprints import with_edited
 from .jaccard import jaccard_components
@@ -52,6 +53,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"))
 
 
+@register
+def op5_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 @register
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, out = table(spark, sf_dir, "documents"), quality.held_out()

@@ -49,10 +49,19 @@ def _cuts(drops_space: bool) -> np.ndarray:
     return cut.ravel()
 
 
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the lists, and the length of each."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter((i for ids in lists for i in ids), np.int32, int(sizes.sum())), sizes
+
+
 class PieceMemory:
-    """Ids of pieces met lately: piece number -> ``ids[begin : begin + size]``. Full at ``most``, it starts anew."""
+    """Ids of pieces met lately: piece number -> ``ids[begin : begin + size]``. Full at ``most``, it starts anew.
+
+    ``encode`` gives the ids of pieces one after another and how many each has.
+    """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]], most: int = MOST_PIECES):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = MOST_PIECES):
         self._encode, self._most = encode, most
         self._forget()
 
@@ -70,16 +79,15 @@ class PieceMemory:
         known = self._known
         new = [p for p in pieces if p not in known]
         if new:
-            encoded = self._encode(new)
+            encoded, sizes = self._encode(new)
             first = len(known)
             known.update(zip(new, range(first, first + len(new))))
-            sizes = np.fromiter(map(len, encoded), np.int64, len(encoded))
             total = int(sizes.sum())
             while first + len(new) > len(self.begin):
                 self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
             while self._used + total > len(self.ids):
                 self.ids = np.resize(self.ids, 2 * len(self.ids))
-            self.ids[self._used : self._used + total] = np.fromiter((i for ids in encoded for i in ids), np.int32, total)
+            self.ids[self._used : self._used + total] = encoded
             self.begin[first : first + len(new)] = self._used + np.cumsum(sizes) - sizes
             self.size[first : first + len(new)] = sizes
             self._used += total
@@ -109,7 +117,7 @@ class PieceEncoder:
         letters = text[1:] if not self._lower and text[0] == " " else text
         return letters.isalpha() and (letters.isascii() or max(letters) < _SIMPLE_BELOW and "İ" not in letters)
 
-    def _encode(self, pieces: list[bytes]) -> list[list[int]]:
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pieces the memory lacks: plain words by the library's model, all else by its whole chain."""
         out: list[list[int] | None] = []
         rest, places = [], []
@@ -124,7 +132,7 @@ class PieceEncoder:
                 places.append(n)
         for n, found in zip(places, self._library.encode_batch_fast(rest, add_special_tokens=False)):
             out[n] = found.ids
-        return out
+        return flat(out)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a string column, one after another, and the bounds of the texts."""
