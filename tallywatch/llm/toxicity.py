@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import batches as B
+from .graph import saved
 from .samples import fold_of, labelled
 
 BITS = 20
@@ -101,31 +102,31 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.margins(*self.features(hashed, bounds)), -30, 30)))
 
 
-def select_terms(hashed: np.ndarray, bounds: np.ndarray, labels: np.ndarray, least_docs: int, least_z: float, most: int) -> np.ndarray:
-    """Terms whose share of documents differs most between the classes, by the two-proportion z value."""
-    row = np.repeat(labels.astype(np.int64), np.diff(bounds))
-    size = 1 << BITS
-    in_one = np.bincount(hashed[row == 1], minlength=size)
-    in_zero = np.bincount(hashed[row == 0], minlength=size)
-    n_one, n_zero = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    pooled = (in_one + in_zero) / (n_one + n_zero)
-    spread = np.sqrt(np.maximum(pooled * (1 - pooled), 1e-12) * (1 / n_one + 1 / n_zero))
-    z = np.abs(in_one / n_one - in_zero / n_zero) / spread
-    z[in_one + in_zero < least_docs] = 0
-    best = np.argsort(-z, kind="stable")[:most]
-    return best[z[best] >= least_z]
-
-
-def fit(hashed: np.ndarray, bounds: np.ndarray, labels: np.ndarray, prior: float, factors: int = 8, epochs: int = 30,
-        batch: int = 256, rate: float = 0.02, decay: float = 1e-4, least_docs: int = 4, least_z: float = 3.0,
-        most_terms: int = 5000, seed: int = 7) -> FactorizationMachine:
-    """Fit by Adam on the logistic loss, then move the bias from the sample's class share to ``prior``."""
-    chosen = select_terms(hashed, bounds, labels, least_docs, least_z, most_terms)
+def select_terms(counts: DataFrame, n_one: int, n_zero: int, least_docs: int, least_z: float, most: int) -> np.ndarray:
+    """Terms whose share of documents differs most between the classes, by the two-proportion z value.
+
+    ``counts`` has term, in_one and in_zero; at most ``most`` terms reach the driver.
+    """
+    pooled = (F.col("in_one") + F.col("in_zero")) / (n_one + n_zero)
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / n_one + 1 / n_zero))
+    z = F.abs(F.col("in_one") / n_one - F.col("in_zero") / n_zero) / spread
+    best = counts.where(F.col("in_one") + F.col("in_zero") >= least_docs).where("in_one + in_zero < %d" % (n_one + n_zero))
+    rows = best.select("term", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(most).collect()
+    return np.array([r.term for r in rows], np.int64)
+
+
+def blank(chosen: np.ndarray, factors: int, seed: int) -> FactorizationMachine:
     place = np.full(1 << BITS, -1, np.int32)
     place[chosen] = np.arange(len(chosen))
+    start = np.random.default_rng(seed).normal(0, 0.02, (len(chosen), factors))
+    return FactorizationMachine(place, 0.0, np.zeros(len(chosen)), start)
+
+
+def fit(machine: FactorizationMachine, features: np.ndarray, bounds: np.ndarray, labels: np.ndarray, prior: float,
+        epochs: int = 30, batch: int = 256, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+    """Fit by Adam on the logistic loss, then move the bias from the sample's class share to ``prior``."""
+    n_features, factors = machine.factors.shape
     rng = np.random.default_rng(seed)
-    machine = FactorizationMachine(place, 0.0, np.zeros(len(chosen)), rng.normal(0, 0.02, (len(chosen), factors)))
-    features, bounds = machine.features(hashed, bounds)
     parameters = {"weights": machine.weights, "factors": machine.factors}
     first = {n: np.zeros_like(p) for n, p in parameters.items()}
     second = {n: np.zeros_like(p) for n, p in parameters.items()}
@@ -145,9 +146,9 @@ def fit(hashed: np.ndarray, bounds: np.ndarray, labels: np.ndarray, prior: float
             margin = machine.bias + np.bincount(row, machine.weights[own], len(rows)) + ((sums * sums).sum(1) - squares) / 2
             slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[rows]) / len(rows)
             pull = slope[row]
-            gradients = {"weights": np.bincount(own, pull, len(chosen)) + decay * machine.weights}
+            gradients = {"weights": np.bincount(own, pull, n_features) + decay * machine.weights}
             pair = pull[:, None] * (sums[row] - v)
-            gradients["factors"] = np.stack([np.bincount(own, pair[:, k], len(chosen)) for k in range(factors)], 1)
+            gradients["factors"] = np.stack([np.bincount(own, pair[:, k], n_features) for k in range(factors)], 1)
             gradients["factors"] += decay * machine.factors
             for name, p in parameters.items():
                 first[name] = 0.9 * first[name] + 0.1 * gradients[name]
@@ -163,28 +164,52 @@ def fit(hashed: np.ndarray, bounds: np.ndarray, labels: np.ndarray, prior: float
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None,
-          most_per_class: int = 4000, **options) -> FactorizationMachine:
+          most_per_class: int = 4000, factors: int = 8, least_docs: int = 4, least_z: float = 3.0, most_terms: int = 5000,
+          seed: int = 7) -> FactorizationMachine:
     """Fit on at most ``most_per_class`` labelled training documents of either class.
 
-    Labels alone are counted over all rows, for the prior. Without labels of
-    both classes every document gets the prior as its score, 0 without any label.
+    Terms are counted by class on the executors; the driver gets the chosen
+    terms and the sample's documents as lists of those. Labels alone are counted
+    over all rows, for the prior. Without labels of both classes every document
+    gets the prior as its score, about 0 without any label.
     """
     training = F.lit(True) if training is None else training
-    one = labels.where(F.col(label).isin(0, 1) & training).agg(F.avg(label), F.count(label)).first()
+    one = labels.where(F.col(label).isin(0, 1) & training).agg(F.avg(label)).first()
     prior = float(one[0] or 0.0)
-    sample = labelled(B.id_and_text(docs), labels, label, training, most_per_class)
+    sample = saved(labelled(B.id_and_text(docs), labels, label, training, most_per_class), "sample")
+    sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
 
-    def hash_terms(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.slices(parts):
             hashed, bounds = terms(part.column("text"))
-            data = B.binary_array(hashed.astype("<i4").view(np.uint8), bounds * 4).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), data], ["doc_id", "label", "terms"])
-
-    rows = sample.mapInArrow(hash_terms, "doc_id bigint, label int, terms binary").orderBy("doc_id").collect()
-    hashed = [np.frombuffer(r.terms, "<i4") for r in rows]
-    bounds = np.concatenate([[0], np.cumsum([len(h) for h in hashed], dtype=np.int64)])
-    known = np.array([r.label for r in rows], np.int64)
-    return fit(np.concatenate([*hashed, np.zeros(0, "<i4")]).astype(np.int64), bounds, known, prior, **options)
+            positive = np.repeat(np.asarray(part.column("label")) == 1, np.diff(bounds))
+            found, place = np.unique(hashed, return_inverse=True)
+            in_one = np.bincount(place, positive, len(found)).astype(np.int64)
+            every = np.bincount(place, minlength=len(found))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(found), pa.array(in_one), pa.array(every - in_one)], ["term", "in_one", "in_zero"]
+            )
+
+    counts = sample.mapInArrow(count, "term bigint, in_one bigint, in_zero bigint").groupBy("term").agg(
+        F.sum("in_one").alias("in_one"), F.sum("in_zero").alias("in_zero")
+    )
+    both = sizes.get(0, 0) and sizes.get(1, 0)
+    chosen = select_terms(counts, sizes[1], sizes[0], least_docs, least_z, most_terms) if both else np.zeros(0, np.int64)
+    machine = blank(chosen, factors, seed)
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def pick(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        wanted = model.wanted()
+        for part in B.slices(parts):
+            own, bounds = model.features(*terms(part.column("text"), wanted))
+            data = B.binary_array(own.astype("<i4").view(np.uint8), bounds * 4).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), data], ["doc_id", "label", "own"])
+
+    rows = sample.mapInArrow(pick, "doc_id bigint, label int, own binary").orderBy("doc_id").collect()
+    bounds = np.concatenate([[0], np.cumsum([len(r.own) // 4 for r in rows], dtype=np.int64)])
+    features = np.frombuffer(b"".join(r.own for r in rows), "<i4").astype(np.int64)
+    return fit(machine, features, bounds, np.array([r.label for r in rows], np.int64), prior, seed=seed)
 
 
 def score(docs: DataFrame, machine: FactorizationMachine, threshold: float = 0.5) -> DataFrame:
