@@ -32,18 +32,21 @@ def marks_of(ids: DataFrame) -> np.ndarray:
 
 
 def marked(rows: DataFrame, field: np.ndarray, hit: bool) -> DataFrame:
-    """Rows (doc_id, text) whose id has its bit set, or with ``hit`` false the others and those without id."""
+    """Rows whose doc_id has its bit set, or with ``hit`` false the others and those without id; all columns stay."""
     shared = rows.sparkSession.sparkContext.broadcast(field)
     bits = 8 * len(field)
+    place = "place"
+    while place in rows.columns:
+        place += "_"
 
     def keep(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            place = np.asarray(part.column("place").fill_null(0))
-            found = (shared.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
-            found &= np.asarray(part.column("doc_id").is_valid())
+            at = part.column(part.num_columns - 1)
+            there = np.asarray(at.fill_null(0))
+            found = (shared.value[there >> 3] >> (there & 7).astype(np.uint8) & 1).astype(bool) & np.asarray(at.is_valid())
             chosen = part.filter(pa.array(found == hit))
             if chosen.num_rows:
-                yield chosen.select(["doc_id", "text"])
+                yield chosen.select(list(range(part.num_columns - 1)))
 
-    place = F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64("doc_id"), F.lit(bits)))
-    return rows.select("doc_id", "text", place.alias("place")).mapInArrow(keep, "doc_id bigint, text string")
+    bit = F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(bits)))
+    return rows.withColumn(place, bit).mapInArrow(keep, rows.schema)

@@ -217,5 +217,18 @@ def score(docs: DataFrame, model: PuClassifier, threshold: float = 0.7) -> DataF
     return B.id_and_text(docs).mapInArrow(rate, "doc_id bigint, score double, predicted int")
 
 
+def keep(docs: DataFrame, model: PuClassifier, threshold: float = 0.7) -> DataFrame:
+    """Rows of docs, with all their columns, whose text scores at or above the threshold; nothing is joined or shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def choose(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for part in B.slices(parts, most=2 << 20):
+            scores = model.scores(features(part.column("text").fill_null("")))
+            yield part.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def held_out(folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(fold_of(folds) == fold, F.lit(False))

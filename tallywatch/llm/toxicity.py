@@ -235,5 +235,19 @@ def score(docs: DataFrame, machine: FactorizationMachine, threshold: float = 0.5
     return B.id_and_text(docs).mapInArrow(rate, "doc_id bigint, score double, predicted int")
 
 
+def keep(docs: DataFrame, machine: FactorizationMachine, threshold: float = 0.5) -> DataFrame:
+    """Rows of docs, with all their columns, whose text scores below the threshold; nothing is joined or shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+
+    def choose(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        wanted = model.wanted()
+        for part in B.slices(parts, most=2 << 20):
+            scores = model.scores(*terms(part.column("text").fill_null(""), wanted))
+            yield part.filter(pa.array(scores < threshold))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def held_out(folds: int = 5, fold: int = 0) -> Column:
     return F.coalesce(fold_of(folds) == fold, F.lit(False))
