@@ -38,9 +38,10 @@ def bind(df: DataFrame, key: bytes, binding: str = "hmac", seed: bytes = bytes(3
     and multiplies whole Arrow batches; ``bits=32`` encodes only the low half
     of the amount. That costs far more than moving the narrow rows, so they are
     dealt out evenly first. Filter before: predicates do not pass the Arrow stage.
+    A null amount has no binding.
     """
     if binding == "hmac":
-        digest = mac_binding(key, F.col("txn_id"), F.col("amount_cents"))
+        digest = F.when(F.col("amount_cents").isNotNull(), mac_binding(key, F.col("txn_id"), F.col("amount_cents")))
         return df.withColumn("binding_hash", digest).withColumns({
             "commitment_b64": F.base64(F.unhex("binding_hash")),
             "size_kb": F.lit(32 / 1024),
@@ -55,8 +56,13 @@ def bind(df: DataFrame, key: bytes, binding: str = "hmac", seed: bytes = bytes(3
         T.StructField("commitment_b64", T.StringType()), T.StructField("binding_hash", T.StringType())
     ])
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = df.repartition(tasks).withColumn("nonce_hex", keyed_nonce(key, F.col("txn_id")))
-    return keyed.mapInPandas(run, schema).withColumn("size_kb", F.lit(round(PAYLOAD_BYTES / 1024, 1)))
+    # a null would turn the batch's amounts into floats
+    known = df.where(F.col("amount_cents").isNotNull() & F.col("txn_id").isNotNull())
+    keyed = known.repartition(tasks).withColumn("nonce_hex", keyed_nonce(key, F.col("txn_id")))
+    none = F.lit(None).cast("string")
+    rest = df.where(F.col("amount_cents").isNull() | F.col("txn_id").isNull()).withColumns(
+        {"commitment_b64": none, "binding_hash": none})
+    return keyed.mapInPandas(run, schema).unionByName(rest).withColumn("size_kb", F.lit(round(PAYLOAD_BYTES / 1024, 1)))
 
 
 def commit_table(
@@ -67,16 +73,17 @@ def commit_table(
     threshold: float = DEFAULT_THRESHOLD,
     seed: bytes = bytes(32),
     bits: int = 64,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Ledger rows for normalised transactions; no raw id or amount survives."""
-    slim = txns.select("txn_id", "amount_cents", "account_id", "txn_type", "timestamp_ns", "anomaly_score")
+    """Ledger rows for normalised transactions; no raw id or amount survives, other columns only if named in ``keep``."""
+    slim = txns.select("txn_id", "amount_cents", "account_id", "txn_type", "timestamp_ns", "anomaly_score", *keep)
     hashed = slim.withColumn("account_hash", hash_id(F.col("account_id"), alg)).drop("account_id")
     bound = bind(hashed, key, binding, seed, bits).withColumns({
         "lwe_params": declared_params(),
         "pii_bytes": F.lit(0),
         "status": status_of(F.col("anomaly_score"), threshold),
     })
-    return bound.select(*LEDGER_COLS)
+    return bound.select(*LEDGER_COLS, *keep)
 
 
 def commit_problem() -> Column:

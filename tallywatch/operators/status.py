@@ -1,4 +1,4 @@
-"""Ledger totals, batch summaries, counters and component health."""
+"""Ledger totals, batch summaries and counters."""
 
 from __future__ import annotations
 
@@ -23,9 +23,10 @@ def status_stats(ledger: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def overview(ledger: DataFrame, checked: DataFrame) -> DataFrame:
     """One row of figures: ledger totals, lifetime rate, and outcomes of the signature and data checks."""
-    passed = F.filter("checks", lambda c: c["status"] == "FAIL")["check"]
-    checks = checked.select(passed.alias("failed")).agg(F.struct(
-        F.count_if(~F.array_contains("failed", "SIGNATURE")).alias("signature_verified"),
+    passed = F.filter("checks", lambda c: c["status"] == "PASS")["check"]
+    failed = F.filter("checks", lambda c: c["status"] == "FAIL")["check"]
+    checks = checked.select(passed.alias("passed"), failed.alias("failed")).agg(F.struct(
+        F.count_if(F.array_contains("passed", "SIGNATURE")).alias("signature_verified"),
         F.count_if(F.array_contains("failed", "SIGNATURE")).alias("signature_failed"),
         F.count_if(F.array_contains("failed", "PII_ASSERTION")).alias("pii_failed"),
     )).scalar()
@@ -72,69 +73,3 @@ def observe_ingest(judged: DataFrame, observation: Observation | str) -> DataFra
         F.count_if(reason.isNotNull() & (reason != "BAD_SIGNATURE")).alias("errors"),
         F.count_if(reason == "BAD_SIGNATURE").alias("signature_failures"),
     )
-
-
-# Components with their healthy and unhealthy state and texts.
-COMPONENTS = [
-    ("cassandra_lsm", "DEGRADED", "Elevated write latency"),
-    ("kafka", "DEGRADED", "Lag elevated"),
-    ("sgx_enclave", "FAULT", "Enclave fault"),
-    ("intent_engine", "DEGRADED", "Model inference slow"),
-    ("zkp_gen", "DEGRADED", "LWE commitment chain broken"),
-    ("s3_vault", "DEGRADED", "S3 write-ahead failing"),
-]
-
-
-def component_health(metrics: DataFrame) -> DataFrame:
-    """Six component rows and the overall state, from a one-row metrics frame.
-
-    Metrics: errors, lag_ms, write_rate_k, and optionally ledger_ok, enclave_ok,
-    engine_ok. Fewer than ten errors count as healthy.
-    """
-    def flag(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(False)) if name in metrics.columns else F.lit(True)
-
-    healthy = [
-        flag("ledger_ok"), F.coalesce(F.col("errors"), F.lit(0)) < 10, flag("enclave_ok"), flag("engine_ok"),
-        F.lit(True), F.lit(True),
-    ]
-    details = [
-        F.concat(F.format_string("%.1f", "write_rate_k"), F.lit("K writes/s")),
-        F.concat(F.lit("Lag "), F.format_string("%.0f", "lag_ms"), F.lit("ms")),
-        F.lit("MEE ENC RAM active"), F.lit("FP16 ONNX nominal"), F.lit("LWE commitment chain intact"),
-        F.lit("S3 write-ahead nominal"),
-    ]
-    rows = F.array(*[
-        F.struct(
-            F.lit(name).alias("component"),
-            F.when(ok, F.lit("ONLINE")).otherwise(F.lit(bad)).alias("status"),
-            F.when(ok, text).otherwise(F.lit(bad_text)).alias("detail"),
-        )
-        for (name, bad, bad_text), ok, text in zip(COMPONENTS, healthy, details)
-    ])
-    all_online = F.forall("_rows", lambda r: r["status"] == "ONLINE")
-    overall = F.when(all_online, F.lit("NOMINAL")).otherwise(F.lit("DEGRADED")).alias("overall")
-    return metrics.select(rows.alias("_rows")).select(F.explode("_rows").alias("r"), overall).select("r.*", "overall")
-
-
-def stage_nodes(metrics: DataFrame) -> DataFrame:
-    """Seven stage rows with their state, from write_rate_k, lag_ms, load_pct and avg_kb."""
-    size = F.when(F.col("avg_kb") > 0, F.concat(F.format_string("%.1f", "avg_kb"), F.lit("KB payloads")))
-    stages = [
-        ("db", F.concat(F.format_string("%.1f", "write_rate_k"), F.lit("K writes/s")), F.lit(True)),
-        ("cdc", F.lit("WAL streaming"), F.lit(True)),
-        ("mq", F.concat(F.lit("lag "), F.format_string("%.0f", "lag_ms"), F.lit("ms")), F.col("lag_ms") < 500),
-        ("sgx", F.concat(F.lit("MEE ENC RAM\n"), F.format_string("%.1f", "load_pct"), F.lit("% load")),
-         F.col("load_pct") <= 80),
-        ("zkp", F.coalesce(size, F.lit("awaiting data")), F.lit(True)),
-        ("pub", F.lit("DMZ export"), F.lit(True)),
-        ("s3", F.lit("immutable"), F.lit(True)),
-    ]
-    rows = F.array(*[
-        F.struct(
-            F.lit(name).alias("stage"), text.alias("sublabel"),
-            F.when(ok, F.lit("active")).otherwise(F.lit("warning")).alias("status"),
-        )
-        for name, text, ok in stages
-    ])
-    return metrics.select(F.explode(rows).alias("r")).select("r.*")

@@ -45,36 +45,30 @@ def reconcile(claims: DataFrame, ledger: DataFrame, key: bytes, binding: str = "
     cannot be split at run time.
     """
     outcomes = verify_claims(claims, ledger, key, binding, **options).select("txn_id", "outcome")
-    unclaimed = ledger.join(claims.select("txn_id").distinct(), "txn_id", "left_anti")
+    unclaimed = spread_join(ledger.select("txn_id"), claims.select("txn_id").distinct(), ["txn_id"], "left_anti")
     return outcomes.unionByName(unclaimed.select("txn_id", F.lit("MISSING_CLAIM").alias("outcome")))
 
 
+# Names of the steps.
+STEPS = ["DERIVE_R", "LOAD_MATRIX_A", "COMPUTE_AS_E", "BITWISE_COMPARE", "RESULT"]
+
+
 def trace(binding: str = "hmac") -> Column:
     """The five verification steps of a found claim; an empty list for NOT_FOUND."""
-    def step(name: str, detail: Column, status: Column) -> Column:
-        return F.struct(F.lit(name).alias("step"), detail.alias("detail"), status.alias("status"))
-
-    done = F.lit("DONE")
-    if binding == "lwe":
-        dim = LWE_N * LWE_K
-        load = step("LOAD_MATRIX_A", F.lit(f"Public Matrix A ({dim}×{dim} mod q={LWE_Q})"), done)
-        compute = step("COMPUTE_AS_E", F.lit(f"C = A·s + e (mod {LWE_Q})"), done)
-    else:
-        load = step("LOAD_MATRIX_A", F.lit("not used by this binding"), F.lit("SKIPPED"))
-        compute = step("COMPUTE_AS_E", F.lit("HMAC-SHA256 over id and amount"), done)
-    shown = F.concat(
-        F.lit("stored="), F.substring("stored_hash", 1, 16),
-        F.lit("... recomputed="), F.substring("recomputed_hash", 1, 16), F.lit("..."),
-    )
-    intact = F.col("outcome") == "VERIFIED"
-    result = step(
-        "RESULT",
-        F.when(intact, F.lit("LWE PROOF INTACT — MATCH FOUND"))
-        .otherwise(F.lit("PROOF MISMATCH — INTEGRITY VIOLATION")),
-        F.when(intact, F.lit("VERIFIED")).otherwise(F.lit("FAILED")),
-    )
-    derive = step("DERIVE_R", F.concat(F.lit("HMAC-SHA256(K_master, "), F.col("txn_id"), F.lit(")")), done)
-    steps = F.array(derive, load, compute, step("BITWISE_COMPARE", shown, done), result)
+    done, intact = F.lit("DONE"), F.col("outcome") == "VERIFIED"
+    lattice = binding == "lwe"
+    details = [
+        F.concat(F.lit("nonce from key and "), F.col("txn_id")),
+        F.lit(f"{LWE_N * LWE_K} rows modulo {LWE_Q}" if lattice else "no matrix in this binding"),
+        F.lit(f"lattice commitment modulo {LWE_Q}" if lattice else "keyed hash of id and amount"),
+        F.concat_ws(" / ", F.substring("stored_hash", 1, 16), F.substring("recomputed_hash", 1, 16)),
+        F.when(intact, F.lit("bindings agree")).otherwise(F.lit("bindings differ")),
+    ]
+    states = [done, done if lattice else F.lit("SKIPPED"), done, done, F.when(intact, F.lit("VERIFIED")).otherwise(F.lit("FAILED"))]
+    steps = F.array(*[
+        F.struct(F.lit(name).alias("step"), detail.alias("detail"), state.alias("status"))
+        for name, detail, state in zip(STEPS, details, states)
+    ])
     return F.when(F.col("outcome") == "NOT_FOUND", F.slice(steps, 1, 0)).otherwise(steps)
 
 

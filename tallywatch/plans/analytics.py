@@ -205,7 +205,7 @@ def ingest_delay(spark, sf):
     both = orders.join(lines, orders.o_orderkey == lines.l_orderkey)
     delays = throughput.ingest_delay(
         both, F.unix_seconds(F.col("o_orderdate").cast("timestamp")),
-        F.unix_seconds(F.col("l_shipdate").cast("timestamp")), F.date_format("o_orderdate", "yyyy-MM"), 100_000,
+        F.unix_seconds(F.col("l_shipdate").cast("timestamp")), F.date_format("o_orderdate", "yyyy-MM"),
     )
     return delays.withColumn("avg_delay", F.round("avg_delay", 6))
 
@@ -248,53 +248,12 @@ def alert_feed(spark, sf):
     return feeds.alert_feed(hashed.withColumn("flag_reason", flag_reason(F.col("anomaly_score"), hops, F.lit(0.0))), 10)
 
 
-def metrics(spark, sf):
-    """One row of measured figures: rejects, delay, rate, payload size."""
-    raw = fx.raw_txns(spark, sf)
-    held = fx.ledger(spark, sf)
-    rate = throughput.lifetime_rate(held).select(F.struct("write_rate_k", "tps")).scalar()
-    return raw.agg(
-        F.count_if(F.col("k") == 13).alias("errors"),
-        (F.max("amount_cents") / F.lit(100.0)).alias("lag_ms"),
-        F.avg("k").alias("load_pct"),
-    ).withColumn("_r", rate).select(
-        "errors", "lag_ms", "load_pct", F.col("_r.write_rate_k").alias("write_rate_k"), F.lit(1.5).alias("avg_kb")
-    )
-
-
-_METRICS = f"""m AS (SELECT (SELECT count(*) FROM raw WHERE k = 13) AS errors, (SELECT max(amount_cents) / 100.0 FROM raw) AS lag_ms,
-    (SELECT avg(k) FROM raw) AS load_pct, (SELECT count(*) / {_ELAPSED} / 1000 FROM ledger) AS write_rate_k)"""
-
-
-@query(f"""{views('ledger')}, {_METRICS}, rows AS (
-    SELECT 'cassandra_lsm' AS component, 'ONLINE' AS status, printf('%.1fK writes/s', write_rate_k) AS detail FROM m
-    UNION ALL SELECT 'kafka', CASE WHEN errors < 10 THEN 'ONLINE' ELSE 'DEGRADED' END,
-        CASE WHEN errors < 10 THEN printf('Lag %.0fms', lag_ms) ELSE 'Lag elevated' END FROM m
-    UNION ALL VALUES ('sgx_enclave', 'ONLINE', 'MEE ENC RAM active'), ('intent_engine', 'ONLINE', 'FP16 ONNX nominal'),
-        ('zkp_gen', 'ONLINE', 'LWE commitment chain intact'), ('s3_vault', 'ONLINE', 'S3 write-ahead nominal'))
-    SELECT *, CASE WHEN (SELECT bool_and(status = 'ONLINE') FROM rows) THEN 'NOMINAL' ELSE 'DEGRADED' END AS overall FROM rows""")
-def component_health(spark, sf):
-    """Component states from measured figures."""
-    return status.component_health(metrics(spark, sf))
-
-
-@query(f"""{views('ledger')}, {_METRICS}
-    SELECT 'db' AS stage, printf('%.1fK writes/s', write_rate_k) AS sublabel, 'active' AS status FROM m
-    UNION ALL SELECT 'mq', printf('lag %.0fms', lag_ms), CASE WHEN lag_ms < 500 THEN 'active' ELSE 'warning' END FROM m
-    UNION ALL SELECT 'sgx', 'MEE ENC RAM' || chr(10) || printf('%.1f%% load', load_pct),
-        CASE WHEN load_pct > 80 THEN 'warning' ELSE 'active' END FROM m
-    UNION ALL VALUES ('cdc', 'WAL streaming', 'active'), ('zkp', '1.5KB payloads', 'active'),
-        ('pub', 'DMZ export', 'active'), ('s3', 'immutable', 'active')""")
-def stage_nodes(spark, sf):
-    """Stage states from measured figures."""
-    return status.stage_nodes(metrics(spark, sf))
-
-
 @query(f"""{views('ledger', 'checks')} SELECT (SELECT round(count(*) / {_ELAPSED}, 9) FROM ledger) AS tps,
     (SELECT count(*) FROM ledger) AS total_commitments, (SELECT count(*) FROM ledger WHERE status = 'VERIFIED') AS verified,
     (SELECT count(*) FROM ledger WHERE status = 'QUARANTINED') AS quarantined, 0::BIGINT AS rejected,
     (SELECT {percent("count(*) FILTER (status = 'VERIFIED')", 'count(*)', 1)} FROM ledger) AS chain_integrity_pct,
-    (SELECT count(*) FROM envelopes) AS signature_verified, 0::BIGINT AS signature_failed,
+    (SELECT count(*) FROM envelopes WHERE signature_valid) AS signature_verified,
+    (SELECT count(*) FROM envelopes WHERE NOT signature_valid) AS signature_failed,
     (SELECT count(*) FROM checks WHERE "check" = 'PII_ASSERTION' AND status = 'FAIL') AS pii_failed""")
 def audit_overview(spark, sf):
     """Ledger totals, rate and check outcomes in one row."""

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.cases import choose
 from ..operators.commit import commit_table, declared_params
-from ..operators.privacy import pseudonymise
-from ..session import configure
+from ..operators.privacy import pseudonymise, sign, with_valid_signature
+from ..session import configure, work_dir
+from ..sources.ledger import append_ledger
 
 KEY = b"audit-demo-key"
 SIGN_KEY = b"feed-demo-key"
@@ -101,38 +102,66 @@ def order_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )).alias("value"))
 
 
+def idless_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON text without any id of their own but the order's number in the metadata."""
+    orders = table(spark, sf_dir, "orders")
+    return orders.select(F.to_json(F.struct(
+        _text("CUST-", F.col("o_custkey")).alias("account_id"),
+        _ns(F.col("o_orderdate")).alias("timestamp_ns"),
+        F.create_map(F.lit("number"), F.col("o_orderkey").cast("string")).alias("metadata"),
+    )).alias("value"))
+
+
 def chat_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation texts: feed values that are no transactions."""
     return table(spark, sf_dir, "conversations").select(F.col("text").alias("value"))
 
 
-def ledger_of(txns: DataFrame) -> DataFrame:
-    """Committed transactions; those with k = 13 were never written."""
-    return commit_table(txns.where(F.col("k") != 13), KEY)
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every transaction, committed."""
+    return commit_table(raw_txns(spark, sf_dir), KEY)
 
 
-def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ledger_of(raw_txns(spark, sf_dir))
+def gapped_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of a writer that lost the rows with k = 13, for operators that look for missing rows."""
+    return commit_table(raw_txns(spark, sf_dir).where(F.col("k") != 13), KEY)
+
+
+def stored_ledger(spark: SparkSession, sf_dir: str) -> str:
+    """Folder with the gapped ledger, written twice so that ids have to be resolved on read."""
+    path = work_dir(spark, "ledger")
+    rows = gapped_ledger(spark, sf_dir)
+    append_ledger(rows.withColumn("status", F.lit("PENDING")), path, 0)
+    append_ledger(rows, path, 1)
+    return path
+
 
+def open_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of a claimant who never claims sign-ups."""
+    return claims(spark, sf_dir, F.col("txn_type") != "TRADE_SETTLEMENT")
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claimed amounts; one cent too much where k = 7. Sign-ups are never claimed."""
-    raw = raw_txns(spark, sf_dir).where(F.col("txn_type") != "TRADE_SETTLEMENT")
+
+def claims(spark: SparkSession, sf_dir: str, which: Column | None = None) -> DataFrame:
+    """Claimed amounts; one cent too much where k = 7."""
+    raw = raw_txns(spark, sf_dir)
+    raw = raw if which is None else raw.where(which)
     amount = F.col("amount_cents") + F.when(F.col("k") == 7, F.lit(1)).otherwise(F.lit(0))
     return raw.select("txn_id", amount.alias("amount_cents"))
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exported records with faults: upper-case hash (k=21), personal bytes (k=34), other modulus (k=55)."""
-    raw = raw_txns(spark, sf_dir)
-    made = commit_table(raw, KEY).join(raw.select("txn_id", "k"), "txn_id")
+    """Exported records with faults: upper-case hash (k=21), personal bytes (k=34), other modulus (k=55), forged
+    signature (k=13)."""
+    signed = sign(commit_table(raw_txns(spark, sf_dir), KEY, keep=("k",)), SIGN_KEY)
     other = declared_params().withField("q", F.lit(7681))
-    return made.select(
+    shown = signed.select(
         "txn_id", "timestamp_ns", "status",
         F.when(F.col("k") == 21, F.upper("binding_hash")).otherwise(F.col("binding_hash")).alias("binding_hash"),
         F.when(F.col("k") == 34, F.lit(8)).when(F.col("k") == 3, F.lit(None)).otherwise(F.lit(0)).alias("pii_bytes"),
         F.when(F.col("k") == 55, other).otherwise(declared_params()).alias("lwe_params"),
+        F.when(F.col("k") == 13, F.reverse("signature")).otherwise(F.col("signature")).alias("signature"),
     )
+    return with_valid_signature(shown, SIGN_KEY).drop("signature")
 
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,14 +51,25 @@ def normalise_other_spelling(spark, sf):
 
 
 @query("""
-    SELECT sha256('CUST-' || CAST(o_custkey AS VARCHAR) || chr(31) || CAST(epoch_us(o_orderdate) * 1000 AS VARCHAR)) AS txn_id,
-           'CUST-' || CAST(o_custkey AS VARCHAR) AS account_id, '' AS counterparty_id, 0::BIGINT AS amount_cents,
-           'INR' AS currency, 'RTGS' AS txn_type, epoch_us(o_orderdate) * 1000 AS timestamp_ns
-    FROM orders""")
+    SELECT 'CUST-' || CAST(o_custkey AS VARCHAR) AS account_id, '' AS counterparty_id, 0::BIGINT AS amount_cents,
+           'INR' AS currency, 'RTGS' AS txn_type, epoch_us(o_orderdate) * 1000 AS timestamp_ns, count(*) AS ids
+    FROM orders GROUP BY ALL""")
 def normalise_model_defaults(spark, sf):
-    """Missing fields get model defaults, a missing id a hash of the content."""
+    """Missing fields get model defaults, a missing id a hash of the record: as many ids as records."""
     good, _ = split_rejects(normalise_strict(parse_raw(fx.order_feed(spark, sf))))
-    return good.select("txn_id", "account_id", "counterparty_id", "amount_cents", "currency", "txn_type", "timestamp_ns")
+    return good.groupBy("account_id", "counterparty_id", "amount_cents", "currency", "txn_type", "timestamp_ns").agg(
+        F.count_distinct("txn_id").alias("ids"))
+
+
+@query("""
+    SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n FROM orders GROUP BY 1""")
+def idless_rows_kept(spark, sf):
+    """Records without any id, committed and read back from the ledger: none overwrites another."""
+    path = work_dir(spark, "idless")
+    good, _ = split_rejects(normalise_lenient(parse_raw(fx.idless_feed(spark, sf))))
+    store.append_ledger(commit_table(good, fx.KEY), path, 0)
+    held = store.read_ledger(spark, path, columns=["txn_id", "date_bucket"])
+    return held.groupBy(F.col("date_bucket").cast("string").alias("day")).agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -152,12 +163,13 @@ PAGE_START = 1704844800_000_000_000
 
 
 @query(f"""
-    {views('ledger')} SELECT txn_id, timestamp_ns, binding_hash, 'CASSANDRA_POLLED' AS pipeline_stage FROM ledger
+    {views('gapped')} SELECT txn_id, timestamp_ns, binding_hash, 'CASSANDRA_POLLED' AS pipeline_stage FROM gapped
     WHERE timestamp_ns >= {PAGE_START} ORDER BY timestamp_ns, txn_id LIMIT 500""")
 def incremental_page(spark, sf):
     """The next 500 ledger rows after a cursor, tagged with their stage."""
-    dated = fx.ledger(spark, sf).withColumn("date_bucket", date_bucket(F.col("timestamp_ns")))
-    page = store.page_after(dated, (PAGE_START, ""), 500)
+    held = store.read_ledger(
+        spark, fx.stored_ledger(spark, sf), columns=["txn_id", "timestamp_ns", "binding_hash", "date_bucket"])
+    page = store.page_after(held, (PAGE_START, ""), 500)
     return store.tag_stage(page).select("txn_id", "timestamp_ns", "binding_hash", "pipeline_stage")
 
 
@@ -276,78 +288,79 @@ def quarantine_queue(spark, sf):
     return flat(review_queue(store.export_ledger(fx.ledger(spark, sf))))
 
 
-@query(f"""{views('ledger')} SELECT i.txn_id, l.binding_hash, l.status, l.txn_id IS NOT NULL AS found
+@query(f"""{views('gapped')} SELECT i.txn_id, l.binding_hash, l.status, l.txn_id IS NOT NULL AS found
     FROM (SELECT lower('TXN-' || CAST(o_orderkey AS VARCHAR)) AS txn_id FROM orders) i
-    LEFT JOIN ledger l ON lower(l.txn_id) = i.txn_id""")
+    LEFT JOIN gapped l ON lower(l.txn_id) = i.txn_id""")
 def ledger_lookup(spark, sf):
     """Ids in other case looked up in the ledger."""
     ids = fx.table(spark, sf, "orders").select(F.lower(F.concat(F.lit("TXN-"), F.col("o_orderkey").cast("string"))).alias("txn_id"))
-    return lookup(ids, fx.ledger(spark, sf), ignore_case=True).select("txn_id", "binding_hash", "status", "found")
+    return lookup(ids, fx.gapped_ledger(spark, sf), ignore_case=True).select("txn_id", "binding_hash", "status", "found")
 
 
 @query(f"""{views('verified')} SELECT txn_id, amount_cents, recomputed_hash, stored_hash, outcome,
     outcome = 'VERIFIED' AS verified FROM verified""")
 def verify_ledger(spark, sf):
-    """Claims against the ledger by recomputation."""
-    return verify_claims(fx.claims(spark, sf), fx.ledger(spark, sf), fx.KEY)
+    """Claims against a stored ledger by recomputation."""
+    held = store.read_ledger(spark, fx.stored_ledger(spark, sf), columns=["txn_id", "binding_hash"])
+    return verify_claims(fx.claims(spark, sf), held, fx.KEY)
 
 
 @query(f"""{views('verified')} SELECT txn_id, step, detail, status FROM (
-    SELECT txn_id, 'DERIVE_R' AS step, 'HMAC-SHA256(K_master, ' || txn_id || ')' AS detail, 'DONE' AS status, outcome FROM verified
-    UNION ALL SELECT txn_id, 'LOAD_MATRIX_A', 'not used by this binding', 'SKIPPED', outcome FROM verified
-    UNION ALL SELECT txn_id, 'COMPUTE_AS_E', 'HMAC-SHA256 over id and amount', 'DONE', outcome FROM verified
-    UNION ALL SELECT txn_id, 'BITWISE_COMPARE', 'stored=' || substr(stored_hash, 1, 16) || '... recomputed='
-        || substr(recomputed_hash, 1, 16) || '...', 'DONE', outcome FROM verified
-    UNION ALL SELECT txn_id, 'RESULT', CASE outcome WHEN 'VERIFIED' THEN 'LWE PROOF INTACT — MATCH FOUND'
-        ELSE 'PROOF MISMATCH — INTEGRITY VIOLATION' END, outcome, outcome FROM verified)
+    SELECT txn_id, 'DERIVE_R' AS step, 'nonce from key and ' || txn_id AS detail, 'DONE' AS status, outcome FROM verified
+    UNION ALL SELECT txn_id, 'LOAD_MATRIX_A', 'no matrix in this binding', 'SKIPPED', outcome FROM verified
+    UNION ALL SELECT txn_id, 'COMPUTE_AS_E', 'keyed hash of id and amount', 'DONE', outcome FROM verified
+    UNION ALL SELECT txn_id, 'BITWISE_COMPARE', substr(stored_hash, 1, 16) || ' / ' || substr(recomputed_hash, 1, 16),
+        'DONE', outcome FROM verified
+    UNION ALL SELECT txn_id, 'RESULT', CASE outcome WHEN 'VERIFIED' THEN 'bindings agree' ELSE 'bindings differ' END,
+        outcome, outcome FROM verified)
     WHERE outcome <> 'NOT_FOUND'""")
 def verification_trace(spark, sf):
     """Five steps per claim that was found."""
-    outcomes = verify_claims(fx.claims(spark, sf), fx.ledger(spark, sf), fx.KEY)
+    outcomes = verify_claims(fx.claims(spark, sf), fx.gapped_ledger(spark, sf), fx.KEY)
     return outcomes.select("txn_id", F.explode(trace()).alias("t")).select("txn_id", "t.*")
 
 
 @query(f"""{views('verified')} SELECT txn_id, 'TXN ' || txn_id || ' not found in ledger' AS error FROM verified
     WHERE outcome = 'NOT_FOUND'""")
 def verification_errors(spark, sf):
-    outcomes = verify_claims(fx.claims(spark, sf), fx.ledger(spark, sf), fx.KEY)
+    outcomes = verify_claims(fx.claims(spark, sf), fx.gapped_ledger(spark, sf), fx.KEY)
     return outcomes.select("txn_id", error_text().alias("error")).where("error is not null")
 
 
-@query(f"""{views('verified')} SELECT txn_id, outcome FROM verified
-    UNION ALL SELECT txn_id, 'MISSING_CLAIM' FROM ledger WHERE txn_id NOT IN (SELECT txn_id FROM claims)""")
+@query(f"""{views('verified', 'open_claims')} SELECT txn_id, outcome FROM verified WHERE txn_id IN (SELECT txn_id FROM open_claims)
+    UNION ALL SELECT txn_id, 'MISSING_CLAIM' FROM gapped WHERE txn_id NOT IN (SELECT txn_id FROM open_claims)""")
 def reconcile_ledger(spark, sf):
     """Both directions: claims without ledger row, ledger rows without claim."""
-    return reconcile(fx.claims(spark, sf), fx.ledger(spark, sf), fx.KEY)
+    return reconcile(fx.open_claims(spark, sf), fx.gapped_ledger(spark, sf), fx.KEY)
 
 
-@query(f"{views('verified')} SELECT outcome, count(*) AS n FROM verified GROUP BY outcome")
+@query(f"{views('verified')} SELECT txn_id, outcome FROM verified")
 def verify_ledger_lattice(spark, sf):
     """The same verification with lattice commitments on both sides."""
     held = commit_table(fx.raw_txns(spark, sf).where(F.col("k") != 13), fx.KEY, "lwe", seed=fx.SEED)
     outcomes = verify_claims(fx.claims(spark, sf), held, fx.KEY, "lwe", seed=fx.SEED)
-    return outcomes.groupBy("outcome").agg(F.count("*").alias("n"))
+    return outcomes.select("txn_id", "outcome")
 
 
-@query(f"""{views('ledger', 'actions')}, last AS (SELECT txn_id, action, resolved_by FROM actions
+@query(f"""{views('gapped', 'actions')}, last AS (SELECT txn_id, action, resolved_by FROM actions
         WHERE action IN ('AUTHORIZE', 'TERMINATE', 'QUARANTINE')
         QUALIFY row_number() OVER (PARTITION BY txn_id ORDER BY action_seq DESC) = 1)
     SELECT l.txn_id, l.status AS status_before, a.action, a.resolved_by, CASE a.action WHEN 'AUTHORIZE' THEN 'VERIFIED'
         WHEN 'TERMINATE' THEN 'REJECTED' WHEN 'QUARANTINE' THEN 'QUARANTINED' ELSE l.status END AS status
-    FROM ledger l LEFT JOIN last a USING (txn_id)""")
+    FROM gapped l LEFT JOIN last a USING (txn_id)""")
 def resolve_reviews(spark, sf):
     """Ledger after the last valid decision on each record."""
-    done = resolve(fx.ledger(spark, sf), fx.actions(spark, sf))
+    done = resolve(fx.gapped_ledger(spark, sf), fx.actions(spark, sf))
     return done.select("txn_id", "status_before", "action", "resolved_by", "status")
 
 
-@query(f"""{views('ledger', 'actions')}
+@query(f"""{views('gapped', 'actions')}
     SELECT txn_id, action, 400 AS code, 'Unknown action: ' || action AS detail FROM actions WHERE action = 'FREEZE'
     UNION ALL SELECT txn_id, action, 404, 'TXN ' || txn_id || ' not found' FROM actions
-    WHERE action <> 'FREEZE' AND txn_id NOT IN (SELECT txn_id FROM ledger)""")
+    WHERE action <> 'FREEZE' AND txn_id NOT IN (SELECT txn_id FROM gapped)""")
 def refused_reviews(spark, sf):
     """Unknown actions and unknown transactions."""
-    return resolve_errors(fx.ledger(spark, sf), fx.actions(spark, sf))
+    return resolve_errors(fx.gapped_ledger(spark, sf), fx.actions(spark, sf))
 
 
 _STATS = f"""count(*) AS total, count(*) FILTER (status = 'VERIFIED') AS verified,

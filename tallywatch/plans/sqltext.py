@@ -87,20 +87,20 @@ VIEWS = {
         SELECT txn_id, {BINDING} AS binding_hash, 0.03125::DOUBLE AS size_kb, '{PARAMS_JSON}' AS lwe_params,
                timestamp_ns, 0 AS pii_bytes, sha256(account_id) AS account_hash, txn_type, {STATUS} AS status,
                anomaly_score
-        FROM raw WHERE k <> 13""",
-    "claims": """
-        SELECT txn_id, amount_cents + CASE WHEN k = 7 THEN 1 ELSE 0 END AS amount_cents
-        FROM raw WHERE txn_type <> 'TRADE_SETTLEMENT'""",
+        FROM raw""",
+    "gapped": "SELECT * FROM ledger WHERE txn_id IN (SELECT txn_id FROM raw WHERE k <> 13)",
+    "claims": "SELECT txn_id, amount_cents + CASE WHEN k = 7 THEN 1 ELSE 0 END AS amount_cents FROM raw",
+    "open_claims": "SELECT * FROM claims WHERE txn_id IN (SELECT txn_id FROM raw WHERE txn_type <> 'TRADE_SETTLEMENT')",
     "verified": f"""
         SELECT c.txn_id, c.amount_cents, c.recomputed_hash, l.binding_hash AS stored_hash,
                CASE WHEN l.binding_hash IS NULL THEN 'NOT_FOUND'
                     WHEN l.binding_hash = c.recomputed_hash THEN 'VERIFIED' ELSE 'FAILED' END AS outcome
-        FROM (SELECT *, {BINDING} AS recomputed_hash FROM claims) c LEFT JOIN ledger l USING (txn_id)""",
+        FROM (SELECT *, {BINDING} AS recomputed_hash FROM claims) c LEFT JOIN gapped l USING (txn_id)""",
     "envelopes": f"""
         SELECT txn_id, timestamp_ns, {STATUS} AS status,
                CASE WHEN k = 21 THEN upper({BINDING}) ELSE {BINDING} END AS binding_hash,
                CASE WHEN k = 34 THEN 8 WHEN k = 3 THEN NULL ELSE 0 END AS pii_bytes,
-               CASE WHEN k = 55 THEN 7681 ELSE 3329 END AS q
+               CASE WHEN k = 55 THEN 7681 ELSE 3329 END AS q, k NOT IN (13, 21) AS signature_valid
         FROM raw""",
     "actions": """
         SELECT txn_id, CASE txn_type WHEN 'WIRE_TRANSFER' THEN 'TERMINATE' WHEN 'NEFT' THEN 'FREEZE'
@@ -109,20 +109,19 @@ VIEWS = {
         UNION ALL SELECT txn_id, 'QUARANTINE', 'desk-2', 2 FROM raw WHERE anomaly_score >= 0.75 AND txn_type = 'RTGS'
         UNION ALL SELECT txn_id, 'AUTHORIZE', 'desk-3', 3 FROM raw WHERE k = 13""",
     "checks": """
-        SELECT txn_id, timestamp_ns, status AS ledger_status, 'SIGNATURE' AS "check", 'PASS' AS status,
-               'Verified inside SGX enclave (raw signature not exposed)' AS detail FROM envelopes
+        SELECT txn_id, timestamp_ns, status AS ledger_status, 'SIGNATURE' AS "check",
+               CASE WHEN signature_valid THEN 'PASS' ELSE 'FAIL' END AS status,
+               CASE WHEN signature_valid THEN 'signature matches' ELSE 'signature does not match' END AS detail FROM envelopes
         UNION ALL
         SELECT txn_id, timestamp_ns, status, 'PII_ASSERTION', CASE WHEN coalesce(pii_bytes, 0) = 0 THEN 'PASS' ELSE 'FAIL' END,
-               CASE WHEN coalesce(pii_bytes, 0) = 0 THEN 'pii_bytes=0'
-                    ELSE 'non-zero PII: ' || CAST(pii_bytes AS VARCHAR) END FROM envelopes
+               CAST(coalesce(pii_bytes, 0) AS VARCHAR) || ' personal bytes declared' FROM envelopes
         UNION ALL
         SELECT txn_id, timestamp_ns, status, 'BINDING_HASH_FORMAT',
                CASE WHEN regexp_full_match(binding_hash, '[0-9a-f]{64}') THEN 'PASS' ELSE 'FAIL' END,
-               'length=' || CAST(length(binding_hash) AS VARCHAR) || ' (expected 64 hex chars)' FROM envelopes
+               CAST(length(binding_hash) AS VARCHAR) || ' of 64 hex characters' FROM envelopes
         UNION ALL
         SELECT txn_id, timestamp_ns, status, 'LWE_PARAMS', CASE WHEN q = 3329 THEN 'PASS' ELSE 'FAIL' END,
-               CASE WHEN q = 3329 THEN 'params=' ELSE 'unexpected params: ' END
-               || '{''n'': 256, ''k'': 2, ''q'': ' || CAST(q AS VARCHAR) || ', ''eta'': 2}' FROM envelopes""",
+               '{"n":256,"k":2,"q":' || CAST(q AS VARCHAR) || ',"eta":2}' FROM envelopes""",
     "counted": """
         SELECT *, count(*) OVER (PARTITION BY account_id ORDER BY timestamp_ns
                                  RANGE BETWEEN 3599999999999 PRECEDING AND CURRENT ROW) AS velocity
@@ -161,7 +160,7 @@ VIEWS = {
 
 _NEEDS = {
     "raw": [], "hashed": ["raw"], "order_txns": [], "ledger": ["raw"], "claims": ["raw"],
-    "verified": ["claims", "ledger"], "envelopes": ["raw"], "actions": ["raw"], "checks": ["envelopes"],
+    "verified": ["claims", "gapped"], "gapped": ["ledger"], "open_claims": ["claims"], "envelopes": ["raw"], "actions": ["raw"], "checks": ["envelopes"],
     "counted": ["hashed"], "near": ["counted"], "features": ["near"], "scored": ["features"], "watched": ["hashed"],
     "stats": ["ledger"],
 }

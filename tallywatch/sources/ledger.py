@@ -20,23 +20,41 @@ def latest_by(df: DataFrame, key: list[str], order: list[str | Column]) -> DataF
 
 
 def append_ledger(ledger: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Append by day. With a batch id the write replaces that batch only, so a retry is harmless.
+    """Append by day. With a batch id the write replaces that batch's part of its days, so a retry is harmless.
 
-    The rebalance hint merges small days and splits a day that holds much of the data.
+    Days come first in the folders, so that readers list the days they need. The
+    rebalance hint merges small days and splits a day that holds much of the data.
     """
     dated = ledger.withColumn("date_bucket", date_bucket(F.col("timestamp_ns")))
-    target = path if batch_id is None else f"{path}/batch_id={batch_id}"
-    mode = "append" if batch_id is None else "overwrite"
-    dated.hint("rebalance", "date_bucket").write.mode(mode).partitionBy("date_bucket").parquet(target)
+    if batch_id is None:
+        dated.hint("rebalance", "date_bucket").write.mode("append").partitionBy("date_bucket").parquet(path)
+        return
+    numbered = dated.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    writer = numbered.hint("rebalance", "date_bucket").write.mode("overwrite")
+    writer.option("partitionOverwriteMode", "dynamic").partitionBy("date_bucket", "batch_id").parquet(path)
 
 
-def read_ledger(spark: SparkSession, path: str, dedup: bool = True) -> DataFrame:
-    """Ledger rows; with ``dedup`` the last batch wins per transaction."""
+def read_ledger(spark: SparkSession, path: str, dedup: bool = True, columns: list[str] | None = None) -> DataFrame:
+    """Ledger rows; with ``dedup`` the last batch wins per transaction.
+
+    Only ``columns``, and those that decide which row is last, are read. An id
+    belongs to one day, so a filter on ``date_bucket`` reaches the scan.
+    """
     ledger = spark.read.option("basePath", path).parquet(path)
+    if columns is not None and not dedup:
+        return ledger.select(*columns)
     if not dedup:
         return ledger
-    order = ["batch_id"] if "batch_id" in ledger.columns else []
-    return latest_by(ledger, ["txn_id"], order + ["timestamp_ns", "binding_hash"])
+    order = [c for c in ("batch_id", "timestamp_ns", "binding_hash") if c in ledger.columns]
+    key = [c for c in ("txn_id", "date_bucket") if c in ledger.columns]
+    wanted = columns or ledger.columns
+    return latest_by(ledger.select(*dict.fromkeys([*key, *order, *wanted])), key, order).select(*wanted)
+
+
+def compact_ledger(spark: SparkSession, path: str, target: str) -> None:
+    """The resolved ledger as a table of its own: one row for each id, few files for each day."""
+    read_ledger(spark, path).drop("batch_id").hint("rebalance", "date_bucket").write.mode("errorifexists").partitionBy(
+        "date_bucket").parquet(target)
 
 
 def page_after(ledger: DataFrame, cursor: tuple[int, str], limit: int = 500) -> DataFrame:

@@ -74,6 +74,15 @@ def _reject_reason(amount_text: Column) -> Column:
     )
 
 
+def record_id(df: DataFrame) -> Column:
+    """Id of a record that brings none: a hash of its whole text and, where the feed tells it, its place there.
+
+    A replay gives the same id; different texts never share one.
+    """
+    place = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("topic", "partition", "offset") if c in df.columns]
+    return F.sha2(F.concat_ws("\x1f", F.coalesce("raw_value", F.lit("")), *place), 256)
+
+
 def _now_ns() -> Column:
     return F.unix_micros(F.current_timestamp()) * F.lit(1000)
 
@@ -108,7 +117,7 @@ def normalise_lenient(parsed: DataFrame, default_ns: Column | None = None) -> Da
     cents = F.col("amount_cents")
     amount = F.when(cents.isNotNull(), _whole(cents)).otherwise(_whole(F.col("amount"), 100))
     columns = {
-        "txn_id": F.coalesce(_filled("txn_id"), _filled("transaction_id"), F.lit("unknown")),
+        "txn_id": F.coalesce(_filled("txn_id"), _filled("transaction_id"), record_id(parsed)),
         "account_id": F.coalesce("account_id", F.lit("unknown")),
         "counterparty_id": F.coalesce("counterparty_id", F.lit("")),
         "currency": F.coalesce("currency", F.lit("INR")),
@@ -120,13 +129,9 @@ def normalise_lenient(parsed: DataFrame, default_ns: Column | None = None) -> Da
 
 
 def normalise_strict(parsed: DataFrame, default_ns: Column | None = None) -> DataFrame:
-    """Model defaults. A missing id is derived from the content, so a replay gives the same id."""
-    content = F.concat_ws(
-        "\x1f", "account_id", "counterparty_id", "amount_cents", "currency", "txn_type", "timestamp_ns",
-        F.to_json("metadata"),
-    )
+    """Model defaults. A missing id is derived from the record, see :func:`record_id`."""
     columns = {
-        "txn_id": F.coalesce(_filled("txn_id"), F.sha2(content, 256)),
+        "txn_id": F.coalesce(_filled("txn_id"), record_id(parsed)),
         "account_id": F.coalesce("account_id", F.lit("")),
         "counterparty_id": F.coalesce("counterparty_id", F.lit("")),
         "currency": F.coalesce("currency", F.lit("INR")),

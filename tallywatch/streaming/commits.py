@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.commit import commit_table
+from ..operators.commit import commit_problem, commit_table
 from ..operators.privacy import with_valid_signature
 from ..operators.status import ingest_counts
 from ..schemas import DEFAULT_THRESHOLD
@@ -60,7 +60,9 @@ def commit_stream(
     def run(batch: DataFrame, batch_id: int) -> None:
         judged = judge(batch, sign_key, normalise).persist()
         try:
-            good, bad = split_rejects(judged)
+            # a row that cannot be committed is set aside like one that cannot be read
+            sound = judged.withColumn("reject_reason", F.coalesce("reject_reason", commit_problem()))
+            good, bad = split_rejects(sound)
             ledger = commit_table(good, key, threshold=threshold, **options).persist()
             try:
                 append_ledger(ledger, f"{out}/ledger", batch_id)
@@ -68,7 +70,7 @@ def commit_stream(
                 for name, frame in outputs.items():
                     write(name, frame, batch_id)
                 parquet_sink(out)("rejects", bad, batch_id)
-                parquet_sink(out)("counters", ingest_counts(judged), batch_id)
+                parquet_sink(out)("counters", ingest_counts(sound), batch_id)
                 run_hooks(on_committed, outputs["committed"], batch_id)
                 run_hooks(on_anomaly, outputs["anomalies"], batch_id)
             finally:
@@ -77,4 +79,4 @@ def commit_stream(
             judged.unpersist()
 
     writer = feed.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
-    return writer.trigger(**(trigger or {"processingTime": "500 milliseconds"})).start()
+    return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()

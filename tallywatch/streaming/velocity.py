@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.timeparts import HOUR_NS, NS, floor_div
 from ..operators.velocity import velocity
+from .late import keep_newest, newest_time, time_problem
 from .sinks import parquet_sink
 
 
@@ -22,56 +23,53 @@ CHUNK_NS = 6 * HOUR_NS
 
 
 def _history(spark: SparkSession, out: str, low: int, high: int) -> DataFrame:
-    """Arrivals with low <= timestamp_ns < high; only their chunks are listed."""
-    chunks = ",".join(str(c) for c in range(low // CHUNK_NS, high // CHUNK_NS + 1))
-    path = f"{out}/history/chunk={{{chunks}}}"
-    rows = spark.read.option("basePath", f"{out}/history").parquet(path).drop("chunk", "batch_id")
+    """Arrivals with low <= timestamp_ns < high; the chunk column prunes the folders read."""
+    rows = spark.read.parquet(f"{out}/history")
+    rows = rows.where(F.col("chunk").between(low // CHUNK_NS, high // CHUNK_NS)).drop("chunk", "batch_id")
     return rows.where((F.col("timestamp_ns") >= low) & (F.col("timestamp_ns") < high))
 
 
-def _bounds(spark: SparkSession, out: str, batch_id: int) -> dict | None:
-    if batch_id < 0:
-        return None
-    return spark.read.parquet(f"{out}/bounds/batch_id={batch_id}").first().asDict()
-
-
 def _emit(spark: SparkSession, out: str, key: str, window_s: int, low: int, high: int) -> DataFrame:
     """Counted rows with low <= timestamp_ns < high."""
     seen = _history(spark, out, low - window_s * NS, high)
     return velocity(seen, key=key, window_s=window_s).where(F.col("timestamp_ns") >= low)
 
 
-def velocity_batch(out: str, key: str = "account_hash", window_s: int = 3600, delay_s: int = 0) -> Callable:
-    """Function for ``foreachBatch``; rows older than the watermark go to ``out``/late."""
+def velocity_batch(out: str, delay_s: int, key: str = "account_hash", window_s: int = 3600,
+                   latest_ns: Column | None = None) -> Callable:
+    """Function for ``foreachBatch``.
+
+    The watermark lies ``delay_s`` before the newest time accepted so far. Rows
+    older than it, rows without time, and rows after ``latest_ns``, which would
+    move it for good, go to ``out``/aside with their reason.
+    """
     write = parquet_sink(out)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        before = _bounds(spark, out, batch_id - 1)
-        mark = before["mark"] if before else None
-        rows = batch.persist()
+        before = newest_time(spark, out, batch_id - 1)
+        mark = None if before is None else before - delay_s * NS
+        rows = batch.withColumn("aside_reason", time_problem(before, delay_s, latest_ns)).persist()
         try:
-            span = rows.agg(F.min("timestamp_ns").alias("low"), F.max("timestamp_ns").alias("high")).first()
-            if span["high"] is None:
-                spark.createDataFrame([(mark,)], "mark bigint").write.mode("overwrite").parquet(
-                    f"{out}/bounds/batch_id={batch_id}")
-                return
-            late = F.lit(False) if mark is None else F.col("timestamp_ns") < mark
-            fresh = rows.where(~late).withColumns({
-                "chunk": floor_div(F.col("timestamp_ns"), CHUNK_NS), "batch_id": F.lit(batch_id)
-            })
-            spread = fresh.hint("rebalance", "chunk").sortWithinPartitions("chunk", "timestamp_ns")
-            (spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-             .partitionBy("chunk", "batch_id").parquet(f"{out}/history"))
-            write("late", rows.where(late), batch_id)
+            taken = rows.where("aside_reason is null").drop("aside_reason")
+            span = taken.agg(F.min("timestamp_ns").alias("low"), F.max("timestamp_ns").alias("high")).first()
+            write("aside", rows.where("aside_reason is not null"), batch_id)
+            if span["high"] is not None:
+                fresh = taken.withColumns({
+                    "chunk": floor_div(F.col("timestamp_ns"), CHUNK_NS), "batch_id": F.lit(batch_id)
+                })
+                spread = fresh.hint("rebalance", "chunk").sortWithinPartitions("chunk", "timestamp_ns")
+                (spread.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+                 .partitionBy("chunk", "batch_id").parquet(f"{out}/history"))
         finally:
             rows.unpersist()
-        new_mark = max(m for m in (span["high"] - delay_s * NS, mark) if m is not None)
-        low = span["low"] if mark is None else mark
-        if new_mark > low:
-            write("velocity", _emit(spark, out, key, window_s, low, new_mark), batch_id)
-        spark.createDataFrame([(new_mark,)], "mark bigint").write.mode("overwrite").parquet(
-            f"{out}/bounds/batch_id={batch_id}")
+        newest = max((m for m in (span["high"], before) if m is not None), default=None)
+        if newest is not None:
+            low = span["low"] if mark is None else mark
+            new_mark = newest - delay_s * NS
+            if new_mark > low:
+                write("velocity", _emit(spark, out, key, window_s, low, new_mark), batch_id)
+        keep_newest(spark, out, batch_id, newest)
 
     return run
 
@@ -80,20 +78,20 @@ def velocity_stream(
     txns: DataFrame,
     out: str,
     checkpoint: str,
+    delay_s: int,
     key: str = "account_hash",
     window_s: int = 3600,
-    delay_s: int = 0,
+    latest_ns: Column | None = None,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Write each row with its trailing count to ``out``/velocity once the watermark passed it."""
-    run = velocity_batch(out, key, window_s, delay_s)
+    run = velocity_batch(out, delay_s, key, window_s, latest_ns)
     writer = txns.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
 
 
-def pending_velocity(spark: SparkSession, out: str, last_batch: int, key: str = "account_hash",
+def pending_velocity(spark: SparkSession, out: str, last_batch: int, delay_s: int, key: str = "account_hash",
                      window_s: int = 3600) -> DataFrame:
     """Counts of the rows the watermark has not passed yet, as they stand."""
-    mark = _bounds(spark, out, last_batch)["mark"]
-    top = spark.read.parquet(f"{out}/history").agg(F.max("timestamp_ns")).first()[0]
-    return _emit(spark, out, key, window_s, mark, top + 1)
+    newest = newest_time(spark, out, last_batch)
+    return _emit(spark, out, key, window_s, newest - delay_s * NS, newest + 1)

@@ -9,6 +9,8 @@ from tallywatch.sources.ledger import append_ledger, read_ledger
 from tallywatch.sources.raw import WIRE_SCHEMA, file_stream, normalise_lenient, parse_raw
 from tallywatch.streaming import live
 from tallywatch.streaming.commits import commit_stream, ingest_message
+from tallywatch.plans.streams import drain
+from tallywatch.streaming.late import read_aside, read_windows, window_stream
 from tallywatch.streaming.velocity import pending_velocity, velocity_batch, velocity_stream
 
 NS = 10**9
@@ -105,14 +107,14 @@ def parts(spark, path, *batches):
         frame.coalesce(1).write.mode("append").parquet(str(path / f"p{i}"))
 
 
-def batchwise(spark, out, batches, **options):
-    step = velocity_batch(str(out), **options)
+def batchwise(spark, out, batches, delay_s=0, **options):
+    step = velocity_batch(str(out), delay_s, **options)
     for i, rows in enumerate(batches):
         step(spark.createDataFrame(rows, TXN), i)
 
 
-def emitted(spark, out, last, **options):
-    rest = pending_velocity(spark, str(out), last, **options)
+def emitted(spark, out, last, delay_s=0, **options):
+    rest = pending_velocity(spark, str(out), last, delay_s, **options)
     done = [spark.read.parquet(str(out / "velocity"))] if (out / "velocity").exists() else []
     return sorted((r["txn_id"], r["velocity"]) for f in done + [rest] for r in f.select("txn_id", "velocity").collect())
 
@@ -130,7 +132,7 @@ def test_velocity_stream_equals_batch(spark, tmp_path):
     out = tmp_path / "out"
     stream = velocity_stream(
         file_stream(spark, str(tmp_path / "src" / "*"), spark.createDataFrame(rows, TXN).schema), str(out),
-        str(out / "_checkpoint"), trigger=DRAIN)
+        str(out / "_checkpoint"), 0, trigger=DRAIN)
     stream.awaitTermination()
     assert emitted(spark, out, stream.lastProgress["batchId"]) == batch_truth(spark, batches)
 
@@ -140,23 +142,23 @@ def test_velocity_out_of_order_within_delay(spark, tmp_path):
     mixed = rows[:10] + rows[14:20] + rows[10:14] + rows[20:]
     batches = [mixed[:16], mixed[16:24], mixed[24:]]
     batchwise(spark, tmp_path / "out", batches, delay_s=1000)
-    assert emitted(spark, tmp_path / "out", 2) == batch_truth(spark, batches)
-    assert spark.read.schema(TXN).parquet(str(tmp_path / "out" / "late")).count() == 0
+    assert emitted(spark, tmp_path / "out", 2, 1000) == batch_truth(spark, batches)
+    assert spark.read.schema(TXN).parquet(str(tmp_path / "out" / "aside")).count() == 0
 
 
 def test_velocity_late_rows_go_aside(spark, tmp_path):
     now = 1_704_067_200
     batches = [[("T0", "A", now * NS), ("T1", "A", (now + 10) * NS)], [("L", "A", (now + 5) * NS), ("T2", "A", (now + 20) * NS)]]
     batchwise(spark, tmp_path / "out", batches)
-    late = spark.read.parquet(str(tmp_path / "out" / "late"))
-    assert [r["txn_id"] for r in late.collect()] == ["L"]
+    late = spark.read.parquet(str(tmp_path / "out" / "aside"))
+    assert [(r["txn_id"], r["aside_reason"]) for r in late.collect()] == [("L", "LATE")]
     assert emitted(spark, tmp_path / "out", 1) == [("T0", 1), ("T1", 2), ("T2", 3)]
 
 
 def test_velocity_retry_and_empty_batch(spark, tmp_path):
     now = 1_704_067_200
     batches = [[(f"T{i}", "A", (now + i) * NS) for i in range(5)], [], [("T5", "A", (now + 9) * NS)]]
-    step = velocity_batch(str(tmp_path / "out"))
+    step = velocity_batch(str(tmp_path / "out"), 0)
     for i in (0, 0, 1, 2, 2):
         step(spark.createDataFrame(batches[i], TXN), i)
     assert emitted(spark, tmp_path / "out", 2) == [(f"T{i}", i + 1) for i in range(6)]
@@ -169,23 +171,53 @@ def test_live_stats_update_mode(spark, tmp_path):
                                       "txn_id string, status string, timestamp_ns bigint")
         frame.coalesce(1).write.mode("append").parquet(str(src))
     rows = file_stream(spark, str(src), spark.read.parquet(str(src)).schema)
-    query = live.live_stats(rows).writeStream.outputMode("complete").format("memory").queryName("live").trigger(**DRAIN).start()
+    query = live.live_stats(rows, "10 minutes").writeStream.outputMode("complete").format("memory").queryName("live").trigger(**DRAIN).start()
     query.awaitTermination()
     got = spark.sql("select unix_seconds(window.start) s, total, quarantined, verified from live order by 1").collect()
     assert [tuple(r) for r in got] == [(100, 4, 2, 2), (101, 4, 2, 2), (102, 4, 2, 2)]
 
 
-def test_late_records_are_dropped_by_the_watermark(spark, tmp_path):
+def test_velocity_sets_null_and_future_times_aside(spark, tmp_path):
+    now = 1_704_067_200
+    good = [("T0", "A", now * NS), ("T1", "A", (now + 10) * NS), ("T2", "A", (now + 20) * NS)]
+    batches = [[good[0], ("F", "A", (now + 10**9) * NS)], [good[1], ("N", "A", None)], [good[2]]]
+    batchwise(spark, tmp_path / "out", batches, latest_ns=F.lit((now + 1000) * NS))
+    aside = spark.read.parquet(str(tmp_path / "out" / "aside"))
+    assert sorted((r["txn_id"], r["aside_reason"]) for r in aside.collect()) == [("F", "FUTURE"), ("N", "NO_TIME")]
+    assert emitted(spark, tmp_path / "out", 2) == batch_truth(spark, [good])
+
+
+def test_late_records_are_kept_and_counted(spark, tmp_path):
     src = tmp_path / "src"
-    for n, second in enumerate((1000, 5000, 6000, 1000, 9000)):
-        spark.createDataFrame([(f"T{n}", "VERIFIED", second * NS)], "txn_id string, status string, timestamp_ns bigint").coalesce(1).write.mode("append").parquet(str(src))
+    schema = "txn_id string, timestamp_ns bigint"
+    for n, second in enumerate((1000, 5000, 6000, 1000, 5995, None, 9000)):
+        ns = None if second is None else second * NS
+        spark.createDataFrame([(f"T{n}", ns)], schema).coalesce(1).write.mode("append").parquet(str(src))
     rows = file_stream(spark, str(src), spark.read.parquet(str(src)).schema)
-    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
-    query = (live.live_stats(rows, "1 second", "10 seconds").writeStream.outputMode("append").format("parquet")
-             .option("path", out).option("checkpointLocation", ck).trigger(**DRAIN).start())
-    query.awaitTermination()
-    got = {r["s"]: r["total"] for r in spark.read.parquet(out).select(F.col("window.start").cast("long").alias("s"), "total").collect()}
-    assert got.get(1000) == 1 and got.get(5000) == 1
+    second = (F.col("timestamp_ns") / NS).cast("bigint").alias("s")
+    out = str(tmp_path / "out")
+    window_stream(rows, out, str(tmp_path / "ck"), lambda f: f.groupBy(second).agg(F.count("*").alias("n")), 10,
+                  trigger=DRAIN).awaitTermination()
+    got = {r["s"]: r["n"] for r in read_windows(spark, out, ["s"]).collect()}
+    assert got == {1000: 1, 5000: 1, 6000: 1, 5995: 1, 9000: 1}
+    assert sorted((r["txn_id"], r["aside_reason"]) for r in read_aside(spark, out).collect()) == [("T3", "LATE"), ("T5", "NO_TIME")]
+
+
+def test_windows_are_right_over_many_batches(spark, tmp_path):
+    """One file or four, in any order: the last value of each window is the count."""
+    rows = [(f"T{i}", "VERIFIED" if i % 3 else "QUARANTINED", (i * 37 % 50) * NS) for i in range(60)]
+    schema = "txn_id string, status string, timestamp_ns bigint"
+    for name, size in (("one", 60), ("many", 15)):
+        src = tmp_path / name
+        for at in range(0, 60, size):
+            spark.createDataFrame(rows[at:at + size], schema).coalesce(1).write.mode("append").parquet(str(src))
+        stream = file_stream(spark, str(src), spark.read.parquet(str(src)).schema)
+        done = drain(spark, live.live_stats(stream, "1 day", "10 seconds"), "windows", keys=["window"])
+        got = sorted((r["s"], r["total"]) for r in done.select(F.unix_seconds("window.start").alias("s"), "total").collect())
+        want = {}
+        for _, _, ns in rows:
+            want[ns // NS // 10 * 10] = want.get(ns // NS // 10 * 10, 0) + 1
+        assert got == sorted(want.items())
 
 
 def test_kafka_source_is_optional(spark):
