@@ -18,7 +18,7 @@ from tallywatch.llm.jaccard import jaccard_components
 from tallywatch.llm.marks import marked, marks_of
 from tallywatch.llm.packing import pack
 from tallywatch.llm.repeats import remove_repeats
-from tallywatch.session import ship_package
+from tallywatch.llm.settings import ready
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,14 +28,14 @@ ORACLE_SQL = None
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine does not call toxic."""
-    ship_package(spark)
+    ready(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep(docs, toxicity.train(docs, labels, training=~toxicity.held_out()))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier calls good."""
-    ship_package(spark)
+    ready(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep(docs, quality.train(docs, labels, training=~quality.held_out()))
 
@@ -46,7 +46,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Of rows that repeat a doc_id one stays; rows without a doc_id all stay. Only
     rows that may have to go are shuffled.
     """
-    ship_package(spark)
+    ready(spark)
     linked = saved(jaccard_components(docs, words=5, percent=80).where("doc_id is not null"), "near")
     copies = linked.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times"))
     doubtful = saved(copies.where("doc_id <> component_id or times > 1"), "near")
@@ -66,7 +66,7 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     where there is such a column, becomes the length of what is left. Documents
     that lose nothing are not shuffled.
     """
-    ship_package(spark)
+    ready(spark)
     left = remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept").dropDuplicates(["doc_id"])
 
     def readable(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,7 +94,7 @@ def _free_name(name: str, taken: list[str]) -> str:
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 tokens."""
-    ship_package(spark)
+    ready(spark)
     return pack(docs)
 
 

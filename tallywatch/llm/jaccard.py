@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import batches as B
 from .graph import components, saved
-from .marks import marked, marks_of
+from .marks import hits, marks_of, with_place
 from .segments import PROBE, SMALL, signatures
 
 REFINE_FROM = 64
@@ -43,7 +43,7 @@ def sets_with_keys(part: pa.RecordBatch, words: int) -> tuple[np.ndarray, np.nda
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, size of the shingle set and its 128-bit fingerprint (h1, h2)."""
     def measure(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in B.slices(parts):
+        for part in B.slices(parts, most=2 << 20):
             shingles, bounds = _sets(part, words)
             h1, h2 = _fingerprints(shingles, bounds)
             yield pa.RecordBatch.from_arrays(
@@ -124,7 +124,7 @@ def _document_entries(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Signature rows of all documents; equal sets of a task are entered once. A node is a set's h1."""
     def enter(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for part in B.slices(parts, most=8 << 20):
+        for part in B.slices(parts, most=2 << 20):
             shingles, bounds = _sets(part, words)
             h1, _ = _fingerprints(shingles, bounds)
             fresh = np.zeros(len(h1), bool)
@@ -144,13 +144,15 @@ def _document_entries(docs: DataFrame, words: int, percent: int) -> DataFrame:
 def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """doc_id, h1 and sorted shingles of the documents that have an id in ``ids``."""
     def collect(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in B.slices(parts):
+        for part in B.slices(hits(parts, shared.value), most=2 << 20):
             shingles, bounds = _sets(part, words)
             h1, _ = _fingerprints(shingles, bounds)
             data = B.binary_array(shingles.view(np.uint8), bounds * 8).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(h1), data], ["doc_id", "h1", "shingles"])
 
-    found = marked(B.id_and_text(docs), marks_of(ids), True).mapInArrow(collect, "doc_id bigint, h1 bigint, shingles binary")
+    shared = docs.sparkSession.sparkContext.broadcast(marks_of(ids))
+    placed = with_place(B.id_and_text(docs), len(shared.value))
+    found = placed.mapInArrow(collect, "doc_id bigint, h1 bigint, shingles binary")
     return found.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "h1"]).drop("h1")
 
 
@@ -158,14 +160,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those pairs (a, b) whose sets are similar enough, by their full sets."""
     def check(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            one, two = part.column("one").to_pylist(), part.column("two").to_pylist()
+            (one, first), (two, second) = (B.flat_bytes(part.column(c)) for c in ("one", "two"))
+            one, two = one.view(np.uint64), two.view(np.uint64)
             good = []
-            for left, right in zip(one, two):
-                s, t = len(left) // 8, len(right) // 8
-                if 100 * min(s, t) < percent * max(s, t):
-                    good.append(False)
-                    continue
-                both = np.concatenate([np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)])
+            for a, b, c, d in zip(first[:-1] // 8, first[1:] // 8, second[:-1] // 8, second[1:] // 8):
+                s, t = b - a, d - c
+                both = np.concatenate([one[a:b], two[c:d]])
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
                 good.append(100 * shared >= percent * (s + t - shared))

@@ -31,22 +31,31 @@ def marks_of(ids: DataFrame) -> np.ndarray:
     return field
 
 
+def with_place(rows: DataFrame, size: int) -> DataFrame:
+    """Rows with, as their last column, the place of their doc_id in a field of ``size`` bytes; null without an id."""
+    name = "place"
+    while name in rows.columns:
+        name += "_"
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(8 * size))
+    return rows.withColumn(name, F.when(F.col("doc_id").isNotNull(), place))
+
+
+def hits(parts: Iterable[pa.RecordBatch], field: np.ndarray, hit: bool = True) -> Iterator[pa.RecordBatch]:
+    """Rows whose bit is set, or with ``hit`` false the others, without the place."""
+    for part in parts:
+        at = part.column(part.num_columns - 1)
+        there = np.asarray(at.fill_null(0))
+        found = (field[there >> 3] >> (there & 7).astype(np.uint8) & 1).astype(bool) & np.asarray(at.is_valid())
+        chosen = part.filter(pa.array(found == hit))
+        if chosen.num_rows:
+            yield chosen.select(list(range(part.num_columns - 1)))
+
+
 def marked(rows: DataFrame, field: np.ndarray, hit: bool) -> DataFrame:
     """Rows whose doc_id has its bit set, or with ``hit`` false the others and those without id; all columns stay."""
     shared = rows.sparkSession.sparkContext.broadcast(field)
-    bits = 8 * len(field)
-    place = "place"
-    while place in rows.columns:
-        place += "_"
 
     def keep(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            at = part.column(part.num_columns - 1)
-            there = np.asarray(at.fill_null(0))
-            found = (shared.value[there >> 3] >> (there & 7).astype(np.uint8) & 1).astype(bool) & np.asarray(at.is_valid())
-            chosen = part.filter(pa.array(found == hit))
-            if chosen.num_rows:
-                yield chosen.select(list(range(part.num_columns - 1)))
-
-    bit = F.when(F.col("doc_id").isNotNull(), F.pmod(F.xxhash64(F.col("doc_id").cast("bigint")), F.lit(bits)))
-    return rows.withColumn(place, bit).mapInArrow(keep, rows.schema)
+        yield from hits(parts, shared.value, hit)
+
+    return with_place(rows, len(field)).mapInArrow(keep, rows.schema)

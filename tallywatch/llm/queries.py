@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import quality, toxicity
-from ..session import ship_package, work_dir
+from ..session import work_dir
 from .dropout import round_trip
 from .fertility import quality_rules
 from .fingerprints import with_edited
 from .jaccard import jaccard_components
 from .packing import pack
 from .repeats import remove_repeats
+from .settings import ready
 from .token_counts import count_tokens
 from .token_files import read_documents, write_shards
 
@@ -27,8 +28,7 @@ def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 @register
