@@ -17,7 +17,7 @@ from .suffixes import suffix_array
 
 WINDOW = 100
 UNIT = 17
-BATCH_CONTEXTS = 20_000
+BATCH_CONTEXTS = 10_000
 MOST_CONTEXTS = 20_000
 _PLACE = "place bigint"
 
@@ -33,7 +33,7 @@ def _context_rows(docs: DataFrame, window: int) -> DataFrame:
     others are repeats already, marked ``known``.
     """
     def cut(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in B.slices(parts, most=8 << 20):
+        for part in B.slices(parts, most=1 << 20):
             data, bounds = B.flat_bytes(part.column("text"))
             c = contexts(data, bounds, window)
             if not len(c["row"]):
