@@ -90,6 +90,8 @@ def features(column: pa.Array) -> np.ndarray:
     shape = B.span_hashes(sign[fresh].astype(np.uint8), kept[starts], kept[ends]) >> np.uint64(56)
     share = np.bincount(word_row * SHAPES + shape.astype(np.int64), minlength=n * SHAPES).reshape(n, SHAPES)
     out[:, 20:] = np.sqrt(share / count[:, None])
+    # what has no words has no measures of words, whatever stands beside it in the batch
+    out[~has, _CLASSES:] = 0
     return out
 
 

@@ -148,8 +148,8 @@ def fit(machine: FactorizationMachine, features: np.ndarray, bounds: np.ndarray,
             pull = slope[row]
             gradients = {"weights": np.bincount(own, pull, n_features) + decay * machine.weights}
             pair = pull[:, None] * (sums[row] - v)
-            gradients["factors"] = np.stack([np.bincount(own, pair[:, k], n_features) for k in range(factors)], 1)
-            gradients["factors"] += decay * machine.factors
+            by_factor = np.stack([np.bincount(own, pair[:, k], n_features) for k in range(factors)], 1)
+            gradients["factors"] = by_factor + decay * machine.factors
             for name, p in parameters.items():
                 first[name] = 0.9 * first[name] + 0.1 * gradients[name]
                 second[name] = 0.999 * second[name] + 0.001 * gradients[name] ** 2
