@@ -6,15 +6,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import batches as B
 from .graph import components, saved
 from .marks import hits, marks_of, with_place
-from .segments import PROBE, SMALL, signatures
+from .segments import PROBE, signatures
 
-REFINE_FROM = 64
-MOST_LEVELS = 3
+#: 64-bit words of the sketch that bounds how far two sets differ.
+SKETCH = 32
 _SET_COLUMNS = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint"
 
 
@@ -141,42 +141,72 @@ def _document_entries(docs: DataFrame, words: int, percent: int) -> DataFrame:
     return B.id_and_text(docs).where("doc_id is not null").mapInArrow(enter, "sig bigint, node bigint, other bigint")
 
 
+def _sketches(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A bit field of each set with the bit of every element set: fields differ in no more bits than sets in elements."""
+    place = (B.mix64(shingles ^ np.uint64(0x6A09E667F3BCC909)) >> np.uint64(64 - 11)).astype(np.int64)
+    rows = len(bounds) - 1
+    bits = np.zeros((rows, 64 * SKETCH), bool)
+    bits[np.repeat(np.arange(rows), np.diff(bounds)), place] = True
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
+
+
+_SKETCH_COLUMNS = [f"s{n}" for n in range(SKETCH)]
+
+
 def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc_id, h1 and sorted shingles of the documents that have an id in ``ids``."""
+    """doc_id, size, sorted shingles and sketch of the documents that have an id in ``ids``."""
     def collect(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.slices(hits(parts, shared.value), most=2 << 20):
             shingles, bounds = _sets(part, words)
             h1, _ = _fingerprints(shingles, bounds)
             data = B.binary_array(shingles.view(np.uint8), bounds * 8).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(h1), data], ["doc_id", "h1", "shingles"])
+            sketch = _sketches(shingles, bounds)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array(h1), pa.array(np.diff(bounds)), data, *(pa.array(c) for c in sketch.T)],
+                ["doc_id", "h1", "size", "shingles", *_SKETCH_COLUMNS],
+            )
 
     shared = docs.sparkSession.sparkContext.broadcast(marks_of(ids))
     placed = with_place(B.id_and_text(docs), len(shared.value))
-    found = placed.mapInArrow(collect, "doc_id bigint, h1 bigint, shingles binary")
+    columns = ", ".join(f"{c} bigint" for c in _SKETCH_COLUMNS)
+    found = placed.mapInArrow(collect, f"doc_id bigint, h1 bigint, size bigint, shingles binary, {columns}")
     return found.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "h1"]).drop("h1")
 
 
+def _sides(sets: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """The named columns of the sets, once for each side of a pair."""
+    return tuple(
+        sets.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in ("a", "b")
+    )
+
+
+def _may_link(percent: int) -> Column:
+    """False where sizes or sketches of sides a and b show that the sets differ too much."""
+    smaller, larger = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    differ = sum((F.bit_count(F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b"))) for c in _SKETCH_COLUMNS), F.lit(0))
+    allowed = (F.col("size_a") + F.col("size_b")) * (100 - percent)
+    return (100 * smaller >= percent * larger) & (differ * (100 + percent) <= allowed)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar enough, by their full sets."""
+    """Those pairs (a, b) whose sets are similar enough: by size and sketch first, then by the full sets."""
     def check(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            (one, first), (two, second) = (B.flat_bytes(part.column(c)) for c in ("one", "two"))
+            (one, first), (two, second) = (B.flat_bytes(part.column(c)) for c in ("shingles_a", "shingles_b"))
             one, two = one.view(np.uint64), two.view(np.uint64)
             good = []
             for a, b, c, d in zip(first[:-1] // 8, first[1:] // 8, second[:-1] // 8, second[1:] // 8):
-                s, t = b - a, d - c
                 both = np.concatenate([one[a:b], two[c:d]])
                 both.sort(kind="stable")
                 shared = int((both[1:] == both[:-1]).sum())
-                good.append(100 * shared >= percent * (s + t - shared))
+                good.append(100 * shared >= percent * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("one"), F.length("shingles").alias("size_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("two"), F.length("shingles").alias("size_b"))
-    sized = pairs.join(left.select("a", "size_a"), "a").join(right.select("b", "size_b"), "b")
-    near = sized.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")).select("a", "b")
-    both = near.join(right.select("b", "two"), "b").join(left.select("a", "one"), "a")
-    return both.select("a", "b", "one", "two").mapInArrow(check, "a bigint, b bigint").distinct()
+    left, right = _sides(sets, "size", *_SKETCH_COLUMNS)
+    near = pairs.join(left, "a").join(right, "b").where(_may_link(percent)).select("a", "b")
+    left, right = _sides(sets, "shingles")
+    both = near.join(right, "b").join(left, "a")
+    return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(check, "a bigint, b bigint").distinct()
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -196,13 +226,12 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
        share one are tied to a pivot. A task ties its own sets first, so a hot
        signature sends one row per slice of a task to the shuffle.
     3. Tied pairs are verified on whole sets, and links joined to components.
-    4. Where a signature's sets ended in different components, the pairs across
-       components are verified as well. A signature with many such sets is
-       entered again with its sets' signatures of another partition of the
-       universe, since a pair that links must meet there too, up to three times.
+    4. Where a signature's sets ended in different components, the sets outside
+       the largest one are compared with the others: sketches of 2048 bits differ
+       in no more bits than the sets in elements, which rules out most pairs
+       inside the join; the rest are verified.
 
-    No pair that links is lost, and no bucket is multiplied out unless its sets
-    stay apart after that. Null, empty and blank texts have size 0, link with
+    No pair that links is lost. Null, empty and blank texts have size 0, link with
     nothing and are their own component. Rows with a null doc_id get a null
     component and take no part. Repeated rows give a row each; rows of one
     doc_id are one document. Other columns are not read. Shingles are compared
@@ -232,27 +261,12 @@ def link_classes(docs: DataFrame, described: DataFrame, known: DataFrame, rows:
     fresh = saved(_ordered(ties), "pairs")
     ids = fresh.select(F.col("a").alias("doc_id")).unionByName(fresh.select(F.col("b").alias("doc_id"))).distinct()
     sets = saved(_sets_of(docs, ids, words), "shingles")
-    tried, links = fresh, saved(_verified(fresh, sets, percent), "links")
+    links = saved(_verified(fresh, sets, percent), "links")
     found = components(links)
-    for level in range(1, MOST_LEVELS + 1):
-        apart = _apart(ties, found)
-        if apart.isEmpty():
-            break
-        sizes = apart.groupBy("sig").agg(F.count("*").alias("members"))
-        # where the last level still leaves many sets, their pairs are all verified
-        few = F.lit(True) if level == MOST_LEVELS else F.col("members") <= REFINE_FROM
-        members = saved(apart.join(sizes, "sig").withColumn("few", few), "members")
-        ties = saved(_stars(_refined(members.where("not few"), sets, percent, level), partitions), "ties")
-        own = members.where("few").select("sig", "node", "component")
-        other = own.select("sig", F.col("node").alias("mate"), F.col("component").alias("mate_component"))
-        across = own.join(other, "sig").where("node < mate and component <> mate_component")
-        more = _ordered(across.select(F.col("node").alias("a"), F.col("mate").alias("b")).unionByName(ties.select("a", "b")))
-        fresh = saved(more.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = tried.unionByName(fresh)
-        gained = saved(_verified(fresh, sets, percent), "links")
-        if not gained.isEmpty():
-            links = links.unionByName(gained)
-            found = components(links)
+    rest = saved(_across(_apart(ties, found), sets, percent), "pairs")
+    gained = saved(_verified(rest.join(fresh, ["a", "b"], "left_anti"), sets, percent), "links")
+    if not gained.isEmpty():
+        found = components(links.unionByName(gained))
     final = known.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "n_shingles", "h1", "h2", F.coalesce("component", "class_id").alias("component_id")
     )
@@ -275,17 +289,21 @@ def _apart(ties: DataFrame, found: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def _refined(members: DataFrame, sets: DataFrame, percent: int, level: int) -> DataFrame:
-    """Signature rows of crowded signatures' members, by another partition of the universe."""
-    def enter(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            data, bounds = B.flat_bytes(part.column("shingles"))
-            parent, node = np.asarray(part.column("sig")), np.asarray(part.column("node"))
-            sigs, owner = signatures(data.view(np.uint64), bounds // 8, percent, 100, seed=level)
-            if len(sigs):
-                kind = sigs & np.uint64(PROBE | SMALL)
-                mixed = B.mix64(sigs + parent[owner].view(np.uint64)) & ~np.uint64(3) | kind
-                yield entries(mixed, node[owner])
+def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of members in different components that size and sketch do not rule out.
 
-    joined = members.join(sets.withColumnRenamed("doc_id", "node"), "node").select("sig", "node", "shingles")
-    return joined.mapInArrow(enter, "sig bigint, node bigint, other bigint")
+    Of a signature's members those outside its largest component are compared
+    with all others. The comparison is part of the join, so that pairs ruled out
+    are never made.
+    """
+    counted = members.groupBy("sig", "component").agg(F.count("*").alias("n"))
+    largest = counted.groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    sketched = saved(members.join(largest, "sig").join(sets.drop("shingles").withColumnRenamed("doc_id", "node"), "node"), "members")
+    side = lambda x: sketched.select(
+        "sig", (F.col("component") == F.col("largest")).alias(f"main_{x}"), F.col("node").alias(x),
+        F.col("component").alias(f"component_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("size", *_SKETCH_COLUMNS)],
+    )
+    one, other = side("a").where("not main_a"), side("b")
+    apart = (F.col("component_a") != F.col("component_b")) & (F.col("main_b") | (F.col("a") < F.col("b")))
+    pairs = one.withColumnRenamed("sig", "sig_a").join(other, (F.col("sig_a") == F.col("sig")) & apart & _may_link(percent))
+    return _ordered(pairs.select("a", "b"))
