@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
 
-from ..session import work_dir
+from pyspark.sql import DataFrame, functions as F
+
+from ..session import shared_dir
 
 
 def transfer_edges(
@@ -25,43 +27,51 @@ def transfer_edges(
     return links.select(F.explode(sides).alias("e")).select("e.*")
 
 
-def _salt(col: Column, salts: int) -> Column:
-    return F.pmod(F.xxhash64(col), F.lit(salts))
-
-
-def _spread(frontier: DataFrame, salts: int) -> DataFrame:
-    copies = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint")))
-    return frontier.select(F.col("node").alias("dst"), copies.alias("salt"))
+def _hubs(edges: DataFrame, per_part: int) -> DataFrame:
+    """Nodes with more than ``per_part`` edges into them, and the parts their edges are cut into."""
+    degree = edges.groupBy("dst").agg(F.count("*").alias("n")).where(F.col("n") > per_part)
+    return degree.select("dst", F.ceil(F.col("n") / per_part).cast("bigint").alias("parts"))
 
 
-def _bucketed_by_target(edges: DataFrame, salts: int, path: str) -> tuple[DataFrame, str]:
-    """Edges as a table bucketed by (dst, salt), so that no hop shuffles them again."""
+def _bucketed_by_target(edges: DataFrame, hubs: DataFrame, name: str) -> DataFrame:
+    """Edges as a table bucketed by (dst, part), so that no hop shuffles them again; only hubs have several parts."""
     spark = edges.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = "edges_" + path.rsplit("-", 1)[-1]
-    salted = edges.select("src", "dst").withColumn("salt", _salt(F.col("src"), salts))
-    writer = salted.repartition(buckets, "dst", "salt").write.bucketBy(buckets, "dst", "salt")
-    writer.option("path", path).saveAsTable(name)
-    return spark.table(name), name
+    part = F.pmod(F.xxhash64("src"), F.coalesce("parts", F.lit(1).cast("bigint"))).alias("part")
+    cut = edges.join(hubs, "dst", "left").select("src", "dst", part)
+    cut.repartition(buckets, "dst", "part").write.bucketBy(buckets, "dst", "part").saveAsTable(name)
+    return spark.table(name)
+
+
+def _spread(frontier: DataFrame, hubs: DataFrame) -> DataFrame:
+    """The frontier once for each part of a node's edges."""
+    last = F.coalesce("parts", F.lit(1).cast("bigint")) - 1
+    parts = F.explode(F.sequence(F.lit(0).cast("bigint"), last))
+    return frontier.join(hubs, frontier["node"] == hubs["dst"], "left").select(F.col("node").alias("dst"), parts.alias("part"))
 
 
-def hops_to_blacklist(edges: DataFrame, blacklist: DataFrame, max_hops: int = 5, salts: int = 16) -> DataFrame:
+def hops_to_blacklist(edges: DataFrame, blacklist: DataFrame, max_hops: int = 5, per_part: int = 1_000_000) -> DataFrame:
     """Least number of transfers from each node to a blacklisted one, up to ``max_hops``.
 
     ``edges`` comes from :func:`transfer_edges`, ``blacklist`` has (node). A breadth-first search
     against the edge direction. The edges are written once, bucketed by the
     node they end in; each hop joins the frontier to them, keeps each new node
-    once, and is checkpointed, both in the shared folder. Edges into a hub are
-    spread over ``salts`` buckets by their source; the narrow frontier is
-    repeated to match.
+    once, and is checkpointed in the shared folder. Edges into a hub are cut by
+    their source into as many parts as its degree asks for, ``per_part`` edges
+    each, and only hubs are repeated in the frontier. The table of edges is
+    dropped with its files when the search ends.
     """
     spark = edges.sparkSession
-    incoming, name = _bucketed_by_target(edges, salts, work_dir(spark, "edges"))
+    shared_dir(spark)
+    name = "edges_" + uuid.uuid4().hex
+    edges = edges.select("src", "dst").checkpoint()
+    hubs = _hubs(edges, per_part).checkpoint()
     try:
+        incoming = _bucketed_by_target(edges, hubs, name)
         frontier = blacklist.select("node").distinct().withColumn("hops", F.lit(0)).checkpoint()
         reached = frontier
         for hop in range(1, max_hops + 1):
-            found = incoming.join(_spread(frontier, salts), ["dst", "salt"]).select(F.col("src").alias("node")).distinct()
+            found = incoming.join(_spread(frontier, hubs), ["dst", "part"]).select(F.col("src").alias("node")).distinct()
             new = found.join(reached.select("node"), "node", "left_anti")
             frontier = new.withColumn("hops", F.lit(hop)).checkpoint()
             if frontier.isEmpty():
@@ -69,5 +79,4 @@ def hops_to_blacklist(edges: DataFrame, blacklist: DataFrame, max_hops: int = 5,
             reached = reached.unionByName(frontier)
         return reached
     finally:
-        # the name only; the files stay in the shared folder
         spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.hashing import hash_id, hmac_sha256
+from ..functions.joins import spread_join
 from ..schemas import FORBIDDEN_COLS
 
 
@@ -56,29 +57,39 @@ def forbidden_columns(export: DataFrame) -> list[str]:
     return sorted(c for c in export.columns if c.lower() in FORBIDDEN_COLS or c.lower().startswith("amount"))
 
 
-def leaked_ids(export: DataFrame, raw: DataFrame) -> DataFrame:
-    """Values of any exported text column that equal a raw identifier, with their counts.
+def _texts(export: DataFrame, skip: tuple[str, ...] = ()) -> Column:
+    """All columns of a record as (column, text); nested ones as JSON, so that what they hold is seen too."""
+    nested = ("struct", "array", "map")
+    cells = [
+        F.struct(
+            F.lit(f.name).alias("column"),
+            (F.to_json(f.name) if f.dataType.typeName() in nested else F.col(f.name).cast("string")).alias("text"),
+        )
+        for f in export.schema.fields if f.name not in skip
+    ]
+    return F.explode(F.array(*cells))
 
-    Values are counted per column before the join, so a constant column such as
-    a status costs one row, not one per record.
+
+def leaked_ids(export: DataFrame, raw: DataFrame, token: str = "[A-Za-z0-9_-]+") -> DataFrame:
+    """Raw identifiers that stand anywhere in an export, in text or nested values, with their counts per column.
+
+    Texts are cut into tokens; a token that is an id counts, so ACC-1 is not
+    found in ACC-12. Ids are joined first and hits counted after, so values that
+    are no ids never reach the grouping.
     """
-    texts = [f.name for f in export.schema.fields if f.dataType.simpleString() == "string"]
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in texts]))
-    seen = export.select(pairs.alias("p")).select("p.*").groupBy("column", "value").agg(F.count("*").alias("n"))
-    ids = raw.select(F.explode(F.array("account_id", "counterparty_id")).alias("value")).distinct()
-    return seen.join(ids, "value", "left_semi").select("column", "value", "n")
+    cells = export.select(_texts(export).alias("c")).select("c.*")
+    tokens = cells.select("column", F.explode(F.regexp_extract_all("text", F.lit(token), F.lit(0))).alias("value"))
+    ids = raw.select(F.explode(F.array("account_id", "counterparty_id")).alias("value")).where("value <> ''").distinct()
+    return spread_join(tokens, ids, ["value"], "left_semi").groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
 def leaked_amounts(export: DataFrame, raw: DataFrame) -> DataFrame:
-    """Transactions whose own amount appears as the text of an exported value.
+    """Transactions whose own amount appears as a whole number anywhere in an exported value, text or nested.
 
-    Only whole numbers can match, so other cells are dropped before the shuffle;
-    the semi join on id and value never pairs up copies of an id.
+    The semi join on id and number never pairs up copies of an id.
     """
-    shown = [c for c in export.columns if c != "txn_id" and "struct" not in dict(export.dtypes)[c]]
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in shown])
-    numeric = export.select("txn_id", F.explode(cells).alias("c")).select("txn_id", "c.*").where(
-        F.col("value").rlike("^-?[0-9]+$")
-    )
+    cells = export.select("txn_id", _texts(export, ("txn_id",)).alias("c")).select("txn_id", "c.*")
+    number = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("(?<![0-9A-Za-z])-?[0-9]+(?![0-9A-Za-z])"), F.lit(0))))
+    numbers = cells.select("txn_id", "column", number.alias("value"))
     own = raw.select("txn_id", F.col("amount_cents").cast("string").alias("value"))
-    return numeric.join(own, ["txn_id", "value"], "left_semi").select("txn_id", "column")
+    return numbers.join(own, ["txn_id", "value"], "left_semi").select("txn_id", "column")

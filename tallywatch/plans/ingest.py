@@ -232,25 +232,30 @@ def pii_assertion(spark, sf):
 
 
 @query(f"""{views('raw')} SELECT 'memo' AS "column", account_id AS value, count(*) AS n FROM raw WHERE k = 21
-    GROUP BY account_id""")
+    GROUP BY account_id UNION ALL SELECT 'detail', counterparty_id, count(*) FROM raw WHERE k = 34 GROUP BY ALL""")
 def leaked_id_audit(spark, sf):
-    """Finds the raw account ids that slipped into an export's memo."""
+    """Finds the raw account ids that slipped into the text of an export's memo and into a nested note."""
     raw = fx.raw_txns(spark, sf)
+    memo = F.concat(F.lit("paid by "), F.col("account_id"), F.lit(": 4711"))
+    note = F.concat_ws("", F.lit("to:"), F.col("counterparty_id"))
     export = privacy.pseudonymise(raw).select(
         "txn_id", "account_hash", "counterparty_hash", "txn_type", "currency",
-        F.when(F.col("k") == 21, F.col("account_id")).otherwise(F.lit("ok")).alias("memo"),
+        F.when(F.col("k") == 21, memo).otherwise(F.lit("ok")).alias("memo"),
+        F.struct(F.lit("desk").alias("by"), F.array(F.when(F.col("k") == 34, note)).alias("notes")).alias("detail"),
     )
     return privacy.leaked_ids(export, raw)
 
 
 @query(f"""{views('raw')} SELECT txn_id, 'memo' AS "column" FROM raw WHERE k = 21
+    UNION ALL SELECT txn_id, 'detail' FROM raw WHERE k = 34
     UNION ALL SELECT txn_id, 'k' FROM raw WHERE k = amount_cents""")
 def leaked_amount_audit(spark, sf):
     """Finds exported values that show the transaction's own amount."""
     raw = fx.raw_txns(spark, sf)
     export = raw.select(
         "txn_id", "txn_type", "timestamp_ns", "k",
-        F.when(F.col("k") == 21, F.col("amount_cents").cast("string")).alias("memo"),
+        F.when(F.col("k") == 21, F.concat(F.lit("paid "), F.col("amount_cents").cast("string"), F.lit(" cents"))).alias("memo"),
+        F.struct(F.when(F.col("k") == 34, F.col("amount_cents")).alias("sum")).alias("detail"),
     )
     return privacy.leaked_amounts(export, raw)
 

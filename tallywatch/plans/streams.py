@@ -147,7 +147,7 @@ def velocity_from_ordered_stream(spark, sf):
 LATE_S = 3600
 
 
-@query(f"""{views('raw')}, mark AS (SELECT max(timestamp_ns) - {LATE_S} * 1000000000 AS ns FROM raw WHERE k <> 13)
+@query(f"""{views('raw')}, mark AS (SELECT max(timestamp_ns) - {LATE_S * 10**9} AS ns FROM raw WHERE k <> 13)
     SELECT 'window' AS kind, timestamp_ns // 3600000000000 AS hour, count(*) AS n FROM raw
     WHERE k <> 13 OR timestamp_ns >= (SELECT ns FROM mark) GROUP BY 2
     UNION ALL SELECT 'LATE', timestamp_ns // 3600000000000, count(*) FROM raw

@@ -108,6 +108,15 @@ def test_leaks(spark):
     assert {(r["column"], r["value"], r["n"]) for r in leaked_ids(dirty, raw(spark)).collect()} == {
         ("memo", "ACC-2", 1), ("memo", "ACC-3", 1)}
     assert {tuple(r) for r in leaked_amounts(dirty, raw(spark)).collect()} == {("T1", "ref"), ("T2", "ref")}
+    # inside a text and a nested value; an id that only begins alike is no hit
+    hidden = base.select(
+        "txn_id", F.concat(F.lit("from "), F.col("account_id"), F.lit(", "), F.col("amount_cents").cast("string"), F.lit("!")).alias("memo"),
+        F.struct(F.array(F.col("counterparty_id"), F.concat("counterparty_id", F.lit("9")))).alias("deep"),
+    )
+    found = {(r["column"], r["value"]) for r in leaked_ids(hidden, raw(spark)).collect()}
+    assert {("deep", "ACC-2"), ("deep", "ACC-3")} <= found and all(not v.endswith("9") for _, v in found)
+    assert {c for c, _ in found} == {"memo", "deep"}
+    assert {tuple(r) for r in leaked_amounts(hidden, raw(spark)).collect()} == {("T1", "memo"), ("T2", "memo")}
     # another row's amount is no leak
     swapped = spark.createDataFrame([("T1", "750000")], "txn_id string, memo string")
     assert leaked_amounts(swapped, raw(spark)).count() == 0

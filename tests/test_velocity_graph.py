@@ -85,7 +85,7 @@ def test_hops_match_breadth_first_search(spark, most):
     edges += [(f"n{i}", "hub") for i in range(40)] + [("hub", "x1"), ("x1", "x2"), ("n1", "n1")] * 3
     listed = ["x2", "n5", "elsewhere"]
     df = transfer_edges(spark.createDataFrame(edges, "account_id string, counterparty_id string"))
-    got = hops_to_blacklist(df, spark.createDataFrame([(n,) for n in listed * 2], "node string"), most, salts=4)
+    got = hops_to_blacklist(df, spark.createDataFrame([(n,) for n in listed * 2], "node string"), most, per_part=2)
     rows = [tuple(r) for r in got.collect()]
     assert len(rows) == len(dict(rows)) and dict(rows) == walk(edges, listed, most)
 
@@ -108,3 +108,13 @@ def test_proximity(spark, hops, nodes, label):
     assert all(a["dst"] == b["src"] for a, b in zip(rows, rows[1:]))
     if hops == 5:
         assert [r["dst_label"] for r in rows[:-1]] == ["ABCD", "1234", "????", "????"]
+
+
+def test_hub_with_half_of_all_edges(spark):
+    """Only the hub is cut into parts, and the table of edges is gone when the search ends."""
+    edges = [(f"n{i}", "hub") for i in range(300)] + [(f"m{i}", f"n{i}") for i in range(300)]
+    df = spark.createDataFrame(edges, "src string, dst string")
+    before = {t.name for t in spark.catalog.listTables()}
+    got = {r["node"]: r["hops"] for r in hops_to_blacklist(df, spark.createDataFrame([("hub",)], "node string"), 5, per_part=40).collect()}
+    assert got == {"hub": 0, **{f"n{i}": 1 for i in range(300)}, **{f"m{i}": 2 for i in range(300)}}
+    assert {t.name for t in spark.catalog.listTables()} == before
