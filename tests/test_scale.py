@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tallywatch.operators.commit import commit_table
 from tallywatch.operators.feeds import last_per_topic, newest
-from tallywatch.operators.graph import _bucketed_by_target, _spread
+from tallywatch.operators.graph import _bucketed_by_target, _hubs, _spread
 from tallywatch.operators.rules import unusual_place
 from tallywatch.operators.verify import lookup, verify_claims
 from tallywatch.operators.velocity import velocity
 from tallywatch.session import work_dir
-from tallywatch.sources.ledger import append_ledger, latest_by, page_after
+from tallywatch.sources.ledger import append_ledger, latest_by, page_after, read_ledger
 
 KEY = b"scale"
 
@@ -114,13 +114,29 @@ def test_ranks_are_limited_before_the_shuffle(spark):
 
 def test_edges_are_not_shuffled_again(spark):
     edges = spark.range(1000).select(F.col("id").cast("string").alias("src"), (F.col("id") % 7).cast("string").alias("dst"))
-    incoming, name = _bucketed_by_target(edges, 4, work_dir(spark, "edges"))
+    hubs = _hubs(edges, 100).checkpoint()
+    assert {r["parts"] for r in hubs.collect()} == {2}
+    spread = _spread(spark.createDataFrame([("3",)], "node string"), hubs).checkpoint()
+    assert spread.count() == 2
+    name = "edges_planned"
+    incoming = _bucketed_by_target(edges, hubs, name)
     with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
-        plan = planned(incoming.join(_spread(spark.createDataFrame([("3",)], "node string"), 4), ["dst", "salt"]))
+        plan = planned(incoming.join(spread, ["dst", "part"]))
     assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning") == 1
     spark.sql(f"DROP TABLE {name}")
 
 
+def test_stored_ledger_is_read_in_part(spark):
+    """Two columns for a verification, and a filter on the day that passes the last write per id."""
+    path = work_dir(spark, "stored")
+    append_ledger(commit_table(txns(spark), KEY), path, 0)
+    claims = txns(spark).select("txn_id", "amount_cents")
+    plan = planned(verify_claims(claims, read_ledger(spark, path, columns=["txn_id", "binding_hash"]), KEY))
+    assert "commitment_b64" not in plan and "anomaly_score" not in plan
+    page = page_after(read_ledger(spark, path, columns=["txn_id", "timestamp_ns", "binding_hash", "date_bucket"]), (10**18, ""), 5)
+    assert re.search(r"PartitionFilters: \[[^\]]*date_bucket", planned(page))
+
+
 def test_page_prunes_days_and_pushes_its_filter(spark):
     path = work_dir(spark, "paged")
     append_ledger(commit_table(txns(spark).withColumn("timestamp_ns", F.col("amount_cents") * 10**11), KEY), path)
