@@ -15,6 +15,8 @@ from .segments import PROBE, signatures
 
 #: 64-bit words of the sketch that bounds how far two sets differ.
 SKETCH = 32
+#: Members of a signature's largest component that each of the others is tried with first.
+SAMPLES = 3
 _SET_COLUMNS = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint"
 
 
@@ -227,7 +229,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
        signature sends one row per slice of a task to the shuffle.
     3. Tied pairs are verified on whole sets, and links joined to components.
     4. Where a signature's sets ended in different components, the sets outside
-       the largest one are compared with the others: sketches of 2048 bits differ
+       the largest one are tried with a few of its members, which joins most.
+    5. Where components still differ, they are compared with all others: sketches of 2048 bits differ
        in no more bits than the sets in elements, which rules out most pairs
        inside the join; the rest are verified.
 
@@ -249,7 +252,7 @@ def classes_of(described: DataFrame) -> DataFrame:
 
 
 def link_classes(docs: DataFrame, described: DataFrame, known: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Components of documents from the signature rows (sig, node, other) of their sets: steps 2 to 4 of the join."""
+    """Components of documents from the signature rows (sig, node, other) of their sets: steps 2 to 5 of the join."""
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def named(pairs: DataFrame, *more: str) -> DataFrame:
@@ -263,6 +266,12 @@ def link_classes(docs: DataFrame, described: DataFrame, known: DataFrame, rows:
     sets = saved(_sets_of(docs, ids, words), "shingles")
     links = saved(_verified(fresh, sets, percent), "links")
     found = components(links)
+    sampled = saved(_sampled(_apart(ties, found)).join(fresh, ["a", "b"], "left_anti"), "pairs")
+    gained = saved(_verified(sampled, sets, percent), "links")
+    if not gained.isEmpty():
+        links = links.unionByName(gained)
+        found = components(links)
+    fresh = fresh.unionByName(sampled)
     rest = saved(_across(_apart(ties, found), sets, percent), "pairs")
     gained = saved(_verified(rest.join(fresh, ["a", "b"], "left_anti"), sets, percent), "links")
     if not gained.isEmpty():
@@ -289,6 +298,26 @@ def _apart(ties: DataFrame, found: DataFrame) -> DataFrame:
     ).distinct()
 
 
+def _largest(members: DataFrame) -> DataFrame:
+    """Members with the largest component of their signature."""
+    counted = members.groupBy("sig", "component").agg(F.count("*").alias("n"))
+    return members.join(counted.groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("largest")), "sig")
+
+
+def _sampled(members: DataFrame) -> DataFrame:
+    """Pairs of each member outside its signature's largest component with a few of that component, chosen by hash.
+
+    Near copies hang together in so many ways that these few pairs join nearly
+    all of them; what they leave apart is compared in full afterwards.
+    """
+    placed = _largest(members)
+    main = placed.where("component = largest").groupBy("sig").agg(
+        *[F.min_by("node", F.xxhash64("node", "sig", F.lit(n))).alias(f"m{n}") for n in range(SAMPLES)])
+    other = placed.where("component <> largest").select("sig", "node").join(main, "sig")
+    chosen = F.explode(F.array_distinct(F.array(*[f"m{n}" for n in range(SAMPLES)])))
+    return _ordered(other.select(F.col("node").alias("a"), chosen.alias("b")))
+
+
 def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of members in different components that size and sketch do not rule out.
 
@@ -296,9 +325,7 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     with all others. The comparison is part of the join, so that pairs ruled out
     are never made.
     """
-    counted = members.groupBy("sig", "component").agg(F.count("*").alias("n"))
-    largest = counted.groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
-    sketched = saved(members.join(largest, "sig").join(sets.drop("shingles").withColumnRenamed("doc_id", "node"), "node"), "members")
+    sketched = saved(_largest(members).join(sets.drop("shingles").withColumnRenamed("doc_id", "node"), "node"), "members")
     side = lambda x: sketched.select(
         "sig", (F.col("component") == F.col("largest")).alias(f"main_{x}"), F.col("node").alias(x),
         F.col("component").alias(f"component_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("size", *_SKETCH_COLUMNS)],
