@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import batches as B
 from .graph import saved
@@ -16,6 +16,7 @@ from .samples import fold_of, labelled
 BITS = 20
 STEMS = (4, 5, 6, 7, 8)
 REPEATS = (2, 4)
+BLOCK = 1024
 
 
 def _apart() -> np.ndarray:
@@ -102,17 +103,125 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(self.margins(*self.features(hashed, bounds)), -30, 30)))
 
 
-def select_terms(counts: DataFrame, n_one: int, n_zero: int, least_docs: int, least_z: float, most: int) -> np.ndarray:
-    """Terms whose share of documents differs most between the classes, by the two-proportion z value.
+def select_terms(counts: DataFrame, n_one: int, n_zero: int, least_docs: int, least_z: float, most: int | None = None) -> np.ndarray:
+    """Terms whose share of documents differs between the classes, by the two-proportion z value; with ``most`` the best of them.
 
-    ``counts`` has term, in_one and in_zero; at most ``most`` terms reach the driver.
+    ``counts`` has term, in_one and in_zero; there are at most 2^20 terms.
     """
     pooled = (F.col("in_one") + F.col("in_zero")) / (n_one + n_zero)
     spread = F.sqrt(pooled * (1 - pooled) * (1 / n_one + 1 / n_zero))
     z = F.abs(F.col("in_one") / n_one - F.col("in_zero") / n_zero) / spread
     best = counts.where(F.col("in_one") + F.col("in_zero") >= least_docs).where("in_one + in_zero < %d" % (n_one + n_zero))
-    rows = best.select("term", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(most).collect()
-    return np.array([r.term for r in rows], np.int64)
+    rows = best.select("term", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term")
+    return (rows if most is None else rows.limit(most)).select("term").toPandas()["term"].to_numpy(np.int64)
+
+
+def _surprise(n: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Documents times the entropy of their classes, of which ``one`` are in class 1."""
+    other = n - one
+    return sum(-part * np.log(np.maximum(part, 1) / np.maximum(n, 1)) for part in (one, other))
+
+
+def pair_bound(n_terms: int, chance: float = 0.05) -> float:
+    """Gain of likelihood that, by chance, one pair or more of all pairs of the terms reaches with about this probability."""
+    return float(np.log(max(n_terms, 2) ** 2 / 2 / chance))
+
+
+def tested_terms(counts: DataFrame) -> np.ndarray:
+    """Terms that can reach the bound of ``select_pairs`` with any partner at all.
+
+    A partner can explain no more than the class entropy of a term's documents,
+    so a term with less, such as one in a few documents, cannot pass the test.
+    """
+    n, one = F.col("in_one") + F.col("in_zero"), F.col("in_one")
+    entropy = sum(-part * F.log(F.greatest(part, F.lit(1)) / n) for part in (one, F.col("in_zero")))
+    rows = counts.select("term", entropy.alias("entropy")).where(F.col("entropy") >= pair_bound(2)).toPandas()
+    rows = rows.sort_values("entropy", ascending=False)
+    # the bound grows with the number of terms, which it cuts itself: the most terms for which both agree
+    entropy = rows["entropy"].to_numpy()
+    agree = entropy >= np.log(np.maximum(np.arange(1, len(entropy) + 1), 2) ** 2 / 2 / 0.05)
+    most = int(np.flatnonzero(agree)[-1]) + 1 if agree.any() else 0
+    return rows["term"].to_numpy(np.int64)[:most]
+
+
+def select_pairs(sample: DataFrame, tested: np.ndarray) -> np.ndarray:
+    """Those of the tested terms that have a partner beside which they tell the classes apart, whatever they tell alone.
+
+    Two terms are partners if among the documents of either one the classes
+    differ between those with and without the other, in the same direction,
+    with a gain of likelihood that no pair reaches by chance. All pairs are
+    compared, block by block on the executors; terms of the same documents are
+    compared once. The driver gets a bit for each tested term and document.
+    """
+    if len(tested) < 2:
+        return np.zeros(0, np.int64)
+    spark = sample.sparkSession
+    known = spark.sparkContext.broadcast(blank(tested, 0, 0))
+
+    def mark(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = known.value
+        wanted = model.wanted()
+        for part in B.slices(parts):
+            own, bounds = model.features(*terms(part.column("text"), wanted))
+            there = np.zeros((part.num_rows, len(tested)), bool)
+            there[np.repeat(np.arange(part.num_rows), np.diff(bounds)), own] = True
+            data = [r.tobytes() for r in np.packbits(there, axis=1)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(data, pa.binary())], ["doc_id", "label", "bits"])
+
+    rows = sample.mapInArrow(mark, "doc_id bigint, label int, bits binary").orderBy(F.desc("label"), "doc_id").collect()
+    n_rows, n_one = len(rows), sum(r.label for r in rows)
+    by_row = np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(n_rows, -1)
+    del rows
+    marks = np.random.default_rng(1).integers(0, 1 << 63, n_rows, dtype=np.uint64)
+
+    def columns(at: int) -> np.ndarray:
+        return np.unpackbits(by_row[:, at // 8 : (at + BLOCK) // 8], axis=1)[:, : len(tested) - at]
+
+    starts = range(0, len(tested), BLOCK)
+    same = np.concatenate([marks @ columns(at) for at in starts])
+    _, first, group = np.unique(same, return_index=True, return_inverse=True)
+    if len(first) < 2:
+        return np.zeros(0, np.int64)
+    stands = np.zeros(len(tested), bool)
+    stands[first] = True
+    bits = np.concatenate([np.packbits(columns(at).T[stands[at : at + BLOCK]], axis=1) for at in starts])
+    number = (np.cumsum(stands) - 1)[first[group]]
+    del by_row
+    shared, bound = spark.sparkContext.broadcast(bits), pair_bound(len(first))
+
+    def block(at: int) -> np.ndarray:
+        return np.unpackbits(shared.value[at * BLOCK : (at + 1) * BLOCK], axis=1, count=n_rows).astype(np.float32)
+
+    def compare(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for i, j in zip(part.column("i").to_pylist(), part.column("j").to_pylist()):
+                a, b = block(i), block(j)
+                both, both_one = a @ b.T, a[:, :n_one] @ b[:, :n_one].T
+                sides = [(x.sum(1), x[:, :n_one].sum(1)) for x in (a, b)]
+                hopeful, signs = True, []
+                for (n, one), turn in zip(sides, (lambda v: v[:, None], lambda v: v[None, :])):
+                    share = turn(one / n)
+                    move = both_one - both * share
+                    # the gain is below the square of this z value, or not far above
+                    hopeful &= move * move >= 0.6 * bound * both * (1 - both / turn(n)) * share * (1 - share)
+                    hopeful &= (both > 0) & (both < turn(n))
+                    signs.append(move > 0)
+                p, q = np.nonzero(hopeful & (signs[0] == signs[1]))
+                n_both, one_both = both[p, q].astype(np.float64), both_one[p, q].astype(np.float64)
+                good = np.ones(len(p), bool)
+                for (n, one), at in zip(sides, (p, q)):
+                    n, one = n[at].astype(np.float64), one[at].astype(np.float64)
+                    gain = _surprise(n, one) - _surprise(n_both, one_both) - _surprise(n - n_both, one - one_both)
+                    good &= gain >= bound
+                found = np.unique(np.concatenate([i * BLOCK + p[good], j * BLOCK + q[good]]))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["found"])
+
+    blocks = -(-len(first) // BLOCK)
+    turns = [(i, j) for i in range(blocks) for j in range(i, blocks)]
+    jobs = spark.createDataFrame(turns, "i int, j int").repartition(min(len(turns), 4 * spark.sparkContext.defaultParallelism))
+    found = jobs.mapInArrow(compare, "found bigint").distinct().toPandas()["found"].to_numpy(np.int64)
+    shared.unpersist()
+    return tested[np.isin(number, found)]
 
 
 def blank(chosen: np.ndarray, factors: int, seed: int) -> FactorizationMachine:
@@ -164,12 +273,15 @@ def fit(machine: FactorizationMachine, features: np.ndarray, bounds: np.ndarray,
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None,
-          most_per_class: int = 4000, factors: int = 8, least_docs: int = 4, least_z: float = 3.0, most_terms: int = 5000,
+          most_per_class: int = 4000, factors: int = 8, least_docs: int = 4, least_z: float = 3.0, most_terms: int | None = None,
           seed: int = 7) -> FactorizationMachine:
     """Fit on at most ``most_per_class`` labelled training documents of either class.
 
-    Terms are counted by class on the executors; the driver gets the chosen
-    terms and the sample's documents as lists of those. Labels alone are counted
+    A term has a weight and factors if its share differs between the classes
+    (``select_terms``), or if it has a partner beside which it tells them apart
+    (``select_pairs``), however common it is in both. Terms are counted by class
+    on the executors; the driver gets the terms that may be chosen and the
+    sample's documents as lists of those. Labels alone are counted
     over all rows, for the prior. Without labels of both classes every document
     gets the prior as its score, about 0 without any label.
     """
@@ -190,12 +302,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Co
                 [pa.array(found), pa.array(in_one), pa.array(every - in_one)], ["term", "in_one", "in_zero"]
             )
 
-    counts = sample.mapInArrow(count, "term bigint, in_one bigint, in_zero bigint").groupBy("term").agg(
-        F.sum("in_one").alias("in_one"), F.sum("in_zero").alias("in_zero")
-    )
     both = sizes.get(0, 0) and sizes.get(1, 0)
-    chosen = select_terms(counts, sizes[1], sizes[0], least_docs, least_z, most_terms) if both else np.zeros(0, np.int64)
-    machine = blank(chosen, factors, seed)
+    alone = tested = np.zeros(0, np.int64)
+    if both:
+        counts = saved(sample.mapInArrow(count, "term bigint, in_one bigint, in_zero bigint").groupBy("term").agg(
+            F.sum("in_one").alias("in_one"), F.sum("in_zero").alias("in_zero")
+        ), "terms")
+        alone, tested = select_terms(counts, sizes[1], sizes[0], least_docs, least_z, most_terms), tested_terms(counts)
+    machine = blank(np.union1d(alone, select_pairs(sample, tested)), factors, seed)
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def pick(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +322,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Co
 
     rows = sample.mapInArrow(pick, "doc_id bigint, label int, own binary").orderBy("doc_id").collect()
     bounds = np.concatenate([[0], np.cumsum([len(r.own) // 4 for r in rows], dtype=np.int64)])
-    features = np.frombuffer(b"".join(r.own for r in rows), "<i4").astype(np.int64)
+    features = np.frombuffer(b"".join(r.own for r in rows), "<i4")
     return fit(machine, features, bounds, np.array([r.label for r in rows], np.int64), prior, seed=seed)
 
 

@@ -52,6 +52,25 @@ def test_pairs_are_learned(spark):
     assert got.where("predicted = toxic").count() >= 396
 
 
+def either(first, last):
+    """A text is toxic when it has one of two words but not both: either word is as common in both classes."""
+    rows, labels = [], []
+    for n in range(first, last):
+        one, other = n % 2, n // 2 % 2
+        common = " ".join(f"common{n * k % 41}" for k in range(1, 9))
+        rows.append((n, f"{common} {prose(n, 12)}" + " rotten" * one + " villagers" * other))
+        labels.append((n, one ^ other))
+    return rows, labels
+
+
+def test_pairs_of_words_as_common_in_both_classes_are_learned(spark):
+    """At the production defaults, judged on texts that were not trained on."""
+    (rows, labels), (fresh, truth) = either(0, 800), either(800, 1200)
+    machine = toxicity.train(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    got = {r.doc_id: r.predicted for r in toxicity.score(frame(spark, fresh), machine).collect()}
+    assert sum(got[d] == t for d, t in truth) >= 380
+
+
 def labels_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, toxic int, quality int, text string")
 
