@@ -19,6 +19,7 @@ SPACE = "▁"
 _NONE = np.int32(-1)
 _WIDTHS = (3, 5, 7, 9, 11, 13, 16, 20, 28, 48)
 _MOST_UNITS = 400_000
+_LONG = 64
 
 
 def keyed(seed: int, key: np.ndarray, begin: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -79,10 +80,12 @@ class MergeModel:
         found = [self.number.get(SPACE if c == 32 else chr(c), -1) if c != ord(SPACE) else -1 for c in kinds.tolist()]
         return np.array(found, np.int32)[place]
 
-    def segment(self, codes: np.ndarray, bounds: np.ndarray, keys: np.ndarray, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    def segment(self, codes: np.ndarray, bounds: np.ndarray, keys: np.ndarray, dropout: float, seed: int,
+                met: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of units given as code points, one after another, and how many each unit has.
 
-        ``keys`` are the units' 64-bit keys. Units of like length are merged side
+        ``keys`` are the units' 64-bit keys. All candidates met are added to ``met``
+        as columns unit, begin, middle and end. Units of like length are merged side
         by side, long ones on their own. A symbol left without a piece becomes
         the bytes of its character.
         """
@@ -92,11 +95,11 @@ class MergeModel:
         for most in _WIDTHS:
             rows = np.flatnonzero((sizes > last) & (sizes <= most))
             for first in range(0, len(rows), 40_000):
-                for part, new in zip((unit, at, made), self._together(symbols, bounds, rows[first : first + 40_000], keys, dropout, seed)):
+                for part, new in zip((unit, at, made), self._together(symbols, bounds, rows[first : first + 40_000], keys, dropout, seed, met)):
                     part.append(new)
             last = most
         for row in np.flatnonzero(sizes > last).tolist():
-            begin, piece = self._alone(symbols[bounds[row] : bounds[row + 1]].tolist(), keys[row], dropout, seed)
+            begin, piece = self._alone(symbols[bounds[row] : bounds[row + 1]].tolist(), keys[row], dropout, seed, met, row)
             unit.append(np.full(len(begin), row))
             at.append(np.array(begin) + bounds[row])
             made.append(np.array(piece, np.int32))
@@ -117,7 +120,7 @@ class MergeModel:
         return out, np.bincount(unit, wide, len(sizes)).astype(np.int64)
 
     def _together(self, symbols: np.ndarray, bounds: np.ndarray, units: np.ndarray, keys: np.ndarray, dropout: float,
-                  seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                  seed: int, met: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Merge some units side by side: in each step every unit merges its best candidate that is not skipped.
 
         Gives unit, first character and piece of all that is left, unit by unit.
@@ -136,10 +139,13 @@ class MergeModel:
         def weigh(row: np.ndarray, at: np.ndarray) -> None:
             """Candidates that begin at the given places: their piece and rank, or none if skipped."""
             made = self.joined(parts[row, at], parts[row, at + 1])
-            if dropout > 0:
+            if dropout > 0 or met is not None:
                 there = np.flatnonzero(made >= 0)
                 r, a = row[there], at[there]
                 end = np.where(a + 2 <= wide, begins[r, np.minimum(a + 2, wide)], size[r])
+                if met is not None:
+                    met.append(np.stack([units[r], begins[r, a], begins[r, a + 1], end]))
+            if dropout > 0:
                 chance = keyed(seed, key[r], begins[r, a], begins[r, a + 1], end)
                 made[there[chance < dropout]] = _NONE
             whole[row, at], rank[row, at] = made, self.ranks(made)
@@ -173,7 +179,8 @@ class MergeModel:
         unit, begin, piece = (np.concatenate(c) for c in zip(*left_over))
         return unit, begin + bounds[unit], piece
 
-    def _alone(self, symbol: list[int], key: np.uint64, dropout: float, seed: int) -> tuple[list[int], list[int]]:
+    def _alone(self, symbol: list[int], key: np.uint64, dropout: float, seed: int, met: list[np.ndarray] | None = None,
+               unit: int = 0) -> tuple[list[int], list[int]]:
         """First characters and pieces of a long unit: an agenda of candidate merges, best first; skipped and outdated ones are passed over."""
         n = len(symbol)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -187,6 +194,8 @@ class MergeModel:
                     made = self._pairs.get(symbol[left] << 20 | symbol[right])
                     if made is not None:
                         found.append((int(self._rank[made]), left, right, after[right], made))
+            if found and met is not None:
+                met.append(np.array([(unit, *f[1:4]) for f in found]).T)
             if found and dropout > 0:
                 spans = np.array([f[1:4] for f in found])
                 chance = keyed(seed, np.full(len(found), key, np.uint64), spans[:, 0], spans[:, 1], spans[:, 2])
@@ -219,29 +228,50 @@ def model_of(vocabulary: str) -> MergeModel:
     return _models[vocabulary]
 
 
+def _codes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of units given as UTF-8, and the bounds of the units in them."""
+    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4"), heads[bounds]
+
+
+def _within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of spans, one span after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 class DropoutEncoder:
-    """Encodes texts unit by unit; units met lately in the same variant keep their ids.
+    """Encodes texts unit by unit; skips are drawn anew wherever a unit stands.
 
     A space is put in front of a text. A unit is a run of spaces with the
     characters after it: no piece goes on after a space that follows something else.
+    Of units met lately the ids without skips are kept, with the candidates met on
+    the way: where none of these is skipped, the ids are the kept ones.
+    ``variants`` has no effect any more; the number of segmentations is not bounded.
     """
 
-    def __init__(self, vocabulary: str, dropout: float, seed: int, variants: int):
+    def __init__(self, vocabulary: str, dropout: float, seed: int, variants: int | None = None):
         self.model = model_of(vocabulary)
-        self.dropout, self.seed, self.variants = dropout, seed, variants if dropout > 0 else 1
-        self._memory = PieceMemory(self._segment, _MOST_UNITS)
-
-    def _segment(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of units, each followed by a byte that numbers its variant."""
-        data = np.frombuffer(b"".join(units), np.uint8)
-        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
-        starts = np.concatenate([[0], ends[:-1]])
-        keys = B.mix64(B.span_hashes(data, starts, ends - 1) + data[ends - 1].astype(np.uint64))
-        text = np.ones(len(data), bool)
-        text[ends - 1] = False
-        heads = np.concatenate([[0], np.cumsum(text & ((data & 0xC0) != 0x80))])
-        codes = np.frombuffer(data[text].tobytes().decode().encode("utf-32-le"), "<u4")
-        return self.model.segment(codes, heads[np.append(starts, len(data))], keys, self.dropout, self.seed)
+        self.dropout, self.seed = dropout, seed
+        self._memory = PieceMemory(self._plain, _MOST_UNITS)
+        # learns the same units in the same order, so a unit has one place in both
+        self._candidates = PieceMemory(self._met, _MOST_UNITS)
+
+    def _unskipped(self, units: list[bytes], met: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+        bounds = np.concatenate([[0], np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))])
+        codes, bounds = _codes(np.frombuffer(b"".join(units), np.uint8), bounds)
+        return self.model.segment(codes, bounds, np.zeros(len(units), np.uint64), 0.0, self.seed, met)
+
+    def _plain(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of units without skips."""
+        return self._unskipped(units, None)
+
+    def _met(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Begin, middle and end of each candidate that merging the units without skips meets."""
+        met = [np.zeros((4, 0), np.int64)]
+        self._unskipped(units, met)
+        every = np.concatenate(met, 1)
+        every = every[:, np.argsort(every[0], kind="stable")]
+        return every[1:].T.astype(np.int32).ravel(), 3 * np.bincount(every[0], minlength=len(units))
 
     def encode(self, doc_ids: np.ndarray, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and their bounds."""
@@ -254,22 +284,39 @@ class DropoutEncoder:
         begins[bounds[:-1][np.diff(bounds) > 0]] = True
         first = np.flatnonzero(begins)
         rows = np.searchsorted(first, bounds)
-        coded = B.binary_array(data, np.append(first, len(data))).dictionary_encode()
-        unit = np.asarray(coded.indices).astype(np.int64)
-        # which of its variants a unit takes hangs on the document and its place there
+        starts, widths = first, np.diff(np.append(first, len(data)))
+        # skips hang on the document and the place of the unit there
         row = np.repeat(np.arange(len(texts)), np.diff(rows))
-        place = np.arange(len(unit)) - rows[row]
-        mixed = B.mix64(doc_ids.astype(np.int64).view(np.uint64)[row] + B.mix64(place.astype(np.uint64) + np.uint64(self.seed)))
-        kind = unit * self.variants + (mixed % np.uint64(self.variants)).astype(np.int64)
-        there = np.zeros(len(coded.dictionary) * self.variants, bool)
-        there[kind] = True
-        kinds = np.flatnonzero(there)
-        number = np.cumsum(there) - 1
-        pieces = coded.dictionary.to_pylist()
-        ends = [bytes([v]) for v in range(self.variants)]
-        wanted = [pieces[k // self.variants] + ends[k % self.variants] for k in kinds.tolist()]
-        ids, sizes = self._memory.strung(self._memory.places(wanted)[number[kind]])
-        return ids, np.concatenate([[0], np.cumsum(sizes)])[rows]
+        place = np.arange(len(first)) - rows[row]
+        keys = B.mix64(doc_ids.astype(np.int64).view(np.uint64)[row] + B.mix64(place.astype(np.uint64) + np.uint64(self.seed)))
+        # some candidate of a long unit is skipped nearly always
+        skips = (widths > _LONG) & (self.dropout > 0)
+        short = np.flatnonzero(~skips)
+        known = np.zeros(len(first), np.int64)
+        if len(short):
+            ends = np.cumsum(widths[short])
+            coded = B.binary_array(data[_within(starts[short], widths[short])], np.append(0, ends)).dictionary_encode()
+            pieces = coded.dictionary.to_pylist()
+            known[short] = self._memory.places(pieces)[np.asarray(coded.indices)]
+            if self.dropout > 0:
+                self._candidates.places(pieces)
+                for at in range(0, len(short), 100_000):
+                    part = short[at : at + 100_000]
+                    spans, counts = self._candidates.strung(known[part])
+                    spans, own = spans.reshape(-1, 3), np.repeat(part, counts // 3)
+                    chance = keyed(self.seed, keys[own], spans[:, 0], spans[:, 1], spans[:, 2])
+                    skips[own[chance < self.dropout]] = True
+        cut, kept = np.flatnonzero(skips), np.flatnonzero(~skips)
+        sizes = np.zeros(len(first), np.int64)
+        kept_ids, sizes[kept] = self._memory.strung(known[kept])
+        cut_data = data[_within(starts[cut], widths[cut])]
+        codes, code_bounds = _codes(cut_data, np.concatenate([[0], np.cumsum(widths[cut])]))
+        cut_ids, sizes[cut] = self.model.segment(codes, code_bounds, keys[cut], self.dropout, self.seed)
+        out_bounds = np.concatenate([[0], np.cumsum(sizes)])
+        ids = np.empty(out_bounds[-1], np.int32)
+        for units, own in ((kept, kept_ids), (cut, cut_ids)):
+            ids[_within(out_bounds[units], sizes[units])] = own
+        return ids, out_bounds[rows]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids, without the space put in front."""
@@ -279,12 +326,13 @@ class DropoutEncoder:
 
 
 def encode(docs: DataFrame, vocabulary: str = PIECE_VOCABULARY, dropout: float = 0.1, seed: int = 1,
-           variants: int = 3) -> DataFrame:
+           variants: int | None = None) -> DataFrame:
     """doc_id and ids of every document, each candidate merge skipped with chance ``dropout``.
 
-    Whether a candidate is skipped is a keyed hash of the seed, the unit (a run
-    of spaces and what follows up to the next), one of ``variants`` that its
-    document and place choose, and the candidate's place in it. So a text is cut
+    Whether a candidate is skipped is a keyed hash of the seed, the document, the
+    place there of the unit (a run of spaces and what follows up to the next), and
+    the candidate's place in it: each occurrence of a word is drawn on its own.
+    ``variants`` has no effect any more. So a text is cut
     the same way for the same seed on any cluster and otherwise for another one.
     With dropout 0 the ids are the library's. A space mark that stands in the
     text itself is written as bytes, which the library does not do, so that
@@ -314,7 +362,7 @@ def decode(encoded: DataFrame, vocabulary: str = PIECE_VOCABULARY) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, vocabulary: str = PIECE_VOCABULARY, dropout: float = 0.1, seed: int = 1,
-               variants: int = 3) -> DataFrame:
+               variants: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_tokens, ids_crc32 (little-endian 32-bit ids) and whether decoding gives the text back.
 
     Nulls, empty texts, repeats and other columns count as for ``encode``.

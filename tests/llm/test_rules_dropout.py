@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from tallywatch.llm.batches import mix64
 from tallywatch.llm.dropout import DropoutEncoder, decode, encode, round_trip
 from tallywatch.llm.fertility import BANDS, Band, quality_rules
 from tallywatch.llm.vocabulary import find
@@ -80,6 +81,20 @@ def test_seeds_vary_and_repeat():
     assert len(plain) < len(first)
 
 
+def test_every_occurrence_is_drawn_on_its_own():
+    """Segmentations of one word grow with its occurrences, and each is what merging with that place's key gives."""
+    encoder, times = DropoutEncoder(PIECES, 0.1, 1), 2000
+    ids, bounds = encoder.encode(np.arange(times), ["international"] * times)
+    ways = Counter(tuple(ids[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:]))
+    plain = tuple(DropoutEncoder(PIECES, 0.0, 1).encode(np.arange(1), ["international"])[0].tolist())
+    assert len(ways) > 20 and 0.05 < ways[plain] / times < 0.95
+    keys = mix64(np.arange(times).astype(np.uint64) + mix64(np.array([1], np.uint64)))
+    word = " international"
+    codes = np.frombuffer((word * times).encode("utf-32-le"), "<u4")
+    slow, sizes = encoder.model.segment(codes, np.arange(times + 1) * len(word), keys, 0.1, 1)
+    assert slow.tolist() == ids.tolist() and sizes.tolist() == np.diff(bounds).tolist()
+
+
 def test_long_units_merge_as_short_ones():
     """The agenda of a long unit and the side-by-side merges give the same pieces."""
     model = DropoutEncoder(PIECES, 0.3, 5, 1).model
