@@ -237,7 +237,8 @@ def _by_fingerprints(flanked: DataFrame, window: int) -> DataFrame:
             for anchor, doc, at, least, most, left, right in zip(*(part.column(c).to_pylist() for c in (
                     "anchor", "doc_id", "at", "least", "most", "left", "right"))):
                 for offset in range(least, most + 1):
-                    bytes_ = anchor.to_bytes(8, "little", signed=True) + left[len(left) - offset :] + b"|" + right[: window - GRAM - offset]
+                    bytes_ = anchor.to_bytes(8, "little", signed=True) + offset.to_bytes(2, "little")
+                    bytes_ += left[len(left) - offset :] + right[: window - GRAM - offset]
                     out.append((hashlib.blake2b(bytes_, digest_size=16).digest(), doc, at - offset))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["digest", "doc_id", "start"])

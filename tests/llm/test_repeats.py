@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallywatch.llm import repeats
 from tallywatch.llm.repeats import remove_repeats
 from tallywatch.llm.suffixes import suffix_array
 
@@ -61,3 +62,11 @@ def test_messy_rows(spark):
 def test_one_document_read_twice_repeats_nothing_of_itself(spark):
     text = prose("twice", 80)
     assert result(remove_repeats(frame(spark, [(1, text), (1, text)])))[1][1] == 0
+
+
+def test_digests_tell_where_the_anchor_stands(spark):
+    """With a '|' beside one anchor, windows that begin at different offsets are different strings."""
+    rest = b"r" * 67
+    rows = [(5, 1, 100, 0, 0, b"", b"|" + rest), (5, 2, 100, 1, 1, b"|", rest), (5, 3, 100, 1, 1, b"|", rest)]
+    flanked = spark.createDataFrame(rows, "anchor long, doc_id long, at long, least int, most int, left binary, right binary")
+    assert [tuple(r) for r in repeats._by_fingerprints(flanked, 100).collect()] == [(3, 99, 1)]
