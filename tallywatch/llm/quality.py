@@ -167,7 +167,7 @@ def calibrate(model: PuClassifier, x: np.ndarray, labels: np.ndarray, prior: flo
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", training: Column | None = None,
-          most_positive: int = 4000, most_unlabelled: int = 6000, most_negative: int = 1500) -> PuClassifier:
+          most_positive: int = 4000, most_unlabelled: int = 6000) -> PuClassifier:
     """Fit on trusted positives and unlabelled text, each sample bounded by its parameter.
 
     The class prior is the share of positives among all labelled training rows.
@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", training:
     width = 20 + SHAPES
     x = np.frombuffer(b"".join(r.x for r in got), "<f4").reshape(-1, width)
     y = np.array([r.label for r in got], np.int64)
-    positive, negative, u = x[y == 1], x[y == 0][:most_negative], x[y == -1]
+    positive, negative, u = x[y == 1], x[y == 0], x[y == -1]
     if not len(positive) or not len(u):
         return PuClassifier(np.zeros(width), np.ones(width), np.zeros(width), 0.0)
     model = fit_pu(positive, u, prior)

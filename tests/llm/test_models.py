@@ -112,3 +112,10 @@ def test_features_do_not_depend_on_the_batch():
     for n, text in enumerate(texts):
         assert toxicity.terms(pa.array([text]))[0].tolist() == hashed[bounds[n]:bounds[n + 1]].tolist()
     assert F is not None
+
+
+def test_calibration_takes_all_sampled_negatives(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "calibrate", lambda model, x, labels, prior: seen.append(labels) or model)
+    quality.train(frame(spark, [(n, prose(n, 5)) for n in range(1700)]), spark.createDataFrame([(n, int(n < 100)) for n in range(1700)], "doc_id long, quality int"))
+    assert (seen[0] == 0).sum() == 1600
