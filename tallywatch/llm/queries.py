@@ -17,11 +17,16 @@ from .repeats import remove_repeats
 from .settings import ready
 from .token_counts import count_tokens
 from .token_files import read_documents, write_shards
+from .winnowing import decontaminate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+def sql(name: str, text: str) -> None:
+    SQL[name] = text
+
+
 def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[fn.__name__] = fn
     return fn
@@ -86,3 +91,39 @@ def op10_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = work_dir(spark, "shards")
     write_shards(table(spark, sf_dir, "documents"), path)
     return read_documents(spark, path)
+
+
+@register
+def op11_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: words, words in benchmark passages, and which items those come from."""
+    found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, span: n + span["end"] - span["begin"])
+    ids = F.array_join(F.sort_array(F.transform("item_ids", lambda i: i.cast("string"))), ",")
+    return found.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(ids, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"),
+    )
+
+
+sql("op11_winnowing", r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    b AS (
+        SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+    runs AS (
+        SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS run
+        FROM (SELECT *, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0)),
+    places AS (
+        SELECT doc_id, i, size, array_to_string(w[i:i + size - 1], ' ') AS run
+        FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i
+              FROM d, (SELECT DISTINCT size FROM runs) WHERE len(w) >= size)),
+    hits AS (SELECT doc_id, i, size, item_id FROM places JOIN runs USING (size, run)),
+    words AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+              FROM (SELECT doc_id, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT doc_id, i, size FROM hits)) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+              FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""")
