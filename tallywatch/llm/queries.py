@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import quality, toxicity
 from ..session import work_dir
+from .conversations import summaries
 from .dropout import round_trip
 from .fertility import quality_rules
 from .fingerprints import with_edited
@@ -127,3 +128,17 @@ sql("op11_winnowing", r"""
     SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
     FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)""")
+
+
+@register
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with drops, blanks, cut ends, repeats and wrong roles put in, and their cheapest repair."""
+    rows = table(spark, sf_dir, "conversations")
+    name = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    fault, text = F.crc32(name) % 20, F.coalesce("text", F.lit(" "))
+    damaged = rows.select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1).alias("copies"),
+    )
+    return summaries(damaged, F.col("copies"))
