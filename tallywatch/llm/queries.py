@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import quality, toxicity
 from ..session import work_dir
+from .collocations import collocations
 from .conversations import summaries
 from .dropout import round_trip
 from .fertility import quality_rules
@@ -142,3 +143,39 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1).alias("copies"),
     )
     return summaries(damaged, F.col("copies"))
+
+
+@register
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of each language that hold together best."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+sql("op13_collocations", r"""
+    WITH p AS (
+        SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+        FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+    runs AS (
+        SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+        FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
+    f AS (SELECT lang, m, phrase, count(*) AS f FROM runs GROUP BY ALL),
+    total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+    c AS (SELECT * FROM f WHERE m > 1 AND f >= 30),
+    inside AS (
+        SELECT DISTINCT lang, array_to_string(v[i:j], ' ') AS phrase, f
+        FROM (SELECT lang, f, v, i, unnest(range(i + 1, least(len(v), i + len(v) - 2) + 1)) AS j
+              FROM (SELECT lang, f, string_split(phrase, ' ') AS v, unnest(range(1, m)) AS i FROM c WHERE m > 2))),
+    covered AS (SELECT lang, phrase, max(f) AS f FROM inside GROUP BY ALL),
+    kept AS (SELECT c.* FROM c LEFT JOIN covered USING (lang, phrase) WHERE covered.f IS NULL OR 100 * CAST(covered.f AS HUGEINT) < 80 * CAST(c.f AS HUGEINT)),
+    cuts AS (
+        SELECT lang, phrase, f AS a, k, array_to_string(v[1:k], ' ') AS lp, array_to_string(v[k + 1:], ' ') AS rp
+        FROM (SELECT lang, phrase, f, string_split(phrase, ' ') AS v, unnest(range(1, m)) AS k FROM kept)),
+    scored AS (
+        SELECT cuts.*, x.f AS l, y.f AS r, 2000000 * CAST(a AS HUGEINT) // (CAST(x.f AS HUGEINT) + y.f) AS score
+        FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lp JOIN f y ON y.lang = cuts.lang AND y.phrase = rp),
+    best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS nth FROM scored),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best WHERE nth = 1)
+    SELECT lang, CAST(rank AS BIGINT) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+    FROM ranked JOIN total USING (lang) WHERE rank <= 2000""")
