@@ -9,13 +9,11 @@ from .cases import choose
 from .digits import benford_deviation
 from .timeparts import hour_of_day, is_offhours, is_weekend, weekday
 
-# The last first-byte of each watch list, its hop count and name.
-WATCH_LISTS = [
-    (0x02, 1, "OFAC_SANCTION_LIST"),
-    (0x07, 2, "RBI_FLAG_2024"),
-    (0x0E, 3, "FATF_GREY_LIST"),
-]
+# Names of the watch lists by tier, the gravest first.
+LIST_NAMES = {1: "OFAC_SANCTION_LIST", 2: "RBI_FLAG_2024", 3: "FATF_GREY_LIST"}
 NO_LIST = "NONE"
+#: Hops of a party from which no list is reached: proximity counts nothing from there on.
+FAR = 8
 
 # Weights of the rule-based score.
 WEIGHTS = {"benford": 0.25, "proximity": 0.30, "velocity": 0.20, "offhours": 0.15, "extreme": 0.10}
@@ -29,27 +27,6 @@ FEATURES = [
 ]
 
 
-def first_byte(digest: Column, default: int) -> Column:
-    """Value of the first two hex characters; short or non-hex text gets the default."""
-    head = digest.substr(1, 2)
-    valid = (F.length(head) == 2) & F.unhex(head).isNotNull()
-    return F.when(valid, F.conv(head, 16, 10).cast("int")).otherwise(F.lit(default))
-
-
-def watch_list_hops(account_hash: Column, counterparty_hash: Column) -> Column:
-    """Hops to the nearest watch list by hash prefix of either party.
-
-    Without a match the account's own prefix gives a stable value in 4..8.
-    """
-    nearest = F.least(first_byte(account_hash, 0xFF), first_byte(counterparty_hash, 0xFF))
-    far = F.lit(4) + F.pmod(first_byte(account_hash, 128), F.lit(5))
-    return choose([(nearest <= last, hops) for last, hops, _ in WATCH_LISTS], far).cast("int")
-
-
-def watch_list_name(hops: Column) -> Column:
-    return choose([(hops == list_hops, name) for _, list_hops, name in WATCH_LISTS], F.lit(NO_LIST))
-
-
 def log_amount(amount: Column) -> Column:
     return F.when(amount > 0, F.log1p(amount.cast("double"))).otherwise(F.lit(0.0))
 
@@ -130,6 +107,7 @@ def severity_rank(severity: Column) -> Column:
 def flag_reason(
     score: Column,
     hops: Column,
+    list_name: Column,
     deviation: Column,
     list_score: float = 0.85,
     list_hops: int = 2,
@@ -137,7 +115,7 @@ def flag_reason(
     benford_limit: float = 0.7,
 ) -> Column:
     return (
-        F.when((score > list_score) & (hops <= list_hops), watch_list_name(hops))
+        F.when((score > list_score) & (hops <= list_hops) & (list_name != NO_LIST), list_name)
         .when(score > high_score, F.lit("HIGH_ANOMALY_SCORE"))
         .when(deviation > benford_limit, F.lit("BENFORD_VIOLATION"))
         .otherwise(F.lit(NO_LIST))

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import shared_dir
+from ..session import remove_dir, shared_dir, work_dir
 
 
 def transfer_edges(
@@ -33,21 +35,37 @@ def _hubs(edges: DataFrame, per_part: int) -> DataFrame:
     return degree.select("dst", F.ceil(F.col("n") / per_part).cast("bigint").alias("parts"))
 
 
-def _bucketed_by_target(edges: DataFrame, hubs: DataFrame, name: str) -> DataFrame:
+def _bucketed_by_target(edges: DataFrame, hubs: DataFrame, name: str, path: str) -> DataFrame:
     """Edges as a table bucketed by (dst, part), so that no hop shuffles them again; only hubs have several parts."""
     spark = edges.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = F.pmod(F.xxhash64("src"), F.coalesce("parts", F.lit(1).cast("bigint"))).alias("part")
     cut = edges.join(hubs, "dst", "left").select("src", "dst", part)
-    cut.repartition(buckets, "dst", "part").write.bucketBy(buckets, "dst", "part").saveAsTable(name)
+    writer = cut.repartition(buckets, "dst", "part").write.bucketBy(buckets, "dst", "part")
+    writer.option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
-def _spread(frontier: DataFrame, hubs: DataFrame) -> DataFrame:
+def _spread(frontier: DataFrame, hubs: DataFrame, *more: str) -> DataFrame:
     """The frontier once for each part of a node's edges."""
     last = F.coalesce("parts", F.lit(1).cast("bigint")) - 1
     parts = F.explode(F.sequence(F.lit(0).cast("bigint"), last))
-    return frontier.join(hubs, frontier["node"] == hubs["dst"], "left").select(F.col("node").alias("dst"), parts.alias("part"))
+    return frontier.join(hubs, frontier["node"] == hubs["dst"], "left").select(F.col("node").alias("dst"), parts.alias("part"), *more)
+
+
+@contextmanager
+def _incoming(edges: DataFrame, per_part: int) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """Edges bucketed by their target, and hubs, while a search lasts; the table lies in the shared folder."""
+    spark = edges.sparkSession
+    shared_dir(spark)
+    name, path = "edges_" + uuid.uuid4().hex, work_dir(spark, "edges")
+    edges = edges.select("src", "dst").checkpoint()
+    hubs = _hubs(edges, per_part).checkpoint()
+    try:
+        yield _bucketed_by_target(edges, hubs, name, path), hubs
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove_dir(spark, path)
 
 
 def hops_to_blacklist(edges: DataFrame, blacklist: DataFrame, max_hops: int = 5, per_part: int = 1_000_000) -> DataFrame:
@@ -61,13 +79,7 @@ def hops_to_blacklist(edges: DataFrame, blacklist: DataFrame, max_hops: int = 5,
     each, and only hubs are repeated in the frontier. The table of edges is
     dropped with its files when the search ends.
     """
-    spark = edges.sparkSession
-    shared_dir(spark)
-    name = "edges_" + uuid.uuid4().hex
-    edges = edges.select("src", "dst").checkpoint()
-    hubs = _hubs(edges, per_part).checkpoint()
-    try:
-        incoming = _bucketed_by_target(edges, hubs, name)
+    with _incoming(edges, per_part) as (incoming, hubs):
         frontier = blacklist.select("node").distinct().withColumn("hops", F.lit(0)).checkpoint()
         reached = frontier
         for hop in range(1, max_hops + 1):
@@ -78,5 +90,36 @@ def hops_to_blacklist(edges: DataFrame, blacklist: DataFrame, max_hops: int = 5,
                 break
             reached = reached.unionByName(frontier)
         return reached
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def nearest_lists(edges: DataFrame, lists: DataFrame, max_hops: int = 5, per_part: int = 1_000_000) -> DataFrame:
+    """The nearest watch list of each node that reaches one by at most ``max_hops`` transfers.
+
+    ``edges`` comes from :func:`transfer_edges`, ``lists`` is a table of listed
+    nodes (node, tier, list_name); a node may be on several lists. Result: node,
+    hops (0 for a listed node), tier, list_name, path (all nodes from this one to
+    the listed one). The fewest hops count, then the lowest tier, then the name;
+    among equal paths the one whose next node is smallest, step by step.
+
+    A breadth-first search from all listed nodes at once: a node keeps the least
+    label of the frontier it transfers to, since a nearest list of its own is one
+    hop nearer to some neighbour. Edges, hubs and checkpoints as in
+    :func:`hops_to_blacklist`. Null nodes are left out; without lists or edges
+    the result holds the listed nodes alone.
+    """
+    label = F.min(F.struct("tier", "list_name")).alias("best")
+    start = lists.where(F.col("node").isNotNull()).groupBy("node").agg(label)
+    columns = ["node", F.col("best.tier").alias("tier"), F.col("best.list_name").alias("list_name")]
+    with _incoming(edges.where(F.col("src").isNotNull() & F.col("dst").isNotNull()), per_part) as (incoming, hubs):
+        frontier = start.select(*columns, F.array("node").alias("path")).withColumn("hops", F.lit(0)).checkpoint()
+        reached = frontier
+        for hop in range(1, max_hops + 1):
+            met = incoming.join(_spread(frontier, hubs, "tier", "list_name", "path"), ["dst", "part"])
+            met = met.select(F.col("src").alias("node"), F.struct("tier", "list_name", F.col("dst").alias("next"), "path").alias("way"))
+            new = met.join(reached.select("node"), "node", "left_anti").groupBy("node").agg(F.min("way").alias("best"))
+            path = F.concat(F.array("node"), "best.path").alias("path")
+            frontier = new.select(*columns, path).withColumn("hops", F.lit(hop)).checkpoint()
+            if frontier.isEmpty():
+                break
+            reached = reached.unionByName(frontier)
+        return reached.select("node", "hops", "tier", "list_name", "path")

@@ -1,36 +1,45 @@
-"""Paths from a transaction to the watch list, as edge rows."""
+"""How near transactions are to a watch list, and by which transfers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-MAX_INTERMEDIATES = 4
+from ..functions.joins import spread_join
+from ..functions.risk import FAR, NO_LIST
+
+
+def with_proximity(hashed: DataFrame, near: DataFrame) -> DataFrame:
+    """Rows with hops, list_name and path of the nearer of their two parties.
+
+    ``near`` comes from :func:`graph.nearest_lists` over account hashes. Fewer
+    hops count, then the lower tier, then the name. Without a list in reach hops
+    are ``FAR``, the name is NONE and the path is empty.
+    """
+    rows = hashed
+    for party in ("account", "counterparty"):
+        found = F.struct("hops", "tier", "list_name", "path").alias(f"_{party}_near")
+        rows = spread_join(rows, near.select(F.col("node").alias(f"{party}_hash"), found), [f"{party}_hash"], "left")
+    best = F.array_min(F.array("_account_near", "_counterparty_near"))
+    rows = rows.withColumn("_near", best).drop("_account_near", "_counterparty_near")
+    return rows.withColumns({
+        "hops": F.coalesce("_near.hops", F.lit(FAR)), "list_name": F.coalesce("_near.list_name", F.lit(NO_LIST)),
+        "path": F.coalesce("_near.path", F.array().cast("array<string>")),
+    }).drop("_near")
 
 
 def proximity_edges(scored: DataFrame) -> DataFrame:
-    """Edges source -> hop_0 .. -> blacklist from (txn_id, account_hash, hops, flag_reason).
+    """Transfers from the nearer party of each row to the listed one, one row each, from (txn_id, path, list_name).
 
-    Intermediates are named by successive four-character slices of the account
-    hash, "????" where it is too short. Beyond the fourth the path goes on from
-    the last existing node.
+    Every edge is a transfer of the graph; none is left out. The last one carries
+    the number of hops and the list. A listed party needs no transfer and gives no row.
     """
-    middle = F.greatest(F.least(F.col("hops") - 1, F.lit(MAX_INTERMEDIATES)), F.lit(0))
-    steps = scored.select(
-        "txn_id", "account_hash", "hops", "flag_reason", middle.alias("_middle"),
-        F.explode(F.sequence(F.lit(0), middle)).alias("seq"),
-    )
-    last = F.col("seq") == F.col("_middle")
-    name = F.concat(F.lit("hop_"), F.col("seq").cast("string"))
-    previous = F.concat(F.lit("hop_"), (F.col("seq") - 1).cast("string"))
-    piece = F.upper(F.substring(F.col("account_hash"), F.col("seq") * 4 + 1, F.lit(4)))
-    entity = F.when(F.length("account_hash") >= (F.col("seq") + 1) * 4, piece).otherwise(F.lit("????"))
-    hop_text = F.concat(
-        F.col("hops").cast("string"), F.when(F.col("hops") > 1, F.lit(" HOPS")).otherwise(F.lit(" HOP"))
-    )
+    count = F.size("path") - 1
+    steps = scored.where(count > 0).select(
+        "txn_id", "path", "list_name", count.alias("_count"), F.explode(F.sequence(F.lit(0), count - 1)).alias("seq"))
+    last = F.col("seq") == F.col("_count") - 1
+    hop_text = F.concat(F.col("_count").cast("string"), F.when(F.col("_count") > 1, F.lit(" HOPS")).otherwise(F.lit(" HOP")))
     return steps.select(
-        "txn_id", "seq",
-        F.when(F.col("seq") == 0, F.lit("source")).otherwise(previous).alias("src"),
-        F.when(last, F.lit("blacklist")).otherwise(name).alias("dst"),
+        "txn_id", "seq", F.get("path", F.col("seq")).alias("src"), F.get("path", F.col("seq") + 1).alias("dst"),
         F.when(last, hop_text).otherwise(F.lit("TRANSFERS_TO")).alias("label"),
-        F.when(last, F.col("flag_reason")).otherwise(entity).alias("dst_label"),
+        F.when(last, F.col("list_name")).otherwise(F.get("path", F.col("seq") + 1)).alias("dst_label"),
     )

@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import risk
 from ..functions.joins import spread_join
 from ..functions.model import score_with
+from .proximity import with_proximity
 from .velocity import velocity
 
 
-def with_features(hashed: DataFrame, window_s: int = 3600) -> DataFrame:
-    """Add ``velocity``, ``hops`` and the ``features`` struct to pseudonymised rows."""
-    counted = velocity(hashed, key="account_hash", window_s=window_s)
-    near = counted.withColumn("hops", risk.watch_list_hops(F.col("account_hash"), F.col("counterparty_hash")))
-    return near.withColumn("features", risk.feature_struct(
+def with_features(hashed: DataFrame, near: DataFrame, window_s: int = 3600) -> DataFrame:
+    """Add ``velocity``, ``hops``, ``list_name``, ``path`` and the ``features`` struct to pseudonymised rows.
+
+    ``near`` holds the nearest watch list of each account hash, see :func:`graph.nearest_lists`.
+    """
+    counted = with_proximity(velocity(hashed, key="account_hash", window_s=window_s), near)
+    return counted.withColumn("features", risk.feature_struct(
         F.col("amount_cents"), F.col("txn_type"), F.col("timestamp_ns"), F.col("velocity"), F.col("hops")
     ))
 
@@ -27,7 +30,7 @@ def with_score(featured: DataFrame, load_model: Callable | None = None, threshol
     deviation = F.col("features.benford_deviation")
     return scored.withColumns({
         "reconstruction_loss": risk.reconstruction_loss(F.col("score"), deviation),
-        "flag_reason": risk.flag_reason(F.col("score"), F.col("hops"), deviation),
+        "flag_reason": risk.flag_reason(F.col("score"), F.col("hops"), F.col("list_name"), deviation),
         "behavioral_delta": risk.behavioral_delta(F.col("timestamp_ns"), F.col("velocity")),
         "status": risk.status_of(F.col("score"), threshold),
     })
@@ -36,7 +39,7 @@ def with_score(featured: DataFrame, load_model: Callable | None = None, threshol
 def anomaly_detail(ledger: DataFrame, scored: DataFrame) -> DataFrame:
     """Ledger records, one per id, with the score computed where the amounts are known."""
     extra = scored.select(
-        "txn_id", "counterparty_hash", "score", "reconstruction_loss", "hops", "flag_reason", "features",
-        "behavioral_delta",
+        "txn_id", "counterparty_hash", "score", "reconstruction_loss", "hops", "list_name", "path", "flag_reason",
+        "features", "behavioral_delta",
     )
     return spread_join(ledger, extra, ["txn_id"], "inner")

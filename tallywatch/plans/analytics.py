@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..functions.digits import EXPECTED_PCT, hash_digit, leading_digit
 from ..functions.normal import normal_cdf
-from ..functions.risk import flag_reason, model_score, watch_list_hops
+from ..functions.risk import flag_reason, model_score
 from ..operators import benford, distribution, feeds, status, throughput
 from ..operators.envelope import check_envelopes
+from ..operators.proximity import with_proximity
 from ..sources.raw import union_topics
 from ..streaming.commits import fan_out
 from . import fixtures as fx
@@ -237,15 +238,15 @@ def first_anomalies(spark, sf):
 
 
 @query(f"""{views('near')} SELECT txn_id, CASE WHEN anomaly_score >= 0.9 THEN 'CRITICAL' ELSE 'HIGH' END AS severity,
-    CASE WHEN anomaly_score > 0.85 AND hops = 1 THEN 'OFAC_SANCTION_LIST'
-         WHEN anomaly_score > 0.85 AND hops = 2 THEN 'RBI_FLAG_2024' WHEN anomaly_score > 0.75 THEN 'HIGH_ANOMALY_SCORE'
+    CASE WHEN anomaly_score > 0.85 AND hops <= 2 THEN list_name WHEN anomaly_score > 0.75 THEN 'HIGH_ANOMALY_SCORE'
          ELSE 'NONE' END || ': ' || right(txn_id, 12) AS message, timestamp_ns, anomaly_score
     FROM near WHERE anomaly_score >= 0.75 ORDER BY timestamp_ns DESC, txn_id DESC LIMIT 10""")
 def alert_feed(spark, sf):
     """The ten newest anomalies by severity."""
-    hashed = fx.hashed_txns(spark, sf).where(F.col("anomaly_score") >= 0.75)
-    hops = watch_list_hops(F.col("account_hash"), F.col("counterparty_hash"))
-    return feeds.alert_feed(hashed.withColumn("flag_reason", flag_reason(F.col("anomaly_score"), hops, F.lit(0.0))), 10)
+    newest = feeds.newest(fx.hashed_txns(spark, sf).where(F.col("anomaly_score") >= 0.75), 10)
+    placed = with_proximity(newest, fx.nearest(spark, sf))
+    flag = flag_reason(F.col("anomaly_score"), F.col("hops"), F.col("list_name"), F.lit(0.0))
+    return feeds.alert_feed(placed.withColumn("flag_reason", flag), 10)
 
 
 @query(f"""{views('ledger', 'checks')} SELECT (SELECT round(count(*) / {_ELAPSED}, 9) FROM ledger) AS tps,

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.cases import choose
+from ..functions.risk import LIST_NAMES, NO_LIST
 from ..operators.commit import commit_table, declared_params
+from ..operators.graph import nearest_lists, transfer_edges
 from ..operators.privacy import pseudonymise, sign, with_valid_signature
 from ..session import configure, work_dir
 from ..sources.ledger import append_ledger
@@ -67,6 +69,20 @@ def hashed_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(raw_txns(spark, sf_dir))
 
 
+def watch_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listed accounts (node, tier, list_name); some are on two lists."""
+    users = table(spark, sf_dir, "events").select("user_id").distinct().where("user_id % 50 = 7")
+    tiers = F.array((F.floor(F.col("user_id") / 50) % 3 + 1).cast("int"), F.when(F.col("user_id") % 100 == 7, 3).otherwise(1))
+    listed = users.select(_text("ACC-", F.col("user_id")).alias("node"), F.explode(F.array_distinct(tiers)).alias("tier"))
+    return listed.withColumn("list_name", choose([(F.col("tier") == tier, name) for tier, name in LIST_NAMES.items()], F.lit(NO_LIST)))
+
+
+def nearest(spark: SparkSession, sf_dir: str, max_hops: int = 5) -> DataFrame:
+    """Nearest watch list of each account hash, by transfers."""
+    lists = watch_lists(spark, sf_dir).withColumn("node", F.sha2("node", 256))
+    return nearest_lists(transfer_edges(hashed_txns(spark, sf_dir), "account_hash", "counterparty_hash"), lists, max_hops)
+
+
 def order_txns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One transaction per order, from customer to the customer's next neighbour by key."""
     orders = table(spark, sf_dir, "orders")

@@ -10,7 +10,7 @@ from ..functions.digits import benford_deviation
 from ..functions.timeparts import hour_of_day, is_offhours, is_weekend, weekday
 from ..operators import rules
 from ..operators.graph import hops_to_blacklist, transfer_edges
-from ..operators.proximity import proximity_edges
+from ..operators.proximity import proximity_edges, with_proximity
 from ..operators.scoring import anomaly_detail, with_features, with_score
 from ..operators.velocity import velocity
 from . import fixtures as fx
@@ -21,7 +21,7 @@ SCORE_THRESHOLD = 0.32
 
 
 def featured(spark, sf):
-    return with_features(fx.hashed_txns(spark, sf))
+    return with_features(fx.hashed_txns(spark, sf), fx.nearest(spark, sf))
 
 
 def scored(spark, sf):
@@ -64,24 +64,28 @@ def status_and_severity(spark, sf):
     )
 
 
-@query(f"""{views('near')} SELECT txn_id, CASE WHEN anomaly_score > 0.85 AND hops = 1 THEN 'OFAC_SANCTION_LIST'
-    WHEN anomaly_score > 0.85 AND hops = 2 THEN 'RBI_FLAG_2024' WHEN anomaly_score > 0.75 THEN 'HIGH_ANOMALY_SCORE'
-    ELSE 'NONE' END AS flag_reason FROM near""")
+def placed(spark, sf):
+    return with_proximity(fx.hashed_txns(spark, sf), fx.nearest(spark, sf))
+
+
+@query(f"""{views('near')} SELECT txn_id, CASE WHEN anomaly_score > 0.85 AND hops <= 2 THEN list_name
+    WHEN anomaly_score > 0.75 THEN 'HIGH_ANOMALY_SCORE' ELSE 'NONE' END AS flag_reason FROM near""")
 def flag_reasons(spark, sf):
     """Flags from the received score and the watch-list distance."""
-    hashed = fx.hashed_txns(spark, sf)
-    hops = rk.watch_list_hops(F.col("account_hash"), F.col("counterparty_hash"))
-    flag = rk.flag_reason(F.col("anomaly_score"), hops, benford_deviation(F.col("amount_cents")))
-    return hashed.select("txn_id", flag.alias("flag_reason"))
+    flag = rk.flag_reason(F.col("anomaly_score"), F.col("hops"), F.col("list_name"), benford_deviation(F.col("amount_cents")))
+    return placed(spark, sf).select("txn_id", flag.alias("flag_reason"))
 
 
-@query(f"""{views('near')} SELECT txn_id, hops, CASE hops WHEN 1 THEN 'OFAC_SANCTION_LIST' WHEN 2 THEN 'RBI_FLAG_2024'
-    WHEN 3 THEN 'FATF_GREY_LIST' ELSE 'NONE' END AS list_name FROM near""")
+@query(f"{views('near')} SELECT txn_id, hops, list_name FROM near")
 def watch_list_lookup(spark, sf):
-    """Watch-list distance by hash prefix."""
-    hops = rk.watch_list_hops(F.col("account_hash"), F.col("counterparty_hash"))
-    near = fx.hashed_txns(spark, sf).select("txn_id", hops.alias("hops"))
-    return near.withColumn("list_name", rk.watch_list_name(F.col("hops")))
+    """Transfers to the nearest watch list from either party."""
+    return placed(spark, sf).select("txn_id", "hops", "list_name")
+
+
+@query(f"""{views('nearest')} SELECT node, hops, tier, list_name FROM nearest""")
+def nearest_watch_list(spark, sf):
+    """Nearest watch list of every account."""
+    return fx.nearest(spark, sf).drop("path")
 
 
 @query(f"{views('raw')} SELECT txn_id, round({benford_gap('amount_cents')}, 9) AS deviation FROM raw")
@@ -135,46 +139,35 @@ def model_scores(spark, sf):
     return with_score(featured(spark, sf), demo_model).select("txn_id", F.round("score", 6).alias("score"))
 
 
-_MIDDLE = "greatest(least(hops - 1, 4), 0)"
-
-
-@query(f"""{views('scored')} SELECT txn_id, CAST(seq AS INTEGER) AS seq, CASE WHEN seq = 0 THEN 'source' ELSE 'hop_' || CAST(seq - 1 AS VARCHAR) END AS src,
-    CASE WHEN seq = {_MIDDLE} THEN 'blacklist' ELSE 'hop_' || CAST(seq AS VARCHAR) END AS dst,
-    CASE WHEN seq = {_MIDDLE} THEN CAST(hops AS VARCHAR) || CASE WHEN hops > 1 THEN ' HOPS' ELSE ' HOP' END
-         ELSE 'TRANSFERS_TO' END AS label,
-    CASE WHEN seq = {_MIDDLE} THEN flag_reason ELSE upper(substr(account_hash, CAST(seq * 4 + 1 AS BIGINT), 4)) END AS dst_label
-    FROM (SELECT *, unnest(range({_MIDDLE} + 1)) AS seq FROM scored)""")
+@query(f"""{views('scored')} SELECT txn_id, CAST(w.seq - 1 AS INTEGER) AS seq, b.stop AS src, w.stop AS dst,
+    CASE WHEN w.seq = hops THEN CAST(hops AS VARCHAR) || CASE WHEN hops > 1 THEN ' HOPS' ELSE ' HOP' END ELSE 'TRANSFERS_TO' END AS label,
+    CASE WHEN w.seq = hops THEN list_name ELSE w.stop END AS dst_label
+    FROM scored s JOIN way w ON w.node = s.party JOIN way b ON b.node = w.node AND b.seq = w.seq - 1""")
 def proximity_paths(spark, sf):
-    """Edges from each transaction to the watch list."""
+    """Transfers from each transaction's nearer party to the watch list."""
     return proximity_edges(scored(spark, sf))
 
 
 @query(f"""{views('scored', 'ledger')} SELECT l.txn_id, l.binding_hash, l.status, round(s.score, 9) AS score, s.hops,
-    s.flag_reason, s.counterparty_hash, round(s.log_amount, 9) AS log_amount
+    s.list_name, s.flag_reason, s.counterparty_hash, round(s.log_amount, 9) AS log_amount
     FROM ledger l JOIN scored s USING (txn_id) WHERE l.status = 'QUARANTINED'""")
 def anomaly_details(spark, sf):
     """Quarantined ledger records with their score."""
     held = fx.ledger(spark, sf).where(F.col("status") == "QUARANTINED")
     return anomaly_detail(held, scored(spark, sf)).select(
-        "txn_id", "binding_hash", "status", F.round("score", 9).alias("score"), "hops", "flag_reason",
+        "txn_id", "binding_hash", "status", F.round("score", 9).alias("score"), "hops", "list_name", "flag_reason",
         "counterparty_hash", F.round("features.log_amount", 9).alias("log_amount"),
     )
 
 
-@query(f"""{views('watched', recursive=True)},
+@query(f"""{views('hashed', 'lists')},
     edges AS (SELECT DISTINCT account_id AS src, counterparty_id AS dst FROM raw WHERE account_id <> counterparty_id),
-    walk(node, hops) AS (SELECT node, 0 FROM watched UNION
+    walk(node, hops) AS (SELECT account_id, 0 FROM lists UNION
                          SELECT e.src, w.hops + 1 FROM walk w JOIN edges e ON e.dst = w.node WHERE w.hops < 5)
     SELECT node, min(hops) AS hops FROM walk GROUP BY node""")
 def blacklist_hops(spark, sf):
     """Transfers from each account to a listed one, up to five."""
-    hashed = fx.hashed_txns(spark, sf)
-    parties = hashed.select(F.explode(F.array(
-        F.struct(F.col("account_id").alias("node"), F.col("account_hash").alias("h")),
-        F.struct(F.col("counterparty_id").alias("node"), F.col("counterparty_hash").alias("h")),
-    )).alias("p")).select("p.*")
-    listed = parties.where(rk.first_byte(F.col("h"), 0xFF) <= rk.WATCH_LISTS[-1][0]).select("node").distinct()
-    return hops_to_blacklist(transfer_edges(hashed), listed)
+    return hops_to_blacklist(transfer_edges(fx.hashed_txns(spark, sf)), fx.watch_lists(spark, sf))
 
 
 @query("""WITH RECURSIVE pairs AS (SELECT DISTINCT 'C' || CAST(o_custkey AS VARCHAR) AS c, 'S' || CAST(l_suppkey AS VARCHAR) AS s

@@ -7,6 +7,7 @@ import math
 from ..functions.digits import EXPECTED_PCT
 from ..functions.hashing import mac_pads
 from ..functions.normal import CDF_B, CDF_P
+from ..functions.risk import FAR, LIST_NAMES, NO_LIST
 from .fixtures import KEY, TYPE_OF_EVENT, TYPE_OF_PRIORITY
 
 
@@ -20,14 +21,6 @@ def mac(key: bytes, message: str) -> str:
     return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message}))))"
 
 
-def byte_of(digest: str) -> str:
-    """Value of the first two hex characters."""
-    def nibble(i: int) -> str:
-        return f"(strpos('0123456789abcdef', substr({digest}, {i}, 1)) - 1)"
-
-    return f"CAST({nibble(1)} * 16 + {nibble(2)} AS INTEGER)"
-
-
 def digit_of(amount: str) -> str:
     return f"TRY_CAST(nullif(substr(CAST(abs({amount}) AS VARCHAR), 1, 1), '0') AS INTEGER)"
 
@@ -126,10 +119,30 @@ VIEWS = {
         SELECT *, count(*) OVER (PARTITION BY account_id ORDER BY timestamp_ns
                                  RANGE BETWEEN 3599999999999 PRECEDING AND CURRENT ROW) AS velocity
         FROM hashed""",
+    "lists": f"""
+        SELECT user_id, 'ACC-' || CAST(user_id AS VARCHAR) AS account_id, sha256('ACC-' || CAST(user_id AS VARCHAR)) AS node, tier,
+               CASE tier {' '.join(f"WHEN {tier} THEN '{name}'" for tier, name in LIST_NAMES.items())} END AS list_name
+        FROM (SELECT DISTINCT user_id, unnest([user_id // 50 % 3 + 1, CASE WHEN user_id % 100 = 7 THEN 3 ELSE 1 END]) AS tier
+              FROM events WHERE user_id % 50 = 7)""",
+    "transfers": "SELECT DISTINCT account_hash AS src, counterparty_hash AS dst FROM hashed WHERE account_hash <> counterparty_hash",
+    "label_walk": """
+        SELECT node, 0 AS hops, tier, list_name FROM lists UNION
+        SELECT t.src, w.hops + 1, w.tier, w.list_name FROM label_walk w JOIN transfers t ON t.dst = w.node WHERE w.hops < 5""",
+    "nearest": """
+        SELECT node, hops, tier, list_name FROM (
+            SELECT *, row_number() OVER (PARTITION BY node ORDER BY hops, tier, list_name) AS nth FROM label_walk) WHERE nth = 1""",
+    "next_hop": """
+        SELECT d.node, min(n.node) AS next FROM nearest d JOIN transfers t ON t.src = d.node
+        JOIN nearest n ON n.node = t.dst AND n.hops = d.hops - 1 AND n.tier = d.tier AND n.list_name = d.list_name GROUP BY d.node""",
+    "way": """
+        SELECT node, node AS stop, 0 AS seq FROM nearest UNION ALL
+        SELECT w.node, h.next, w.seq + 1 FROM way w JOIN next_hop h ON h.node = w.stop""",
     "near": f"""
-        SELECT *, CASE WHEN least(a, b) <= 2 THEN 1 WHEN least(a, b) <= 7 THEN 2 WHEN least(a, b) <= 14 THEN 3
-                       ELSE CAST(4 + a % 5 AS INTEGER) END AS hops
-        FROM (SELECT *, {byte_of('account_hash')} AS a, {byte_of('counterparty_hash')} AS b FROM counted)""",
+        SELECT * EXCLUDE (nth) FROM (
+            SELECT c.*, coalesce(n.hops, {FAR}) AS hops, coalesce(n.list_name, '{NO_LIST}') AS list_name, n.node AS party,
+                   row_number() OVER (PARTITION BY c.txn_id ORDER BY n.hops NULLS LAST, n.tier, n.list_name, p.paths) AS nth
+            FROM counted c LEFT JOIN nearest n ON n.node IN (c.account_hash, c.counterparty_hash)
+            LEFT JOIN (SELECT node, string_agg(stop, ',' ORDER BY seq) AS paths FROM way GROUP BY node) p ON p.node = n.node) WHERE nth = 1""",
     "features": f"""
         SELECT *, CASE WHEN amount_cents > 0 THEN ln(1 + amount_cents) ELSE 0 END AS log_amount,
                {HOUR} / 23.0 AS hour_of_day, {WEEKDAY} / 6.0 AS day_of_week,
@@ -140,8 +153,7 @@ VIEWS = {
                CAST({WEEKEND} AS INTEGER)::DOUBLE AS is_weekend
         FROM near""",
     "scored": """
-        SELECT *, CASE WHEN score > 0.85 AND hops = 1 THEN 'OFAC_SANCTION_LIST'
-                       WHEN score > 0.85 AND hops = 2 THEN 'RBI_FLAG_2024'
+        SELECT *, CASE WHEN score > 0.85 AND hops <= 2 THEN list_name
                        WHEN score > 0.75 THEN 'HIGH_ANOMALY_SCORE'
                        WHEN benford_deviation > 0.7 THEN 'BENFORD_VIOLATION' ELSE 'NONE' END AS flag_reason,
                score * (1 - 0.05 * benford_deviation) AS reconstruction_loss,
@@ -150,10 +162,6 @@ VIEWS = {
                      + 0.20 * velocity_1h + 0.15 * is_offhours
                      + 0.10 * least(greatest(0.0, (log_amount - 20.0) / 5.0), 1.0))) AS score
               FROM features)""",
-    "watched": f"""
-        SELECT DISTINCT node FROM (SELECT account_id AS node, account_hash AS h FROM hashed
-                                   UNION ALL SELECT counterparty_id, counterparty_hash FROM hashed)
-        WHERE {byte_of('h')} <= 14""",
     "stats": """
         SELECT count(*) AS n, avg(anomaly_score) AS mu, greatest(stddev_samp(anomaly_score), 0.001) AS sigma FROM ledger""",
 }
@@ -161,12 +169,14 @@ VIEWS = {
 _NEEDS = {
     "raw": [], "hashed": ["raw"], "order_txns": [], "ledger": ["raw"], "claims": ["raw"],
     "verified": ["claims", "gapped"], "gapped": ["ledger"], "open_claims": ["claims"], "envelopes": ["raw"], "actions": ["raw"], "checks": ["envelopes"],
-    "counted": ["hashed"], "near": ["counted"], "features": ["near"], "scored": ["features"], "watched": ["hashed"],
+    "counted": ["hashed"], "lists": [], "transfers": ["hashed"],
+    "label_walk": ["lists", "transfers"], "nearest": ["label_walk"], "next_hop": ["nearest", "transfers"], "way": ["next_hop"],
+    "near": ["counted", "way"], "features": ["near"], "scored": ["features"],
     "stats": ["ledger"],
 }
 
 
-def views(*names: str, recursive: bool = False) -> str:
+def views(*names: str) -> str:
     """WITH clause that defines the named views and what they need."""
     order: list[str] = []
 
@@ -179,4 +189,4 @@ def views(*names: str, recursive: bool = False) -> str:
     for name in names:
         visit(name)
     body = ", ".join(f"{name} AS ({VIEWS[name]})" for name in order)
-    return f"WITH {'RECURSIVE ' if recursive else ''}{body}"
+    return f"WITH RECURSIVE {body}"

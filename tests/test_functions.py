@@ -69,20 +69,6 @@ def test_hash_and_mac(spark):
         assert r["m"] == hmac.new(b"k" * 100, r["id"].encode(), hashlib.sha256).hexdigest()
 
 
-@pytest.mark.parametrize("a, b, hops, name", [
-    ("00" * 32, "ff" * 32, 1, "OFAC_SANCTION_LIST"), ("ff" * 32, "02" * 32, 1, "OFAC_SANCTION_LIST"),
-    ("07" * 32, "0e" * 32, 2, "RBI_FLAG_2024"), ("0E" * 32, "ff" * 32, 3, "FATF_GREY_LIST"),
-    ("0f" * 32, "ff" * 32, 4, "NONE"), ("ff" * 32, "aa" * 32, 4, "NONE"), ("14" * 32, "ff" * 32, 4, "NONE"),
-    ("18" * 32, "ff" * 32, 8, "NONE"), ("", "ff" * 32, 7, "NONE"), ("a", "ff" * 32, 7, "NONE"), ("zz", "z", 7, "NONE"),
-    ("zz" * 32, "03" * 32, 2, "RBI_FLAG_2024"),
-])
-def test_watch_lists(spark, a, b, hops, name):
-    df = spark.createDataFrame([(a, b)], "a string, b string")
-    row = df.select(risk.watch_list_hops(F.col("a"), F.col("b")).alias("h")).withColumn(
-        "n", risk.watch_list_name(F.col("h"))).first()
-    assert (row["h"], row["n"]) == (hops, name)
-
-
 @pytest.mark.parametrize("name, code", [("RTGS", 0), ("neft", 1), ("FX_CONVERSION", 5), ("other", 0), (None, 0)])
 def test_type_codes(spark, name, code):
     assert one(spark, name, risk.txn_type_code, "string") == code
@@ -97,13 +83,14 @@ def test_bands(spark, score, status, severity):
     assert one(spark, score, risk.severity_of, "double") == severity
 
 
-@pytest.mark.parametrize("score, hops, dev, flag", [
-    (0.95, 1, 0.0, "OFAC_SANCTION_LIST"), (0.95, 3, 0.0, "HIGH_ANOMALY_SCORE"), (0.85, 1, 0.0, "HIGH_ANOMALY_SCORE"),
-    (0.75, 1, 0.8, "BENFORD_VIOLATION"), (0.75, 1, 0.7, "NONE"),
+@pytest.mark.parametrize("score, hops, name, dev, flag", [
+    (0.95, 1, "SOME_LIST", 0.0, "SOME_LIST"), (0.95, 0, "SOME_LIST", 0.0, "SOME_LIST"), (0.95, 3, "SOME_LIST", 0.0, "HIGH_ANOMALY_SCORE"),
+    (0.85, 1, "SOME_LIST", 0.0, "HIGH_ANOMALY_SCORE"), (0.95, 8, "NONE", 0.0, "HIGH_ANOMALY_SCORE"),
+    (0.75, 1, "SOME_LIST", 0.8, "BENFORD_VIOLATION"), (0.75, 1, "SOME_LIST", 0.7, "NONE"),
 ])
-def test_flags(spark, score, hops, dev, flag):
-    df = spark.createDataFrame([(score, hops, dev)], "s double, h int, d double")
-    assert df.select(risk.flag_reason(F.col("s"), F.col("h"), F.col("d")).alias("f")).first()["f"] == flag
+def test_flags(spark, score, hops, name, dev, flag):
+    df = spark.createDataFrame([(score, hops, name, dev)], "s double, h int, l string, d double")
+    assert df.select(risk.flag_reason(F.col("s"), F.col("h"), F.col("l"), F.col("d")).alias("f")).first()["f"] == flag
 
 
 def expected_score(amount, velocity, hops, offhours, dev):

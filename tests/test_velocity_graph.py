@@ -4,8 +4,8 @@ from collections import defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
-from tallywatch.operators.graph import hops_to_blacklist, transfer_edges
-from tallywatch.operators.proximity import proximity_edges
+from tallywatch.operators.graph import hops_to_blacklist, nearest_lists, transfer_edges
+from tallywatch.operators.proximity import proximity_edges, with_proximity
 from tallywatch.operators.velocity import velocity
 
 NS = 10**9
@@ -97,17 +97,58 @@ def test_edges(spark):
     assert sorted(tuple(r) for r in transfer_edges(df, "src", "dst").collect()) == [("a", "b"), ("b", "a"), ("c", "b")]
 
 
-@pytest.mark.parametrize("hops, nodes, label", [(1, 0, "1 HOP"), (2, 1, "2 HOPS"), (5, 4, "5 HOPS"), (6, 4, "6 HOPS"), (8, 4, "8 HOPS")])
-def test_proximity(spark, hops, nodes, label):
-    digest = "abcd1234ef" if hops == 5 else "a1" * 32
-    df = spark.createDataFrame([("T", digest, hops, "OFAC_SANCTION_LIST")], "txn_id string, account_hash string, hops int, flag_reason string")
-    rows = proximity_edges(df).orderBy("seq").collect()
-    assert len(rows) == nodes + 1
-    assert rows[0]["src"] == "source" and rows[-1]["dst"] == "blacklist" and rows[-1]["label"] == label
-    assert rows[-1]["dst_label"] == "OFAC_SANCTION_LIST"
-    assert all(a["dst"] == b["src"] for a, b in zip(rows, rows[1:]))
-    if hops == 5:
-        assert [r["dst_label"] for r in rows[:-1]] == ["ABCD", "1234", "????", "????"]
+def plain_nearest(edges, lists, most):
+    """node -> (hops, tier, name, path), by trying every way of fewest transfers."""
+    forward = defaultdict(set)
+    for a, b in edges:
+        if a != b and a is not None and b is not None:
+            forward[a].add(b)
+    best = {}
+    for node, tier, name in lists:
+        if node is not None:
+            best[node] = min(best.get(node, (0, tier, name, (node,))), (0, tier, name, (node,)))
+    for hop in range(1, most + 1):
+        found = {}
+        for node in set(forward) - set(best):
+            ways = [(best[to][1:3], to, (node, *best[to][3])) for to in forward[node] if to in best and best[to][0] == hop - 1]
+            if ways:
+                (tier, name), _, path = min(ways)
+                found[node] = (hop, tier, name, path)
+        best |= found
+    return best
+
+
+@pytest.mark.parametrize("most", [1, 4, 7])
+def test_nearest_lists(spark, most):
+    """Several lists, nodes on two lists, ties of tier, name and next node, hubs cut into parts, nulls."""
+    rng = random.Random(most)
+    edges = [(f"n{rng.randrange(90)}", f"n{rng.randrange(90)}") for _ in range(130)]
+    edges += [(f"n{i}", "hub") for i in range(0, 90, 3)] + [("hub", "x1"), ("x1", "x2"), ("n1", "n1"), (None, "n2"), ("n3", None)]
+    lists = [("x2", 2, "B"), ("n5", 1, "C"), ("n5", 1, "A"), ("n6", 1, "A"), ("n6", 3, "Z"), ("n7", 2, "B"), ("elsewhere", 1, "A"), (None, 1, "A")]
+    df = transfer_edges(spark.createDataFrame(edges, "account_id string, counterparty_id string"))
+    got = nearest_lists(df, spark.createDataFrame(lists, "node string, tier int, list_name string"), most, per_part=3).collect()
+    want = plain_nearest(edges, lists, most)
+    assert {r.node: (r.hops, r.tier, r.list_name, tuple(r.path)) for r in got} == want and len(got) == len(want)
+    none = nearest_lists(df, spark.createDataFrame([], "node string, tier int, list_name string"), most)
+    assert none.count() == 0
+
+
+def test_proximity(spark):
+    """The nearer party counts; its path has every node, and every edge is a transfer."""
+    chain = [(f"c{i}", f"c{i + 1}") for i in range(9)]
+    txns = spark.createDataFrame([(f"T{n}", a, b) for n, (a, b) in enumerate([*chain, ("p", "q"), ("c9", "p"), ("c3", None)])],
+                                 "txn_id string, account_hash string, counterparty_hash string")
+    lists = spark.createDataFrame([("c9", 2, "LIST")], "node string, tier int, list_name string")
+    near = nearest_lists(transfer_edges(txns, "account_hash", "counterparty_hash"), lists, 8)
+    placed = with_proximity(txns, near)
+    got = {r.txn_id: (r.hops, r.list_name, len(r.path)) for r in placed.collect()}
+    assert got == {**{f"T{n}": (8 - n, "LIST", 9 - n) for n in range(9)}, "T9": (8, "NONE", 0), "T10": (0, "LIST", 1), "T11": (6, "LIST", 7)}
+    rows = [tuple(r) for r in proximity_edges(placed).orderBy("txn_id", "seq").collect()]
+    assert {(src, dst) for _, _, src, dst, _, _ in rows} <= set(chain)
+    first = [r for r in rows if r[0] == "T0"]
+    assert [r[1] for r in first] == list(range(8)) and first[0][2] == "c1"
+    assert [r[4:] for r in first] == [("TRANSFERS_TO", f"c{i}") for i in range(2, 9)] + [("8 HOPS", "LIST")]
+    assert [r[4] for r in rows if r[0] == "T7"] == ["1 HOP"] and not [r for r in rows if r[0] in ("T8", "T9", "T10")]
 
 
 def test_hub_with_half_of_all_edges(spark):
