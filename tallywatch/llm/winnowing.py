@@ -12,6 +12,7 @@ from .graph import saved
 #: What lies between words: ASCII characters other than lower-case letters and digits.
 APART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _NO_SPANS, _NO_ITEMS = "array<struct<begin:int,end:int>>", "array<bigint>"
+_LEAST_BITS, _MOST_BITS, _BLOCK_BITS = 1 << 16, 1 << 28, 8 * 4096
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -92,12 +93,32 @@ def item_windows(items: DataFrame, sizes: list[int], window: int, gram: int) ->
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
-def document_words(docs: DataFrame) -> DataFrame:
-    """doc_id, key of the row's id and text, and words."""
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and key of the row's id and text."""
     text = F.coalesce("text", F.lit(""))
     key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("key"), words_of(F.col("text")).alias("_w"))
-    return _once(rows, "words", F.col("_w")).drop("_w")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), key.alias("key"), text.alias("text"))
+
+
+def with_words(rows: DataFrame) -> DataFrame:
+    return _once(rows.withColumn("_w", words_of(F.col("text"))).drop("text"), "words", F.col("_w")).drop("_w")
+
+
+def likely(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key may be among the given ones; only some sixteenth of the others stays.
+
+    The keys make a bit field of 16 bits each, at most 32 MB, in blocks of 4 KB;
+    the blocks are broadcast. A fuller field lets more rows through, never fewer.
+    """
+    n, bits = keys.count(), _LEAST_BITS
+    while bits < 16 * n and bits < _MOST_BITS:
+        bits *= 2
+    place = F.pmod(F.xxhash64("key"), F.lit(bits))
+    spot = lambda c: c.select("*", F.floor(place / _BLOCK_BITS).alias("block"), (place % _BLOCK_BITS).alias("place"))
+    field = spot(keys).groupBy("block").agg(F.bitmap_construct_agg("place").alias("field"))
+    byte = F.conv(F.hex(F.expr("substring(field, CAST(place DIV 8 AS INT) + 1, 1)")), 16, 10).cast("int")
+    hit = F.call_function("shiftright", byte, (F.col("place") % 8).cast("int")).bitwiseAND(1) == 1
+    return spot(rows).join(F.broadcast(field), "block").where(hit).drop("block", "place", "field")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int = 5) -> DataFrame:
@@ -131,7 +152,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
     whole = item_words(items)
     # at most ``window`` numbers
     sizes = sorted(r[0] for r in whole.select(F.least(F.size("words"), F.lit(window)).alias("size")).distinct().collect())
-    rows = document_words(docs)
+    texts = keyed_texts(docs)
+    rows = with_words(texts)
     if not sizes:
         return rows.select(
             "doc_id", F.size("words").cast("bigint").alias("n_words"), F.array().cast(_NO_SPANS).alias("spans"),
@@ -146,8 +168,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, gram: int
     found = saved(found.select("key", F.struct("size", "first", "last").alias("range")).distinct()
                   .groupBy("key").agg(F.collect_list("range").alias("ranges")), "candidates")
 
-    texts = rows.select("key", "words")
-    texts = spread_join(texts, found, ["key"], "inner").select("key", "words", F.inline("ranges"))
+    # only documents with a kept hash in common are read into words once more, after the join
+    texts = spread_join(likely(texts.select("key", "text"), found.select("key")), found, ["key"], "inner")
+    texts = with_words(texts).select("key", "words", F.inline("ranges"))
     candidates = texts.select("key", "words", "size", F.explode(F.sequence("first", "last")).alias("begin"))
     candidates = candidates.select("key", "size", "begin", _run(F.col("begin"), F.col("size")).alias("run"))
 
