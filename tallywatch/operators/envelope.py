@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.once import computed_once
 from ..schemas import LWE_ETA, LWE_K, LWE_N, LWE_Q
 
 
@@ -46,6 +47,8 @@ def check_envelopes(df: DataFrame) -> DataFrame:
     A verified ``signature_valid`` column decides the signature check. Overall is
     FAIL if any check fails, PASS if all pass, and INCOMPLETE if one was not made.
     """
+    for costly in ("binding_hash", "signature_valid"):
+        df = computed_once(df, costly) if costly in df.columns else df
     names = [c for c in ("binding_hash", "commitment") if c in df.columns]
     binding = F.coalesce(*names) if names else F.lit("")
     valid = F.col("signature_valid") if "signature_valid" in df.columns else None

@@ -10,12 +10,18 @@ from .commit import bind
 
 
 def lookup(ids: DataFrame, ledger: DataFrame, ignore_case: bool = False) -> DataFrame:
-    """Ledger record per requested id, with ``found``."""
+    """Ledger record per requested id, with ``found``.
+
+    The ledger is cut down to the wanted ids first. There the ids are the side
+    that may be broadcast, so that a few ids do not shuffle the whole ledger.
+    """
     wanted = F.lower("txn_id") if ignore_case else F.col("txn_id")
     stored = ledger.withColumnRenamed("txn_id", "ledger_txn_id")
     held = F.lower("ledger_txn_id") if ignore_case else F.col("ledger_txn_id")
     keyed = stored.withColumn("_key", held)
-    joined = spread_join(ids.withColumn("_key", wanted), keyed, ["_key"], "left").drop("_key")
+    asked = ids.withColumn("_key", wanted)
+    held_rows = keyed.join(asked.select("_key"), "_key", "left_semi")
+    joined = spread_join(asked, held_rows, ["_key"], "left").drop("_key")
     return joined.withColumn("found", F.col("ledger_txn_id").isNotNull()).drop("ledger_txn_id")
 
 

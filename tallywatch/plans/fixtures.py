@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.cases import choose
+from ..functions.once import computed_once
 from ..functions.risk import LIST_NAMES, NO_LIST
 from ..operators.commit import commit_table, declared_params
 from ..operators.graph import nearest_lists, transfer_edges
@@ -168,7 +169,8 @@ def claims(spark: SparkSession, sf_dir: str, which: Column | None = None) -> Dat
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exported records with faults: upper-case hash (k=21), personal bytes (k=34), other modulus (k=55), forged
     signature (k=13)."""
-    signed = sign(commit_table(raw_txns(spark, sf_dir), KEY, keep=("k",)), SIGN_KEY)
+    committed = computed_once(commit_table(raw_txns(spark, sf_dir), KEY, keep=("k",)), "binding_hash")
+    signed = computed_once(sign(committed, SIGN_KEY), "signature")
     other = declared_params().withField("q", F.lit(7681))
     shown = signed.select(
         "txn_id", "timestamp_ns", "status",

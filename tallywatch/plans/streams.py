@@ -26,27 +26,32 @@ DRAIN = {"availableNow": True}
 RESUME_AT = 1704844800_000_000_000
 
 
-def deliver(rows, name, parts):
-    """Rows as a folder of files, one delivery after another: ``parts`` are conditions on the rows."""
-    path = work_dir(rows.sparkSession, name)
+#: Rows of a file of a delivery; a larger delivery has several files, which are read as one batch.
+FILE_ROWS = 1_000_000
+
+
+def deliver(rows, name, parts, n):
+    """Rows as a stream of deliveries, one batch after another: ``parts`` are conditions on the rows, ``n`` is their number."""
+    spark = rows.sparkSession
+    path, files = work_dir(spark, name), max(1, -(-n // (4 * FILE_ROWS)))
     for part in parts:
-        rows.where(part).coalesce(1).write.mode("append").parquet(path)
-    return path
+        chosen = rows.where(part)
+        (chosen.coalesce(1) if files == 1 else chosen.repartition(files)).write.mode("append").parquet(path)
+    return file_stream(spark, path, spark.read.parquet(path).schema, maxFilesPerTrigger=str(files))
 
 
 def quarters(rows, key, delayed):
-    """Conditions that deliver rows in four parts by ``key``, the ``delayed`` ones a part too late; the last takes all left."""
-    low, mid, high = rows.agg(F.percentile_approx(key, [0.25, 0.5, 0.75])).first()[0]
+    """Conditions that deliver rows in four parts by ``key``, the ``delayed`` ones a part too late; the last takes all left. Their number."""
+    (low, mid, high), n = rows.agg(F.percentile_approx(key, [0.25, 0.5, 0.75]), F.count("*")).first()
     place = F.when(F.col(key) <= low, 0).when(F.col(key) <= mid, 1).when(F.col(key) <= high, 2).otherwise(3)
     place = F.coalesce(place + F.when(delayed, 1).otherwise(0), F.lit(0))
-    return [place == n for n in range(5)]
+    return [place == i for i in range(5)], n
 
 
 def event_stream(spark, sf):
-    """The event table, a file or a folder, as a stream of five files; every fifth event comes a file too late."""
+    """The event table, a file or a folder, as a stream of five deliveries; every fifth event comes one too late."""
     events = fx.table(spark, sf, "events")
-    path = deliver(events, "event-files", quarters(events, "event_id", F.col("event_id") % 5 == 0))
-    return fx.events_as_raw(file_stream(spark, path, events.schema))
+    return fx.events_as_raw(deliver(events, "event-files", *quarters(events, "event_id", F.col("event_id") % 5 == 0)))
 
 
 def feed_stream(spark, sf):
@@ -71,8 +76,7 @@ def drain(spark, stream, name, mode="update", keys=None):
 
 def envelope_stream(spark, sf):
     rows = fx.envelopes(spark, sf)
-    path = deliver(rows, "envelopes", quarters(rows, "timestamp_ns", F.col("timestamp_ns") % 7 == 0))
-    return file_stream(spark, path, spark.read.parquet(path).schema)
+    return deliver(rows, "envelopes", *quarters(rows, "timestamp_ns", F.col("timestamp_ns") % 7 == 0))
 
 
 @query(f"""{views('raw')}
@@ -135,8 +139,8 @@ def velocity_from_ordered_stream(spark, sf):
     """The same from a feed in order: most rows are given out while the stream runs, the rest is pending."""
     out = work_dir(spark, "velocity")
     events = fx.table(spark, sf, "events")
-    path = deliver(events, "event-files", quarters(events, "event_id", F.lit(False))[:4])
-    slim = pseudonymise(fx.events_as_raw(file_stream(spark, path, events.schema))).select("txn_id", "account_hash", "timestamp_ns")
+    parts, n = quarters(events, "event_id", F.lit(False))
+    slim = pseudonymise(fx.events_as_raw(deliver(events, "event-files", parts[:4], n))).select("txn_id", "account_hash", "timestamp_ns")
     stream = velocity_stream(slim, out, f"{out}/_checkpoint", 60, trigger=DRAIN)
     stream.awaitTermination()
     done = spark.read.parquet(f"{out}/velocity").select("txn_id", "velocity")
@@ -156,11 +160,11 @@ def late_rows_from_stream(spark, sf):
     """Rows held back to the end of the feed: hourly counts, and the rows too late for them, none lost."""
     out = work_dir(spark, "late")
     raw = fx.raw_txns(spark, sf).select("txn_id", "timestamp_ns", "k")
-    parts = [p & (F.col("k") != 13) for p in quarters(raw, "timestamp_ns", F.lit(False))[:4]] + [F.col("k") == 13]
-    path = deliver(raw, "held-back", parts)
+    parts, n = quarters(raw, "timestamp_ns", F.lit(False))
+    parts = [p & (F.col("k") != 13) for p in parts[:4]] + [F.col("k") == 13]
     hour = floor_div(F.col("timestamp_ns"), HOUR_NS).alias("hour")
     window_stream(
-        file_stream(spark, path, raw.schema), out, f"{out}/_checkpoint", lambda rows: rows.groupBy(hour).agg(F.count("*").alias("n")),
+        deliver(raw, "held-back", parts, n), out, f"{out}/_checkpoint", lambda rows: rows.groupBy(hour).agg(F.count("*").alias("n")),
         LATE_S, trigger=DRAIN,
     ).awaitTermination()
     late = read_aside(spark, out).groupBy(F.col("aside_reason").alias("kind"), hour).agg(F.count("*").alias("n"))

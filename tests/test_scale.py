@@ -145,3 +145,29 @@ def test_page_prunes_days_and_pushes_its_filter(spark):
     plan = planned(page)
     assert re.search(r"PartitionFilters: \[[^\]]*date_bucket", plan) and "GreaterThanOrEqual(timestamp_ns" in plan
     assert [r["timestamp_ns"] for r in page.collect()] == [10**11 * (30_000 + i) for i in range(5)]
+
+
+def test_envelope_checks_compute_each_mac_once(spark):
+    from tallywatch.plans import fixtures as fx
+    from tallywatch.operators.envelope import check_counts, check_envelopes
+    checked = check_envelopes(fx.envelopes(spark, "/root/testdata/sf0.001"))
+    for frame in (checked.select("checks"), check_counts(checked), checked.select("overall")):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 < plan.count("sha2(") <= 6
+
+
+def test_a_few_ids_do_not_shuffle_the_ledger(spark, tmp_path):
+    from tallywatch.operators.verify import lookup
+    path = str(tmp_path / "ledger")
+    spark.range(20000).selectExpr("concat('T', id) AS txn_id", "repeat(md5(cast(id AS string)), 40) AS binding_hash").write.parquet(path)
+    ids = spark.createDataFrame([("T5",), ("T17",), ("T99999",), ("T5",)], "txn_id string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100KB")
+    try:
+        found = lookup(ids, spark.read.parquet(path))
+        rows = found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted((r.txn_id, r.found) for r in rows) == [("T17", True), ("T5", True), ("T5", True), ("T99999", False)]
+    assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
