@@ -12,7 +12,17 @@ def saved(frame: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read back: later steps start from files, not from its plan."""
     path = work_dir(frame.sparkSession, name)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    table = frame.sparkSession.read.schema(frame.schema).parquet(path)
+    table.folder = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of saved tables that no later step reads."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def _size(edges: DataFrame) -> tuple:
@@ -39,7 +49,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = spread_join(large, least, ["u"], "inner")
         small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = saved(small.where("u <> v").distinct(), "edges")
+        old, edges = edges, saved(small.where("u <> v").distinct(), "edges")
+        release(old)
         now = _size(edges)
         if now == before:
             break

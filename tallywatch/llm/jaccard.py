@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import batches as B
-from .graph import components, saved
+from .graph import components, release, saved
 from .marks import hits, marks_of, with_place
 from .segments import PROBE, signatures
 
 #: 64-bit words of the sketch that bounds how far two sets differ.
 SKETCH = 32
+#: Sets with more elements have a finer sketch besides, since they fill the short one.
+FULL = 64 * SKETCH // 3
 #: Members of a signature's largest component that each of the others is tried with first.
 SAMPLES = 3
 _SET_COLUMNS = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint"
@@ -155,8 +157,32 @@ def _sketches(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 _SKETCH_COLUMNS = [f"s{n}" for n in range(SKETCH)]
 
 
+def _fine_sketches(shingles: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """The same kind of bit field with two bits or more an element, for sets that fill the short one; empty for others."""
+    sizes = np.diff(bounds)
+    power = np.ceil(np.log2(np.maximum(sizes, 1))).astype(np.int64) + 1
+    n_bytes = np.where(sizes > FULL, 1 << np.maximum(power - 3, 0), 0)
+    ends = np.concatenate([[0], np.cumsum(n_bytes)])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    large = n_bytes[row] > 0
+    row = row[large]
+    place = B.mix64(shingles[large] ^ np.uint64(0x3C6EF372FE94F82B)) >> (64 - power[row]).astype(np.uint64)
+    bits = np.zeros(8 * int(ends[-1]), bool)
+    bits[8 * ends[row] + place.astype(np.int64)] = True
+    return B.binary_array(np.packbits(bits, bitorder="little"), ends).cast(pa.binary())
+
+
+def _differing_bits(one: bytes, two: bytes) -> int:
+    """Bits in which two fine sketches differ; the longer one is folded to the length of the other."""
+    fields = [np.frombuffer(x, np.uint8) for x in sorted((one, two), key=len)]
+    while len(fields[1]) > len(fields[0]):
+        folded = np.unpackbits(fields[1], bitorder="little").reshape(-1, 2).max(1)
+        fields[1] = np.packbits(folded, bitorder="little")
+    return int(np.bitwise_count(fields[0] ^ fields[1]).sum())
+
+
 def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """doc_id, size, sorted shingles and sketch of the documents that have an id in ``ids``."""
+    """doc_id, size, sorted shingles and sketches of the documents that have an id in ``ids``."""
     def collect(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.slices(hits(parts, shared.value), most=2 << 20):
             shingles, bounds = _sets(part, words)
@@ -164,14 +190,15 @@ def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             data = B.binary_array(shingles.view(np.uint8), bounds * 8).cast(pa.binary())
             sketch = _sketches(shingles, bounds)
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(h1), pa.array(np.diff(bounds)), data, *(pa.array(c) for c in sketch.T)],
-                ["doc_id", "h1", "size", "shingles", *_SKETCH_COLUMNS],
+                [part.column("doc_id"), pa.array(h1), pa.array(np.diff(bounds)), data, _fine_sketches(shingles, bounds),
+                 *(pa.array(c) for c in sketch.T)],
+                ["doc_id", "h1", "size", "shingles", "fine", *_SKETCH_COLUMNS],
             )
 
     shared = docs.sparkSession.sparkContext.broadcast(marks_of(ids))
     placed = with_place(B.id_and_text(docs), len(shared.value))
     columns = ", ".join(f"{c} bigint" for c in _SKETCH_COLUMNS)
-    found = placed.mapInArrow(collect, f"doc_id bigint, h1 bigint, size bigint, shingles binary, {columns}")
+    found = placed.mapInArrow(collect, f"doc_id bigint, h1 bigint, size bigint, shingles binary, fine binary, {columns}")
     return found.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "h1"]).drop("h1")
 
 
@@ -191,7 +218,16 @@ def _may_link(percent: int) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose sets are similar enough: by size and sketch first, then by the full sets."""
+    """Those pairs (a, b) whose sets are similar enough: by size and sketches first, then by the full sets."""
+    def finer(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            sizes = np.asarray(part.column("size_a")) + np.asarray(part.column("size_b"))
+            good = [
+                not one or not two or _differing_bits(one, two) * (100 + percent) <= size * (100 - percent)
+                for one, two, size in zip(part.column("fine_a").to_pylist(), part.column("fine_b").to_pylist(), sizes.tolist())
+            ]
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
     def check(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             (one, first), (two, second) = (B.flat_bytes(part.column(c)) for c in ("shingles_a", "shingles_b"))
@@ -206,9 +242,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     left, right = _sides(sets, "size", *_SKETCH_COLUMNS)
     near = pairs.join(left, "a").join(right, "b").where(_may_link(percent)).select("a", "b")
+    left, right = _sides(sets, "size", "fine")
+    near = saved(near.join(right, "b").join(left, "a").mapInArrow(finer, "a bigint, b bigint"), "near")
     left, right = _sides(sets, "shingles")
     both = near.join(right, "b").join(left, "a")
-    return both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(check, "a bigint, b bigint").distinct()
+    links = both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(check, "a bigint, b bigint").distinct()
+    links = saved(links, "links")
+    release(near)
+    return links
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -264,18 +305,19 @@ def link_classes(docs: DataFrame, described: DataFrame, known: DataFrame, rows:
     fresh = saved(_ordered(ties), "pairs")
     ids = fresh.select(F.col("a").alias("doc_id")).unionByName(fresh.select(F.col("b").alias("doc_id"))).distinct()
     sets = saved(_sets_of(docs, ids, words), "shingles")
-    links = saved(_verified(fresh, sets, percent), "links")
+    links = _verified(fresh, sets, percent)
     found = components(links)
     sampled = saved(_sampled(_apart(ties, found)).join(fresh, ["a", "b"], "left_anti"), "pairs")
-    gained = saved(_verified(sampled, sets, percent), "links")
+    gained = _verified(sampled, sets, percent)
     if not gained.isEmpty():
         links = links.unionByName(gained)
         found = components(links)
     fresh = fresh.unionByName(sampled)
     rest = saved(_across(_apart(ties, found), sets, percent), "pairs")
-    gained = saved(_verified(rest.join(fresh, ["a", "b"], "left_anti"), sets, percent), "links")
+    gained = _verified(rest.join(fresh, ["a", "b"], "left_anti"), sets, percent)
     if not gained.isEmpty():
         found = components(links.unionByName(gained))
+    release(ties, sets, sampled, rest)
     final = known.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "n_shingles", "h1", "h2", F.coalesce("component", "class_id").alias("component_id")
     )
@@ -325,7 +367,7 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     with all others. The comparison is part of the join, so that pairs ruled out
     are never made.
     """
-    sketched = saved(_largest(members).join(sets.drop("shingles").withColumnRenamed("doc_id", "node"), "node"), "members")
+    sketched = saved(_largest(members).join(sets.drop("shingles", "fine").withColumnRenamed("doc_id", "node"), "node"), "members")
     side = lambda x: sketched.select(
         "sig", (F.col("component") == F.col("largest")).alias(f"main_{x}"), F.col("node").alias(x),
         F.col("component").alias(f"component_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("size", *_SKETCH_COLUMNS)],

@@ -11,7 +11,11 @@ BATCH_BYTES = 8 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Give Python workers the package and bound the Arrow batches they receive by bytes."""
+    """Give Python workers the package, bound the Arrow batches they receive by bytes, and let shuffle files go with their job.
+
+    Work between steps lies in tables, so no later job reads the shuffle files of an earlier one.
+    """
     ship_package(spark)
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
