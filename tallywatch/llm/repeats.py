@@ -13,6 +13,7 @@ from . import batches as B
 from .anchors import GRAM, contexts
 from .graph import saved
 from .marks import marked, marks_of
+from .samples import one_text_each
 from .suffixes import suffix_array
 
 WINDOW = 100
@@ -299,26 +300,34 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
-    """doc_id, kept (binary), n_bytes, n_removed and n_spans of every document after its repeated bytes are cut out.
+    """doc_id, kept (binary), n_bytes, n_removed, n_spans and mark of every document after its repeated bytes are cut out.
 
     Strings are judged on the input, not on what is left; n_spans counts maximal
     runs. A null text counts as empty; texts shorter than ``window`` bytes stay
     whole, and so do rows with a null doc_id. Repeated rows of one doc_id are
     one document read twice: they do not repeat themselves, and each gives a row.
+    Of texts that share a doc_id the least takes part, rows with another one stay
+    whole. ``mark`` is xxhash64 of the text, to tell such rows apart.
     Other columns are not read. Only documents that lose something are shuffled.
+    ``window`` is 64 to 112 bytes: contexts are told apart by hashes of up to 192.
     """
-    spans = saved(repeated_spans(docs, window, most_contexts), "spans")
+    if not 64 <= window <= 112:
+        raise ValueError("window must be 64 to 112 bytes")
+    rows, aside = one_text_each(B.id_and_text(docs))
+    spans = saved(repeated_spans(rows, window, most_contexts), "spans")
     by_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
     field = marks_of(spans.select("doc_id").distinct())
-    rows = B.id_and_text(docs)
     none = F.lit(None).cast("array<struct<first:bigint,end:bigint>>")
     touched = marked(rows, field, True).join(by_doc, "doc_id", "left")
     all_rows = touched.unionByName(marked(rows, field, False).withColumn("spans", none))
+    if aside is not None:
+        all_rows = all_rows.unionByName(aside.withColumn("spans", none))
+    all_rows = all_rows.withColumn("mark", F.xxhash64("text"))
 
     def cut(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in B.slices(parts):
             out: list[tuple] = []
-            for doc_id, text, own in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
+            for doc_id, text, own, mark in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "spans", "mark"))):
                 data = text.encode()
                 runs = _merged(own) if own else []
                 kept, at = [], 0
@@ -327,10 +336,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, most_contexts: int = M
                     at = end
                 kept.append(data[at:])
                 left = b"".join(kept)
-                out.append((doc_id, left, len(data), len(data) - len(left), len(runs)))
+                out.append((doc_id, left, len(data), len(data) - len(left), len(runs), mark))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.binary()] + [pa.int64()] * 3)],
-                ["doc_id", "kept", "n_bytes", "n_removed", "n_spans"],
+                [pa.array(c, t) for c, t in zip(zip(*out), [pa.int64(), pa.binary()] + [pa.int64()] * 4)],
+                ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "mark"],
             )
 
-    return all_rows.mapInArrow(cut, "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    return all_rows.mapInArrow(cut, "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, mark bigint")

@@ -70,3 +70,18 @@ def test_digests_tell_where_the_anchor_stands(spark):
     rows = [(5, 1, 100, 0, 0, b"", b"|" + rest), (5, 2, 100, 1, 1, b"|", rest), (5, 3, 100, 1, 1, b"|", rest)]
     flanked = spark.createDataFrame(rows, "anchor long, doc_id long, at long, least int, most int, left binary, right binary")
     assert [tuple(r) for r in repeats._by_fingerprints(flanked, 100).collect()] == [(3, 99, 1)]
+
+
+def test_rows_that_share_an_id_but_not_a_text(spark):
+    same = prose("same", 60)
+    rows = [(1, same), (2, same + " a"), (2, "b " + prose("own", 60))]
+    got = sorted((r.doc_id, r.n_removed, r.kept.decode()) for r in remove_repeats(frame(spark, rows)).collect())
+    least = min(rows[1][1], rows[2][1])
+    assert sum(n for _, n, _ in got) == (len(same) if least == rows[1][1] else 0)
+    assert (2, 0, max(rows[1][1], rows[2][1])) in got
+
+
+@pytest.mark.parametrize("window", [63, 113])
+def test_windows_beyond_the_hashes_are_refused(spark, window):
+    with pytest.raises(ValueError):
+        remove_repeats(frame(spark, messy()), window)
