@@ -15,6 +15,7 @@ from .fertility import quality_rules
 from .fingerprints import with_edited
 from .jaccard import jaccard_components
 from .packing import pack
+from .repair_sql import REPAIR
 from .repeats import remove_repeats
 from .settings import ready
 from .token_counts import count_tokens
@@ -145,6 +146,9 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries(damaged, F.col("copies"))
 
 
+sql("op12_structure_repair", REPAIR)
+
+
 @register
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 2000 phrases of each language that hold together best."""
