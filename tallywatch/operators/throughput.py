@@ -76,3 +76,33 @@ def ingest_delay(df: DataFrame, event_s: Column, ingest_s: Column, by: Column) -
         F.expr("cast(percentile_disc(0.5) within group (order by _delay) as bigint)").alias("p50_delay"),
         F.expr("cast(percentile_disc(0.95) within group (order by _delay) as bigint)").alias("p95_delay"),
     )
+
+
+#: Size parameter of delay sketches, and the share by which a quantile's rank may be off: about 0.9 % at 99 % confidence
+#: for this size, doubled here to be safe over many periods.
+SKETCH_K, RANK_ERROR = 400, 0.018
+
+
+def delay_sketches(df: DataFrame, event_s: Column, ingest_s: Column, by: Column, k: int = SKETCH_K) -> DataFrame:
+    """period, n, max_delay and a quantile sketch of the delay between event and arrival.
+
+    A sketch holds a few thousand bytes, however many rows or distinct delays a
+    period has; tasks make their own and merge them in the shuffle. Rows without a
+    delay count in nothing; a period of such rows alone has n 0 and no sketch.
+    """
+    rows = df.select(by.alias("period"), (ingest_s - event_s).cast("bigint").alias("_delay"))
+    return rows.groupBy("period").agg(
+        F.count("_delay").alias("n"), F.max("_delay").alias("max_delay"),
+        F.when(F.count("_delay") > 0, F.kll_sketch_agg_bigint("_delay", k)).alias("sketch"),
+    )
+
+
+def merged_sketches(sketches: DataFrame, by: Column) -> DataFrame:
+    """The same for longer periods, from the sketches of the shorter ones alone."""
+    held = sketches.where("n > 0").select(by.alias("period"), "n", "max_delay", "sketch")
+    return held.groupBy("period").agg(F.sum("n").alias("n"), F.max("max_delay").alias("max_delay"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+
+
+def with_quantiles(sketches: DataFrame, **shares: float) -> DataFrame:
+    """Named quantiles of the sketches, such as ``p95=0.95``; the rank of each is off by ``RANK_ERROR`` at most."""
+    return sketches.withColumns({name: F.kll_sketch_get_quantile_bigint("sketch", F.lit(share)) for name, share in shares.items()})

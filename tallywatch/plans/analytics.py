@@ -211,6 +211,24 @@ def ingest_delay(spark, sf):
     return delays.withColumn("avg_delay", F.round("avg_delay", 6))
 
 
+@query("""SELECT strftime(o_orderdate, '%Y') AS period, count(*) AS n, max((epoch_us(l_shipdate) - epoch_us(o_orderdate)) // 1000000) AS max_delay,
+    TRUE AS p50_in_bound, TRUE AS p95_in_bound FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1""")
+def delay_sketches(spark, sf):
+    """Delay quantiles per year from sketches per month, and whether their exact ranks keep the bound."""
+    orders, lines = fx.table(spark, sf, "orders"), fx.table(spark, sf, "lineitem")
+    both = orders.join(lines, orders.o_orderkey == lines.l_orderkey)
+    ordered, shipped = (F.unix_seconds(F.col(c).cast("timestamp")) for c in ("o_orderdate", "l_shipdate"))
+    months = throughput.delay_sketches(both, ordered, shipped, F.date_format("o_orderdate", "yyyy-MM"))
+    years = throughput.with_quantiles(throughput.merged_sketches(months, F.substring("period", 1, 4)), p50=0.5, p95=0.95)
+    rows = both.select(F.date_format("o_orderdate", "yyyy").alias("period"), (shipped - ordered).alias("delay"))
+    ranks = rows.join(years.select("period", "n", "max_delay", "p50", "p95"), "period").groupBy("period", "n", "max_delay").agg(*[
+        F.avg((F.col("delay") < F.col(q)).cast("int") if below else (F.col("delay") <= F.col(q)).cast("int")).alias(f"{q}_{side}")
+        for q in ("p50", "p95") for side, below in (("low", True), ("high", False))])
+    kept = lambda q, share: (
+        (F.col(f"{q}_low") <= share + throughput.RANK_ERROR) & (F.col(f"{q}_high") >= share - throughput.RANK_ERROR)).alias(f"{q}_in_bound")
+    return ranks.select("period", "n", "max_delay", kept("p50", 0.5), kept("p95", 0.95))
+
+
 _TOPICS = """feed AS (SELECT 'committed' AS topic, * FROM ledger
                       UNION ALL SELECT 'anomalies', * FROM ledger WHERE anomaly_score >= 0.75)"""
 

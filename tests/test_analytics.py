@@ -169,3 +169,25 @@ def test_digit_excess(spark):
     rows = [txn(f"x{i}", 900_000_000 + i, account="X") for i in range(20)] + [txn(f"y{i}", 100 + i, account="Y") for i in range(20)]
     got = rules.digit_excess(spark.createDataFrame(rows, TXN)).collect()
     assert [(r["account_id"], r["n"], r["hits"]) for r in got] == [("X", 20, 20)]
+
+
+def test_delay_sketches_keep_their_bound_and_size(spark):
+    """Merged over periods, with a hot period, repeated and null delays; the size does not grow with the rows."""
+    from tallywatch.operators import throughput as tp
+    rows = spark.range(200_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN 'a1' ELSE concat('a', id % 7) END AS p", "0L AS e", "CASE WHEN id % 11 = 0 THEN NULL ELSE (id * 7919) % 50021 * (id % 2) END AS i")
+    sizes = []
+    for most in (2_000, 200_000):
+        part = rows.limit(most)
+        small = tp.delay_sketches(part, F.col("e"), F.col("i"), F.col("p"))
+        whole = tp.with_quantiles(tp.merged_sketches(small, F.lit("all")), p50=0.5, p95=0.95).first()
+        delays = sorted(r.i for r in part.where("i IS NOT NULL").collect())
+        assert whole.n == len(delays) and whole.max_delay == delays[-1]
+        for share, value in ((0.5, whole.p50), (0.95, whole.p95)):
+            low, high = (sum(d < value for d in delays) / len(delays), sum(d <= value for d in delays) / len(delays))
+            assert low - tp.RANK_ERROR <= share <= high + tp.RANK_ERROR
+        sizes.append(max(len(r.sketch) for r in small.collect()))
+    assert sizes[1] < 20_000
+    none = tp.delay_sketches(rows.where("i IS NULL"), F.col("e"), F.col("i"), F.col("p"))
+    assert none.count() == 7 and tp.merged_sketches(none, F.lit("all")).count() == 0
+    assert tp.delay_sketches(rows.where("false"), F.col("e"), F.col("i"), F.col("p")).count() == 0
