@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 
 from ..functions.risk import status_of
 from ..operators.privacy import pseudonymise
+from ..operators.status import observe_ingest
 from ..session import work_dir
 from ..functions.timeparts import HOUR_NS, floor_div
 from ..sources.ledger import append_ledger, latest_by, read_ledger
 from ..sources.raw import file_stream
 from ..streaming import live
 from ..streaming.commits import commit_stream
+from ..streaming.health import overall, progress_rows, stage_health
 from ..streaming.late import read_aside, read_windows, window_stream
 from ..streaming.sinks import parquet_sink
 from ..streaming.velocity import pending_velocity, velocity_stream
@@ -223,3 +225,24 @@ def hook_counts(spark, sf):
     frames = [spark.read.parquet(f"{out}/{n}").agg(F.count("*").alias("n")).select(F.lit(n).alias("hook"), "n")
               for n in ("committed", "anomaly")]
     return frames[0].unionByName(frames[1])
+
+
+@query(f"""{views('raw')} SELECT 'ingest' AS stage, count(*) AS total, count(*) FILTER (k = 13) AS errors,
+    CASE WHEN count(*) FILTER (k = 13) < 10 THEN 'ONLINE' ELSE 'WARNING' END AS status,
+    CASE WHEN count(*) FILTER (k = 13) < 10 THEN 'NOMINAL' ELSE 'DEGRADED' END AS overall FROM raw
+    UNION ALL SELECT 'statistics', count(*), 0, 'ONLINE', CASE WHEN count(*) FILTER (k = 13) < 10 THEN 'NOMINAL' ELSE 'DEGRADED' END FROM raw""")
+def stage_states(spark, sf):
+    """States of two stages of a drained run, from their queries' progress and observed counters."""
+    raw = event_stream(spark, sf).withColumn("reject_reason", F.when(F.col("k") == 13, F.lit("BAD_SIGNATURE")))
+    out = work_dir(spark, "health")
+    write = parquet_sink(out)
+    stages = {}
+    for name, rows in (("ingest", observe_ingest(raw, "ingest")), ("statistics", raw.select("txn_id", "timestamp_ns"))):
+        run = rows.writeStream.option("checkpointLocation", f"{out}/_checkpoint-{name}")
+        to = lambda batch, batch_id, name=name: write(name, batch.select("txn_id"), batch_id)
+        stages[name] = run.foreachBatch(to).trigger(**DRAIN).start()
+        stages[name].awaitTermination()
+    # how long a batch takes here is not the table's matter: an hour is allowed
+    health = stage_health(progress_rows(spark, stages), most_batch_ms=3_600_000)
+    state = overall(health).first()["overall"]
+    return health.select("stage", "total", "errors", "status", F.lit(state).alias("overall"))

@@ -224,3 +224,18 @@ def test_kafka_source_is_optional(spark):
     from tallywatch.sources.raw import kafka_stream
     with pytest.raises(Exception, match="(?i)kafka"):
         kafka_stream(spark, "nowhere:1", ["t"])
+
+
+def test_stage_health_states(spark):
+    """States by each limit on its own, unmeasured figures, and the state of the whole."""
+    from tallywatch.streaming.health import overall, stage_health
+    rows = [("fine", 0, 10, 499, 1000, 10, 9), ("errors", 0, 10, 1, 1000, 4, 4), ("errors", 1, 10, 1, 1000, 4, 6), ("slow", 0, 1, 500, 9000, 1, 0),
+            ("busy", 0, 1, 401, 500, 1, 0), ("bare", 0, 7, None, None, None, None), ("edge", 0, 1, 400, 500, 1, 0)]
+    schema = "stage string, batch_id long, input_rows long, batch_ms long, interval_ms long, processed long, errors long"
+    progress = spark.createDataFrame(rows, schema)
+    health = {r.stage: r for r in stage_health(progress).collect()}
+    assert {s: r.status for s, r in health.items()} == {"fine": "ONLINE", "errors": "WARNING", "slow": "WARNING", "busy": "WARNING", "bare": "ONLINE", "edge": "ONLINE"}
+    assert (health["errors"].batches, health["errors"].total, health["errors"].errors) == (2, 20, 10)
+    assert overall(stage_health(progress)).first().overall == "DEGRADED"
+    assert overall(stage_health(progress.where("stage IN ('fine', 'bare')"))).first().overall == "NOMINAL"
+    assert overall(stage_health(progress.where("false"))).first().overall == "DEGRADED"
