@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -18,8 +19,17 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def give_back() -> None:
+    """Return memory that earlier work of this process has freed to the system: workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about ``most`` bytes of text; a longer text stands alone."""
+    give_back()
     for batch in batches:
         _, bounds = flat_bytes(batch.column(column))
         at = 0
@@ -28,6 +38,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             upto = min(max(upto, at + 1), batch.num_rows)
             yield batch.slice(at, upto - at)
             at = upto
+    give_back()
 
 
 def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -76,6 +87,12 @@ def word_spans(
     return starts, ends, np.searchsorted(starts, bounds)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; by sorting, which is far faster than hashing them where many differ."""
+    values = np.sort(values, kind="stable")
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A fixed bijection of 64-bit values that spreads them evenly."""
     x = x.astype(np.uint64, copy=True)

@@ -7,16 +7,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import batches as B
 from .graph import saved
 from .samples import fold_of, labelled
+from .settings import ready
 
 BITS = 20
 STEMS = (4, 5, 6, 7, 8)
 REPEATS = (2, 4)
-BLOCK = 1024
+SIZE = 1 << BITS
+#: Texts are rated and fitted in slices of so many bytes: all terms of a slice are held with their factors.
+RATED_BYTES = 2 << 20
 
 
 def _apart() -> np.ndarray:
@@ -34,12 +37,11 @@ def _repeated(hashed: np.ndarray, times: int) -> np.ndarray:
     return (B.mix64(hashed.astype(np.uint64) + (np.uint64(times) << np.uint64(BITS))) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def terms(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def terms(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed terms of each text and the bounds of the texts.
 
     Terms are lower-case words, their beginnings of 4 to 8 bytes, and for each
-    of these a term that says it occurs 2 times or more, and one for 4. With
-    ``wanted`` only marked words and beginnings, and what derives from them, are kept.
+    of these a term that says it occurs 2 times or more, and one for 4.
     """
     data, bounds = B.flat_bytes(column)
     data = B.lower_ascii(data)
@@ -51,279 +53,238 @@ def terms(column: pa.Array, wanted: np.ndarray | None = None) -> tuple[np.ndarra
     starts, ends, rows = B.word_spans(data, bounds, _APART)
     n = len(rows) - 1
     word_row = np.repeat(np.arange(n), np.diff(rows))
-    parts = []
+    found = []
     for size in (0, *STEMS):
         stem = B.span_hashes(data, starts, np.minimum(ends, starts + size) if size else ends)
-        found = (B.mix64(stem + np.uint64(size)) >> np.uint64(64 - BITS)).astype(np.int64)
-        keep = slice(None) if wanted is None else wanted[found]
-        parts.append((found[keep], word_row[keep]))
-    hashed, row = np.concatenate([h for h, _ in parts]), np.concatenate([r for _, r in parts])
-    key, times = np.unique(row << BITS | hashed, return_counts=True)
-    hashed, row = key & ((1 << BITS) - 1), key >> BITS
-    more = [times >= r for r in REPEATS]
-    return B.distinct_in_rows(
-        np.concatenate([hashed, *(_repeated(hashed[m], r) for r, m in zip(REPEATS, more))]),
-        np.concatenate([row, *(row[m] for m in more)]), n,
-    )
+        found.append((B.mix64(stem + np.uint64(size)) >> np.uint64(64 - BITS)).astype(np.int64))
+    key = np.concatenate([word_row << BITS | f for f in found])
+    key.sort()
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    times = np.diff(np.append(new, len(key)))
+    key = key[new]
+    row = key >> BITS
+    more = [row[times >= r] << BITS | _repeated(key[times >= r] & (SIZE - 1), r) for r in REPEATS]
+    key = B.distinct(np.concatenate([key, *more]))
+    return key & (SIZE - 1), np.searchsorted(key >> BITS, np.arange(n + 1))
+
+
+def _by_row(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Sums of the values of each row; the values lie row after row."""
+    sizes = np.diff(bounds)
+    if not len(values):
+        return np.zeros((len(sizes), *values.shape[1:]), np.float64)
+    out = np.add.reduceat(values, np.minimum(bounds[:-1], len(values) - 1), axis=0)
+    out[sizes == 0] = 0
+    return out
 
 
 @dataclass
 class FactorizationMachine:
-    """Score of a set of terms: bias, a weight for each, and for each pair the product of their factors."""
+    """Score of a set of terms: bias, a weight for each, and for each pair of terms the product of their factors.
+
+    Every hashed term that the sample has has both; others have the input 0.
+    ``weights`` and ``factors`` are in units of the inputs: a term's input is its
+    scale, made smaller alike for all terms of a text whose inputs are longer
+    than ``radius`` together.
+    """
 
-    place: np.ndarray  # hashed term -> feature, or -1
     bias: float
     weights: np.ndarray
     factors: np.ndarray
-
-    def wanted(self) -> np.ndarray:
-        """Which words and beginnings can lead to a known feature."""
-        every = np.arange(1 << BITS)
-        known = self.place >= 0
-        return known | np.logical_or.reduce([known[_repeated(every, r)] for r in REPEATS])
+    scale: np.ndarray
+    pair_scale: np.ndarray
+    radius: float
+    known: np.ndarray
+
+    def opened(self) -> FactorizationMachine:
+        """The same with wide numbers, and the place of each known term."""
+        wide = [a.astype(np.float32) for a in (self.weights, self.factors, self.scale, self.pair_scale)]
+        made = FactorizationMachine(self.bias, *wide, self.radius, self.known)
+        made.place = np.full(SIZE, -1, np.int32)
+        made.place[self.known] = np.arange(len(self.known))
+        return made
 
     def features(self, hashed: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Known features of each row."""
+        """Places of the known terms, and the bounds of the texts among them."""
         found = self.place[hashed]
         keep = found >= 0
-        kept = np.concatenate([[0], np.cumsum(keep)])
-        return found[keep], kept[bounds]
-
-    def margins(self, features: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        rows = len(bounds) - 1
-        row = np.repeat(np.arange(rows), np.diff(bounds))
-        linear = np.bincount(row, self.weights[features], rows)
-        pairs = np.zeros(rows)
-        for k in range(self.factors.shape[1]):
-            v = self.factors[features, k]
-            pairs += np.bincount(row, v, rows) ** 2 - np.bincount(row, v * v, rows)
-        return self.bias + linear + pairs / 2
-
-    def scores(self, hashed: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.margins(*self.features(hashed, bounds)), -30, 30)))
+        return found[keep], np.concatenate([[0], np.cumsum(keep)])[bounds]
 
+    def shares(self, hashed: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By how much the inputs of each text are made smaller, for weights and for pairs."""
+        return tuple(
+            np.minimum(1, self.radius / np.sqrt(np.maximum(_by_row(s[hashed].astype(np.float64) ** 2, bounds), 1e-12)))
+            for s in (self.scale, self.pair_scale)
+        )
 
-def select_terms(counts: DataFrame, n_one: int, n_zero: int, least_docs: int, least_z: float, most: int | None = None) -> np.ndarray:
-    """Terms whose share of documents differs between the classes, by the two-proportion z value; with ``most`` the best of them.
+    def margins(self, hashed: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        alone, paired = self.shares(hashed, bounds)
+        x = self.factors[hashed]
+        sums, squares = _by_row(x, bounds), _by_row((x * x).sum(1), bounds)
+        return self.bias + alone * _by_row(self.weights[hashed], bounds) + paired**2 * ((sums * sums).sum(1) - squares) / 2
 
-    ``counts`` has term, in_one and in_zero; there are at most 2^20 terms.
-    """
-    pooled = (F.col("in_one") + F.col("in_zero")) / (n_one + n_zero)
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / n_one + 1 / n_zero))
-    z = F.abs(F.col("in_one") / n_one - F.col("in_zero") / n_zero) / spread
-    best = counts.where(F.col("in_one") + F.col("in_zero") >= least_docs).where("in_one + in_zero < %d" % (n_one + n_zero))
-    rows = best.select("term", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term")
-    return (rows if most is None else rows.limit(most)).select("term").toPandas()["term"].to_numpy(np.int64)
+    def scores(self, hashed: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.margins(*self.features(hashed, bounds)), -30, 30)))
 
 
-def _surprise(n: np.ndarray, one: np.ndarray) -> np.ndarray:
-    """Documents times the entropy of their classes, of which ``one`` are in class 1."""
-    other = n - one
-    return sum(-part * np.log(np.maximum(part, 1) / np.maximum(n, 1)) for part in (one, other))
+def _logit(share: float) -> float:
+    share = float(np.clip(share, 1e-3, 1 - 1e-3))
+    return float(np.log(share / (1 - share)))
 
 
-def pair_bound(n_terms: int, chance: float = 0.05) -> float:
-    """Gain of likelihood that, by chance, one pair or more of all pairs of the terms reaches with about this probability."""
-    return float(np.log(max(n_terms, 2) ** 2 / 2 / chance))
+def blank(prior: float, factors: int = 8, radius: float = 3.0) -> FactorizationMachine:
+    """A machine that knows the share of the class alone."""
+    none = np.zeros(0, np.float16)
+    return FactorizationMachine(_logit(prior), none, np.zeros((0, factors), np.float16), none, none, radius, np.zeros(0, np.int32))
 
 
-def tested_terms(counts: DataFrame) -> np.ndarray:
-    """Terms that can reach the bound of ``select_pairs`` with any partner at all.
+def scales(hashed: np.ndarray, bounds: np.ndarray, labels: np.ndarray, shrink: float, soft: float, floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs of all terms, for weights and for pairs: how much a fit may lean on each.
 
-    A partner can explain no more than the class entropy of a term's documents,
-    so a term with less, such as one in a few documents, cannot pass the test.
+    Both grow with the documents of the sample that have the term and vanish for
+    terms all of them have. For weights the input is larger the more the term's
+    share differs between the classes. For pairs it is not: a term that tells
+    nothing alone may tell all beside another.
     """
-    n, one = F.col("in_one") + F.col("in_zero"), F.col("in_one")
-    entropy = sum(-part * F.log(F.greatest(part, F.lit(1)) / n) for part in (one, F.col("in_zero")))
-    rows = counts.select("term", entropy.alias("entropy")).where(F.col("entropy") >= pair_bound(2)).toPandas()
-    rows = rows.sort_values("entropy", ascending=False)
-    # the bound grows with the number of terms, which it cuts itself: the most terms for which both agree
-    entropy = rows["entropy"].to_numpy()
-    agree = entropy >= np.log(np.maximum(np.arange(1, len(entropy) + 1), 2) ** 2 / 2 / 0.05)
-    most = int(np.flatnonzero(agree)[-1]) + 1 if agree.any() else 0
-    return rows["term"].to_numpy(np.int64)[:most]
-
-
-def select_pairs(sample: DataFrame, tested: np.ndarray) -> np.ndarray:
-    """Those of the tested terms that have a partner beside which they tell the classes apart, whatever they tell alone.
-
-    Two terms are partners if among the documents of either one the classes
-    differ between those with and without the other, in the same direction,
-    with a gain of likelihood that no pair reaches by chance. All pairs are
-    compared, block by block on the executors; terms of the same documents are
-    compared once. The driver gets a bit for each tested term and document.
+    n, ones = len(labels), max(int(labels.sum()), 1)
+    zeros = max(n - int(labels.sum()), 1)
+    docs = np.bincount(hashed, minlength=SIZE).astype(np.float64)
+    in_one = np.bincount(hashed, np.repeat(labels, np.diff(bounds)), SIZE)
+    share = docs / n
+    pairs = docs / (docs + shrink) * (1 - share)
+    spread = np.maximum(share * (1 - share) * (1 / ones + 1 / zeros), 1e-12)
+    evidence = (in_one / ones - (docs - in_one) / zeros) ** 2 / spread
+    return (pairs * (floor + (1 - floor) * evidence / (evidence + soft))).astype(np.float32), pairs.astype(np.float32)
+
+
+class _Adam:
+    """Adam steps on the rows of a parameter that a batch touches."""
+
+    def __init__(self, start: np.ndarray, rate: float, least: float):
+        self.value, self.rate, self.least = start, rate, least
+        self.first, self.second = np.zeros_like(start), np.zeros_like(start)
+
+    def step(self, rows: np.ndarray, gradient: np.ndarray, n: int) -> None:
+        first = 0.9 * self.first[rows] + 0.1 * gradient
+        second = 0.99 * self.second[rows] + 0.01 * gradient * gradient
+        self.first[rows], self.second[rows] = first, second
+        self.value[rows] -= self.rate * (first / (1 - 0.9**n)) / (np.sqrt(second / (1 - 0.99**n)) + self.least)
+
+
+def fit(hashed: np.ndarray, bounds: np.ndarray, labels: np.ndarray, prior: float, factors: int = 8, alone: int = 16, together: int = 6,
+        batch: int = 256, rate: float = 0.02, pair_rate: float = 0.1, shrink: float = 20.0, soft: float = 30.0, floor: float = 0.05,
+        radius: float = 3.0, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+    """Fit on the logistic loss, then move the bias from the sample's class share to ``prior``.
+
+    ``alone`` rounds fit the weights; ``together`` rounds more fit weights and
+    factors, so pairs learn what single terms leave unexplained. A batch's step
+    touches its own terms only. Factors take full steps only where their
+    gradients are not small.
     """
-    if len(tested) < 2:
-        return np.zeros(0, np.int64)
-    spark = sample.sparkSession
-    known = spark.sparkContext.broadcast(blank(tested, 0, 0))
-
-    def mark(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = known.value
-        wanted = model.wanted()
-        for part in B.slices(parts):
-            own, bounds = model.features(*terms(part.column("text"), wanted))
-            there = np.zeros((part.num_rows, len(tested)), bool)
-            there[np.repeat(np.arange(part.num_rows), np.diff(bounds)), own] = True
-            data = [r.tobytes() for r in np.packbits(there, axis=1)]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), pa.array(data, pa.binary())], ["doc_id", "label", "bits"])
-
-    rows = sample.mapInArrow(mark, "doc_id bigint, label int, bits binary").orderBy(F.desc("label"), "doc_id").collect()
-    n_rows, n_one = len(rows), sum(r.label for r in rows)
-    by_row = np.frombuffer(b"".join(r.bits for r in rows), np.uint8).reshape(n_rows, -1)
-    del rows
-    marks = np.random.default_rng(1).integers(0, 1 << 63, n_rows, dtype=np.uint64)
-
-    def columns(at: int) -> np.ndarray:
-        return np.unpackbits(by_row[:, at // 8 : (at + BLOCK) // 8], axis=1)[:, : len(tested) - at]
-
-    starts = range(0, len(tested), BLOCK)
-    same = np.concatenate([marks @ columns(at) for at in starts])
-    _, first, group = np.unique(same, return_index=True, return_inverse=True)
-    if len(first) < 2:
-        return np.zeros(0, np.int64)
-    stands = np.zeros(len(tested), bool)
-    stands[first] = True
-    bits = np.concatenate([np.packbits(columns(at).T[stands[at : at + BLOCK]], axis=1) for at in starts])
-    number = (np.cumsum(stands) - 1)[first[group]]
-    del by_row
-    shared, bound = spark.sparkContext.broadcast(bits), pair_bound(len(first))
-
-    def block(at: int) -> np.ndarray:
-        return np.unpackbits(shared.value[at * BLOCK : (at + 1) * BLOCK], axis=1, count=n_rows).astype(np.float32)
-
-    def compare(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for i, j in zip(part.column("i").to_pylist(), part.column("j").to_pylist()):
-                a, b = block(i), block(j)
-                both, both_one = a @ b.T, a[:, :n_one] @ b[:, :n_one].T
-                sides = [(x.sum(1), x[:, :n_one].sum(1)) for x in (a, b)]
-                hopeful, signs = True, []
-                for (n, one), turn in zip(sides, (lambda v: v[:, None], lambda v: v[None, :])):
-                    share = turn(one / n)
-                    move = both_one - both * share
-                    # the gain is below the square of this z value, or not far above
-                    hopeful &= move * move >= 0.6 * bound * both * (1 - both / turn(n)) * share * (1 - share)
-                    hopeful &= (both > 0) & (both < turn(n))
-                    signs.append(move > 0)
-                p, q = np.nonzero(hopeful & (signs[0] == signs[1]))
-                n_both, one_both = both[p, q].astype(np.float64), both_one[p, q].astype(np.float64)
-                good = np.ones(len(p), bool)
-                for (n, one), at in zip(sides, (p, q)):
-                    n, one = n[at].astype(np.float64), one[at].astype(np.float64)
-                    gain = _surprise(n, one) - _surprise(n_both, one_both) - _surprise(n - n_both, one - one_both)
-                    good &= gain >= bound
-                found = np.unique(np.concatenate([i * BLOCK + p[good], j * BLOCK + q[good]]))
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], ["found"])
-
-    blocks = -(-len(first) // BLOCK)
-    turns = [(i, j) for i in range(blocks) for j in range(i, blocks)]
-    jobs = spark.createDataFrame(turns, "i int, j int").repartition(min(len(turns), 4 * spark.sparkContext.defaultParallelism))
-    found = jobs.mapInArrow(compare, "found bigint").distinct().toPandas()["found"].to_numpy(np.int64)
-    shared.unpersist()
-    return tested[np.isin(number, found)]
-
-
-def blank(chosen: np.ndarray, factors: int, seed: int) -> FactorizationMachine:
-    place = np.full(1 << BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    start = np.random.default_rng(seed).normal(0, 0.02, (len(chosen), factors))
-    return FactorizationMachine(place, 0.0, np.zeros(len(chosen)), start)
-
-
-def fit(machine: FactorizationMachine, features: np.ndarray, bounds: np.ndarray, labels: np.ndarray, prior: float,
-        epochs: int = 30, batch: int = 256, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
-    """Fit by Adam on the logistic loss, then move the bias from the sample's class share to ``prior``."""
-    n_features, factors = machine.factors.shape
     rng = np.random.default_rng(seed)
-    parameters = {"weights": machine.weights, "factors": machine.factors}
-    first = {n: np.zeros_like(p) for n, p in parameters.items()}
-    second = {n: np.zeros_like(p) for n, p in parameters.items()}
-    bias_first = bias_second = 0.0
-    step = 0
-    for _ in range(epochs if len(labels) else 0):
-        order = rng.permutation(len(labels))
-        for at in range(0, len(order), batch):
-            step += 1
-            rows = order[at : at + batch]
-            sizes = bounds[rows + 1] - bounds[rows]
-            row = np.repeat(np.arange(len(rows)), sizes)
-            own = features[np.repeat(bounds[rows] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())]
-            v = machine.factors[own]
-            sums = np.stack([np.bincount(row, v[:, k], len(rows)) for k in range(factors)], 1)
-            squares = np.bincount(row, (v * v).sum(1), len(rows))
-            margin = machine.bias + np.bincount(row, machine.weights[own], len(rows)) + ((sums * sums).sum(1) - squares) / 2
-            slope = (1 / (1 + np.exp(-np.clip(margin, -30, 30))) - labels[rows]) / len(rows)
-            pull = slope[row]
-            gradients = {"weights": np.bincount(own, pull, n_features) + decay * machine.weights}
-            pair = pull[:, None] * (sums[row] - v)
-            by_factor = np.stack([np.bincount(own, pair[:, k], n_features) for k in range(factors)], 1)
-            gradients["factors"] = by_factor + decay * machine.factors
-            for name, p in parameters.items():
-                first[name] = 0.9 * first[name] + 0.1 * gradients[name]
-                second[name] = 0.999 * second[name] + 0.001 * gradients[name] ** 2
-                p -= rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.999**step)) + 1e-8)
-            bias_first = 0.9 * bias_first + 0.1 * slope.sum()
-            bias_second = 0.999 * bias_second + 0.001 * slope.sum() ** 2
-            machine.bias -= rate * (bias_first / (1 - 0.9**step)) / (np.sqrt(bias_second / (1 - 0.999**step)) + 1e-8)
-    share = np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3)
-    prior = float(np.clip(prior, 1e-3, 1 - 1e-3))
-    machine.bias += float(np.log(prior / (1 - prior)) - np.log(share / (1 - share)))
-    return machine
+    scale, pair_scale = scales(hashed, bounds, labels, shrink, soft, floor)
+    weights = _Adam(np.zeros(SIZE, np.float32), rate, 1e-7)
+    crossed = _Adam(rng.normal(0, 0.02, (SIZE, factors)).astype(np.float32), pair_rate, 5e-3)
+    bias = _Adam(np.zeros(1, np.float32), rate, 1e-8)
+    every = np.arange(SIZE, dtype=np.int32)
+    machine = FactorizationMachine(0.0, weights.value, crossed.value, scale, pair_scale, radius, every)
+    order = rng.permutation(len(labels))
+    batches = [_Batch(machine, order[at : at + batch], hashed, bounds, labels) for at in range(0, len(order), batch)]
+    n = 0
+    for turn in range(alone + together):
+        for k in rng.permutation(len(batches)):
+            n += 1
+            batches[k].step(weights, crossed if turn >= alone else None, bias, decay, n)
+    known = np.flatnonzero(pair_scale > 0).astype(np.int32)
+    kept = (weights.value * scale, crossed.value * pair_scale[:, None], scale, pair_scale)
+    moved = float(bias.value[0]) + _logit(prior) - _logit(labels.mean())
+    return FactorizationMachine(moved, *[k[known].astype(np.float16) for k in kept], radius, known)
+
+
+class _Batch:
+    """Documents fitted at once: their terms, and where each term occurs."""
+
+    def __init__(self, machine: FactorizationMachine, rows: np.ndarray, hashed: np.ndarray, bounds: np.ndarray, labels: np.ndarray):
+        sizes = bounds[rows + 1] - bounds[rows]
+        self.bounds = np.concatenate([[0], np.cumsum(sizes)])
+        own = hashed[np.repeat(bounds[rows] - self.bounds[:-1], sizes) + np.arange(self.bounds[-1])]
+        self.labels = labels[rows].astype(np.float32)
+        self.alone, self.paired = (s.astype(np.float32) for s in machine.shares(own, self.bounds))
+        self.paired *= self.paired
+        self.terms, place = np.unique(own, return_inverse=True)
+        self.place = place.astype(np.int32)
+        by_term = np.argsort(self.place, kind="stable")
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[by_term]
+        self.term_bounds = np.append(np.searchsorted(self.place[by_term], np.arange(len(self.terms))), len(own))
+        self.scale, self.pair_scale = machine.scale[self.terms], machine.pair_scale[self.terms][:, None]
+
+    def step(self, weights: _Adam, factors: _Adam | None, bias: _Adam, decay: float, n: int) -> None:
+        w = weights.value[self.terms]
+        margin = bias.value[0] + self.alone * _by_row((w * self.scale)[self.place], self.bounds)
+        if factors is not None:
+            v = factors.value[self.terms]
+            x = v * self.pair_scale
+            sums = _by_row(x[self.place], self.bounds)
+            margin = margin + self.paired * ((sums * sums).sum(1) - _by_row((x * x).sum(1)[self.place], self.bounds)) / 2
+        slope = ((1 / (1 + np.exp(-np.clip(margin, -30, 30))) - self.labels) / len(self.labels)).astype(np.float32)
+        pull = _by_row((slope * self.alone)[self.row], self.term_bounds).astype(np.float32)
+        weights.step(self.terms, pull * self.scale + decay * w, n)
+        if factors is not None:
+            slopes = slope * self.paired
+            cross = _by_row((slopes[:, None] * sums).astype(np.float32)[self.row], self.term_bounds)
+            cross = cross - _by_row(slopes[self.row], self.term_bounds)[:, None] * x
+            factors.step(self.terms, (cross * self.pair_scale + decay * v).astype(np.float32), n)
+        bias.step(np.zeros(1, np.int64), np.array([slope.sum()], np.float32), n)
+
+
+_MODEL_COLUMNS = "bias double, weights binary, factors binary, scale binary, pair_scale binary, radius double, known binary"
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Column | None = None,
-          most_per_class: int = 4000, factors: int = 8, least_docs: int = 4, least_z: float = 3.0, most_terms: int | None = None,
-          seed: int = 7) -> FactorizationMachine:
+          most_per_class: int = 4000, factors: int = 8, seed: int = 7) -> FactorizationMachine:
     """Fit on at most ``most_per_class`` labelled training documents of either class.
 
-    A term has a weight and factors if its share differs between the classes
-    (``select_terms``), or if it has a partner beside which it tells them apart
-    (``select_pairs``), however common it is in both. Terms are counted by class
-    on the executors; the driver gets the terms that may be chosen and the
-    sample's documents as lists of those. Labels alone are counted
-    over all rows, for the prior. Without labels of both classes every document
-    gets the prior as its score, about 0 without any label.
+    Each of the 2^20 hashed terms that the sample has gets a weight and ``factors``
+    factors; none is chosen beforehand. The sample is fitted in one task of an
+    executor, which sends the driver the model, at most 28 MB in numbers of two bytes. Labels alone are counted over all rows, for the
+    prior. Without labels of both classes every document gets the prior as its
+    score, about 0 without any label.
+
+    Labels that are null or neither 0 nor 1 are left out; a document labelled
+    twice takes the larger label, one whose id repeats its least text. Documents
+    without a doc_id are not trained on. Null and empty texts have no terms, very
+    long ones are read whole. Columns other than doc_id, text and the label do
+    not matter. The same rows give the same model.
     """
+    ready(docs.sparkSession)
     training = F.lit(True) if training is None else training
     one = labels.where(F.col(label).isin(0, 1) & training).agg(F.avg(label)).first()
     prior = float(one[0] or 0.0)
     sample = saved(labelled(B.id_and_text(docs), labels, label, training, most_per_class), "sample")
-    sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
 
-    def count(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in B.slices(parts):
+    def learn(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, sizes, classes = [], [], []
+        for part in B.slices(parts, most=RATED_BYTES):
             hashed, bounds = terms(part.column("text"))
-            positive = np.repeat(np.asarray(part.column("label")) == 1, np.diff(bounds))
-            found, place = np.unique(hashed, return_inverse=True)
-            in_one = np.bincount(place, positive, len(found)).astype(np.int64)
-            every = np.bincount(place, minlength=len(found))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(found), pa.array(in_one), pa.array(every - in_one)], ["term", "in_one", "in_zero"]
-            )
+            found.append(hashed.astype(np.int32))
+            sizes.append(np.diff(bounds))
+            classes.append(np.asarray(part.column("label")))
+        if not found or len(np.unique(np.concatenate(classes))) < 2:
+            return
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        made = fit(np.concatenate(found), bounds, np.concatenate(classes), prior, factors, seed=seed)
+        arrays = [pa.array([a.tobytes()], pa.binary()) for a in (made.weights, made.factors, made.scale, made.pair_scale, made.known)]
+        yield pa.RecordBatch.from_arrays([pa.array([made.bias]), *arrays[:4], pa.array([made.radius]), arrays[4]], names=_MODEL_NAMES)
 
-    both = sizes.get(0, 0) and sizes.get(1, 0)
-    alone = tested = np.zeros(0, np.int64)
-    if both:
-        counts = saved(sample.mapInArrow(count, "term bigint, in_one bigint, in_zero bigint").groupBy("term").agg(
-            F.sum("in_one").alias("in_one"), F.sum("in_zero").alias("in_zero")
-        ), "terms")
-        alone, tested = select_terms(counts, sizes[1], sizes[0], least_docs, least_z, most_terms), tested_terms(counts)
-    machine = blank(np.union1d(alone, select_pairs(sample, tested)), factors, seed)
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    row = sample.repartition(1).sortWithinPartitions("doc_id").mapInArrow(learn, _MODEL_COLUMNS).first()
+    if row is None:
+        return blank(prior, factors)
+    weights, crossed, scale, pair_scale = (np.frombuffer(row[n], np.float16) for n in _MODEL_NAMES[1:5])
+    known = np.frombuffer(row.known, np.int32)
+    return FactorizationMachine(row.bias, weights, crossed.reshape(len(known), -1), scale, pair_scale, row.radius, known)
 
-    def pick(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        wanted = model.wanted()
-        for part in B.slices(parts):
-            own, bounds = model.features(*terms(part.column("text"), wanted))
-            data = B.binary_array(own.astype("<i4").view(np.uint8), bounds * 4).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), data], ["doc_id", "label", "own"])
 
-    rows = sample.mapInArrow(pick, "doc_id bigint, label int, own binary").orderBy("doc_id").collect()
-    bounds = np.concatenate([[0], np.cumsum([len(r.own) // 4 for r in rows], dtype=np.int64)])
-    features = np.frombuffer(b"".join(r.own for r in rows), "<i4")
-    return fit(machine, features, bounds, np.array([r.label for r in rows], np.int64), prior, seed=seed)
+_MODEL_NAMES = [c.split()[0] for c in _MODEL_COLUMNS.split(", ")]
 
 
 def score(docs: DataFrame, machine: FactorizationMachine, threshold: float = 0.5) -> DataFrame:
@@ -331,16 +292,14 @@ def score(docs: DataFrame, machine: FactorizationMachine, threshold: float = 0.5
 
     Whole texts are read. A null or empty text has no terms and gets the score
     of the bias alone. Repeated rows are scored each, null ids are kept, and
-    other columns are not read. The model has a bounded number of terms.
+    other columns are not read. The model's size does not depend on the input.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(machine)
+    shared = ready(docs.sparkSession).sparkContext.broadcast(machine)
 
     def rate(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        wanted = model.wanted()
-        for part in B.slices(parts):
-            scores = model.scores(*terms(part.column("text"), wanted))
+        model = shared.value.opened()
+        for part in B.slices(parts, most=RATED_BYTES):
+            scores = model.scores(*terms(part.column("text")))
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))],
                 ["doc_id", "score", "predicted"],
@@ -350,14 +309,17 @@ def score(docs: DataFrame, machine: FactorizationMachine, threshold: float = 0.5
 
 
 def keep(docs: DataFrame, machine: FactorizationMachine, threshold: float = 0.5) -> DataFrame:
-    """Rows of docs, with all their columns, whose text scores below the threshold; nothing is joined or shuffled."""
+    """Rows of docs, with all their columns, whose text scores below the threshold; nothing is joined or shuffled.
+
+    A null or empty text has the score of the bias alone. Repeated rows and rows
+    without a doc_id are judged each by its text. An empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def choose(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        wanted = model.wanted()
-        for part in B.slices(parts, most=2 << 20):
-            scores = model.scores(*terms(part.column("text").fill_null(""), wanted))
+        model = shared.value.opened()
+        for part in B.slices(parts, most=RATED_BYTES):
+            scores = model.scores(*terms(part.column("text").fill_null("")))
             yield part.filter(pa.array(scores < threshold))
 
     return docs.mapInArrow(choose, docs.schema)

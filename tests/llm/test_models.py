@@ -44,14 +44,52 @@ def interaction(spark):
 
 
 def test_pairs_are_learned(spark):
+    """At the production defaults."""
     docs, labels = interaction(spark)
-    machine = toxicity.train(docs, labels, least_z=1.0)
-    pair = machine.factors[machine.place[machine.place >= 0]]
-    assert len(pair) and np.abs(machine.factors).max() > 0.1
+    machine = toxicity.train(docs, labels)
+    assert np.abs(machine.factors).max() > 0.1
     got = toxicity.score(docs, machine).join(labels, "doc_id")
     assert got.where("predicted = toxic").count() >= 396
 
 
+def test_margins_are_those_of_a_plain_double_loop():
+    import pyarrow as pa
+    rng = np.random.default_rng(2)
+    texts = [prose("m", 30), "", prose("n", 5), "rotten villagers rotten", prose("o", 3)]
+    known = np.flatnonzero(rng.uniform(size=toxicity.SIZE) < 0.7).astype(np.int32)
+    n = len(known)
+    machine = toxicity.FactorizationMachine(-0.3, rng.normal(0, 1, n), rng.normal(0, 0.5, (n, 8)), rng.uniform(0, 1, n),
+                                            rng.uniform(0, 0.2, n), 3.0, known).opened()
+    found = [sorted(set(hashed) & set(known.tolist())) for hashed in (toxicity.terms(pa.array([t]))[0].tolist() for t in texts)]
+    places, bounds = machine.features(*toxicity.terms(pa.array(texts)))
+    for row, margin in enumerate(machine.margins(places, bounds)):
+        own = [int(machine.place[t]) for t in found[row]]
+        assert own == places[bounds[row]:bounds[row + 1]].tolist()
+        shrunk = [min(1, machine.radius / max(sum(s[t] ** 2 for t in own) ** 0.5, 1e-6)) for s in (machine.scale, machine.pair_scale)]
+        want = machine.bias + shrunk[0] * sum(machine.weights[t] for t in own)
+        for n, one in enumerate(own):
+            for other in own[:n]:
+                want += shrunk[1] ** 2 * float(machine.factors[one] @ machine.factors[other])
+        assert abs(want - margin) < 1e-4
+
+
+def test_terms_are_those_of_a_plain_count():
+    """Words, their beginnings, and marks of repeats, as sets of hashes."""
+    import pyarrow as pa
+    from collections import Counter
+    from tallywatch.llm import batches as B
+    def number(text, size):
+        data = np.frombuffer(text.encode(), np.uint8)
+        stem = B.span_hashes(data, np.array([0]), np.array([min(len(data), size or len(data))]))
+        return int((B.mix64(stem + np.uint64(size)) >> np.uint64(64 - toxicity.BITS))[0])
+    text = "Alpha alpha, beta-beta beta beta gamma alphabetical"
+    counts = Counter(number(w, size) for w in text.lower().replace(",", " ").replace("-", " ").split() for size in (0, *toxicity.STEMS))
+    want = set(counts)
+    for times in toxicity.REPEATS:
+        want |= {int(toxicity._repeated(np.array([t]), times)[0]) for t, n in counts.items() if n >= times}
+    assert toxicity.terms(pa.array([text]))[0].tolist() == sorted(want)
+
+
 def either(first, last):
     """A text is toxic when it has one of two words but not both: either word is as common in both classes."""
     rows, labels = [], []
@@ -111,7 +149,6 @@ def test_features_do_not_depend_on_the_batch():
     hashed, bounds = toxicity.terms(pa.array(texts))
     for n, text in enumerate(texts):
         assert toxicity.terms(pa.array([text]))[0].tolist() == hashed[bounds[n]:bounds[n + 1]].tolist()
-    assert F is not None
 
 
 def test_calibration_takes_all_sampled_negatives(spark, monkeypatch):
