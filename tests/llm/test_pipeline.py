@@ -54,6 +54,20 @@ def test_passages_are_cut_and_columns_stay(spark):
     assert STAGE["suffix-array dedup"](spark, frame(spark, []), SF).count() == 0
 
 
+def test_rows_that_share_an_id_but_not_a_text(spark):
+    """Of near duplicates the least text stays; of passages the least text is cut, the other row stays whole."""
+    shared, other = prose("shared", 40), prose("other", 40)
+    rows = [(1, shared), (2, shared + " tail"), (2, other), (3, other + " end"), (3, other + " end")]
+    for _ in range(2):
+        kept = {(r.doc_id, r.text) for r in STAGE["suffix-array dedup"](spark, frame(spark, rows), SF).collect()}
+        least, more = sorted([shared + " tail", other])
+        cut = {t: next(r for d, r in kept if d == 2 and r != more) for t in (least,)}
+        assert (2, more) in kept and (1, shared) in kept and len(kept) == 4
+        assert len(cut[least]) < len(least) if least.startswith(shared) else cut[least] == least
+    near = STAGE["n-gram Jaccard join"](spark, frame(spark, [(5, "z " + other), (5, "a " + shared), (9, prose("nine", 30))]), SF)
+    assert sorted((r.doc_id, r.text) for r in near.collect()) == [(5, "a " + shared), (9, prose("nine", 30))]
+
+
 def test_run_packs_what_is_left(spark):
     pieces = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     docs = pieces.select("doc_id").distinct().count()
