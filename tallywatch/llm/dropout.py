@@ -20,6 +20,7 @@ _NONE = np.int32(-1)
 _WIDTHS = (3, 5, 7, 9, 11, 13, 16, 20, 28, 48)
 _MOST_UNITS = 400_000
 _LONG = 64
+_CODES = 0x110000
 
 
 def keyed(seed: int, key: np.ndarray, begin: np.ndarray, middle: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -29,6 +30,22 @@ def keyed(seed: int, key: np.ndarray, begin: np.ndarray, middle: np.ndarray, end
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
+_ALL = (1 << 64) - 1
+
+
+def _mix_one(x: int) -> int:
+    """``mix64`` of one number."""
+    x &= _ALL
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _ALL
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & _ALL
+    return x ^ x >> 31
+
+
+def _keyed_one(salted: int, begin: int, middle: int, end: int) -> float:
+    """``keyed`` of one candidate, after the first mix of seed and key."""
+    return (_mix_one(salted + begin * 0x10001 + (middle << 21) + (end << 42)) >> 11) / float(1 << 53)
+
+
 class MergeModel:
     """Pieces, scores and pairs of a SentencePiece BPE file with byte fallback."""
 
@@ -59,26 +76,65 @@ class MergeModel:
                 left, right = self.number.get(piece[:cut]), self.number.get(piece[cut:])
                 if left is not None and right is not None:
                     pairs[left << 20 | right] = whole
-        self._keys = np.array(sorted(pairs), np.int64)
-        self._whole = np.array([pairs[k] for k in self._keys.tolist()], np.int32)
         self._pairs = pairs
-        self._rank = rank
-        self._none = int(rank.max()) + 1
+        self._order = rank.tolist()
+        self._rank = rank.astype(np.int32)
+        self._none = np.int32(rank.max() + 1)
+        self._bits = max(8, 2 + len(pairs).bit_length())
+        self._keys = np.full(1 << self._bits, -1, np.int64)
+        self._whole = np.full(1 << self._bits, _NONE, np.int32)
+        keys, whole = np.array(list(pairs), np.int64), np.array(list(pairs.values()), np.int32)
+        at = self._slot(keys)
+        while len(keys):  # open addressing: one key takes a free place, the others try the next
+            _, first = np.unique(np.where(self._keys[at] < 0, at, -1 - np.arange(len(at))), return_index=True)
+            first = first[self._keys[at[first]] < 0]
+            self._keys[at[first]], self._whole[at[first]] = keys[first], whole[first]
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, whole, at = keys[rest], whole[rest], (at[rest] + 1) % len(self._keys)
+        # neighbours inside some piece; a unit can be cut between any others
+        point = lambda c: 32 if c == SPACE else ord(c)
+        inner = np.array([(point(a), point(b)) for p in self.number for a, b in zip(p, p[1:])], np.int64).reshape(-1, 2)
+        kinds = np.unique(inner)
+        self._number = np.zeros(_CODES, np.int32)
+        self._number[kinds] = np.arange(1, len(kinds) + 1)
+        self._inner = np.zeros((len(kinds) + 1, len(kinds) + 1), bool)
+        self._inner[self._number[inner[:, 0]], self._number[inner[:, 1]]] = True
+        # pieces of single characters: a space is the space mark, a space mark is none
+        self._symbol = np.full(_CODES, _NONE, np.int32)
+        for piece, i in self.number.items():
+            if len(piece) == 1:
+                self._symbol[point(piece)] = i
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self._bits)).astype(np.int64)
+
+    def apart(self, codes: np.ndarray) -> np.ndarray:
+        """Whether a code point can only begin a piece, going by the one before it; the first one can."""
+        kinds = self._number[codes]
+        return np.concatenate([np.ones(min(len(codes), 1), bool), ~self._inner[kinds[:-1], kinds[1:]]])
 
     def joined(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece two neighbours make, or -1."""
         key = left.astype(np.int64) << 20 | right
-        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        return np.where((self._keys[at] == key) & (left >= 0) & (right >= 0), self._whole[at], _NONE)
+        at = self._slot(key)
+        held = self._keys[at]
+        made = np.where((held == key) & (left >= 0) & (right >= 0), self._whole[at], _NONE)
+        rest = np.flatnonzero((held != key) & (held >= 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) % len(self._keys)
+            held = self._keys[at[rest]]
+            hit = rest[held == key[rest]]
+            made[hit] = self._whole[at[hit]]
+            rest = rest[(held != key[rest]) & (held >= 0)]
+        return made
 
     def ranks(self, whole: np.ndarray) -> np.ndarray:
         return np.where(whole >= 0, self._rank[whole], self._none)
 
     def symbols(self, codes: np.ndarray) -> np.ndarray:
-        """Pieces of single characters, -1 for those without: a space is the space mark, a space mark is not."""
-        kinds, place = np.unique(codes, return_inverse=True)
-        found = [self.number.get(SPACE if c == 32 else chr(c), -1) if c != ord(SPACE) else -1 for c in kinds.tolist()]
-        return np.array(found, np.int32)[place]
+        """Pieces of single characters, -1 for those without."""
+        return self._symbol[codes]
 
     def segment(self, codes: np.ndarray, bounds: np.ndarray, keys: np.ndarray, dropout: float, seed: int,
                 met: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -110,7 +166,7 @@ class MergeModel:
         unit, at, made = unit[order], at[order], made[order]
         wide = np.ones(len(made), np.int64)
         bare = np.flatnonzero(made < 0)
-        texts = {c: chr(c).encode() for c in np.unique(codes[at[bare]]).tolist()}
+        texts = {c: chr(c).encode() for c in B.distinct(codes[at[bare]]).tolist()}
         wide[bare] = [len(texts[c]) for c in codes[at[bare]].tolist()]
         out = np.repeat(made, wide)
         place = np.cumsum(wide) - wide
@@ -126,58 +182,53 @@ class MergeModel:
         Gives unit, first character and piece of all that is left, unit by unit.
         """
         size = bounds[units + 1] - bounds[units]
-        wide = int(size.max())
-        n = len(units)
-        column = np.arange(wide + 1)
+        n, width = len(units), int(size.max()) + 1
+        column = np.arange(width, dtype=np.int32)
         inside = column < size[:, None]
-        parts = np.where(inside, symbols[np.minimum(bounds[units][:, None] + column, len(symbols) - 1)], _NONE)
-        begins = np.minimum(np.tile(column, (n, 1)), size[:, None])
-        key, whole = keys[units], np.full((n, wide), _NONE, np.int32)
-        rank = np.full((n, wide), self._none, np.int64)
-        left_over: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def weigh(row: np.ndarray, at: np.ndarray) -> None:
+        key, none = keys[units], self._none
+        parts = np.where(inside, symbols[np.minimum(bounds[units][:, None] + column, len(symbols) - 1)], _NONE).ravel()
+        # the places after and before a part, by the first character of each; the last part ends at the size
+        after = np.minimum(column + 1, size[:, None].astype(np.int32)).ravel()
+        before = np.tile(column - 1, n)
+        stands = inside.ravel()
+        whole = np.full(n * width, _NONE, np.int32)
+        rank = np.full(n * width, none, np.int32)
+
+        def weigh(row: np.ndarray, left: np.ndarray) -> None:
             """Candidates that begin at the given places: their piece and rank, or none if skipped."""
-            made = self.joined(parts[row, at], parts[row, at + 1])
+            spot = row * width + left
+            right = after[spot]
+            other = row * width + right
+            made = self.joined(parts[spot], parts[other])
             if dropout > 0 or met is not None:
                 there = np.flatnonzero(made >= 0)
-                r, a = row[there], at[there]
-                end = np.where(a + 2 <= wide, begins[r, np.minimum(a + 2, wide)], size[r])
+                r, begin, middle, end = row[there], left[there], right[there], after[other[there]]
                 if met is not None:
-                    met.append(np.stack([units[r], begins[r, a], begins[r, a + 1], end]))
-            if dropout > 0:
-                chance = keyed(seed, key[r], begins[r, a], begins[r, a + 1], end)
-                made[there[chance < dropout]] = _NONE
-            whole[row, at], rank[row, at] = made, self.ranks(made)
-
-        def finish(done: np.ndarray) -> None:
-            row, at = np.nonzero(begins[done][:, :wide] < size[done][:, None])
-            left_over.append((units[done][row], begins[done][row, at], parts[done][row, at]))
+                    met.append(np.stack([units[r], begin, middle, end]))
+                if dropout > 0:
+                    made[there[keyed(seed, key[r], begin, middle, end) < dropout]] = _NONE
+            whole[spot], rank[spot] = made, self.ranks(made)
 
-        weigh(*np.nonzero(column[:wide] < size[:, None] - 1))
+        weigh(*np.nonzero(column < size[:, None] - 1))
+        table, active = rank.reshape(n, width), np.arange(n)
         while True:
-            best = rank.argmin(1) if wide else np.zeros(n, np.int64)
-            good = rank[np.arange(len(best)), best] < self._none
+            best = (table if len(active) == n else table[active]).argmin(1)
+            spot = active * width + best
+            good = rank[spot] < none
             if not good.all():
-                finish(np.flatnonzero(~good))
-                units, size, key, best = units[good], size[good], key[good], best[good]
-                parts, begins, whole, rank = parts[good], begins[good], whole[good], rank[good]
-            if not len(units):
+                active, best, spot = active[good], best[good], spot[good]
+            if not len(active):
                 break
-            row = np.arange(len(units))
-            parts[row, best] = whole[row, best]
-            # all that stands right of the pair moves one place to the left
-            moves = column[:wide] > best[:, None]
-            parts[:, :wide] = np.where(moves, parts[:, 1:], parts[:, :wide])
-            begins[:, :wide] = np.where(moves, begins[:, 1:], begins[:, :wide])
-            whole[:, :-1] = np.where(moves[:, :-1], whole[:, 1:], whole[:, :-1])
-            rank[:, :-1] = np.where(moves[:, :-1], rank[:, 1:], rank[:, :-1])
-            parts[:, wide], begins[:, wide] = _NONE, size
-            rank[:, -1] = self._none
-            weigh(row, best)
-            weigh(row[best > 0], best[best > 0] - 1)
-        unit, begin, piece = (np.concatenate(c) for c in zip(*left_over))
-        return unit, begin + bounds[unit], piece
+            gone = active * width + after[spot]
+            parts[spot] = whole[spot]
+            stands[gone], rank[gone] = False, none
+            after[spot] = after[gone]
+            before[active * width + after[spot]] = best
+            weigh(active, best)
+            left = before[spot]
+            weigh(active[left >= 0], left[left >= 0])
+        row, begin = np.divmod(np.flatnonzero(stands), width)
+        return units[row], begin + bounds[units[row]], parts[stands]
 
     def _alone(self, symbol: list[int], key: np.uint64, dropout: float, seed: int, met: list[np.ndarray] | None = None,
                unit: int = 0) -> tuple[list[int], list[int]]:
@@ -185,6 +236,8 @@ class MergeModel:
         n = len(symbol)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         agenda: list[tuple[int, int, int, int, int]] = []
+        salted = _mix_one(int(key) + seed * 0x9E3779B97F4A7C15)
+        order = self._order
 
         def offer(lefts: list[int]) -> None:
             found = []
@@ -193,12 +246,15 @@ class MergeModel:
                 if right < n and symbol[left] >= 0 and symbol[right] >= 0:
                     made = self._pairs.get(symbol[left] << 20 | symbol[right])
                     if made is not None:
-                        found.append((int(self._rank[made]), left, right, after[right], made))
+                        found.append((order[made], left, right, after[right], made))
             if found and met is not None:
                 met.append(np.array([(unit, *f[1:4]) for f in found]).T)
             if found and dropout > 0:
-                spans = np.array([f[1:4] for f in found])
-                chance = keyed(seed, np.full(len(found), key, np.uint64), spans[:, 0], spans[:, 1], spans[:, 2])
+                if len(found) > 8:
+                    spans = np.array([f[1:4] for f in found])
+                    chance = keyed(seed, np.full(len(found), key, np.uint64), spans[:, 0], spans[:, 1], spans[:, 2]).tolist()
+                else:
+                    chance = [_keyed_one(salted, *f[1:4]) for f in found]
                 found = [f for f, c in zip(found, chance) if c >= dropout]
             for f in found:
                 heapq.heappush(agenda, f)
@@ -242,14 +298,14 @@ def _within(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class DropoutEncoder:
     """Encodes texts unit by unit; skips are drawn anew wherever a unit stands.
 
-    A space is put in front of a text. A unit is a run of spaces with the
-    characters after it: no piece goes on after a space that follows something else.
+    A space is put in front of a text. It is cut into units wherever no piece of
+    the vocabulary has the two characters side by side, as before a space that
+    follows something else, or around most signs: no merge can cross there.
     Of units met lately the ids without skips are kept, with the candidates met on
     the way: where none of these is skipped, the ids are the kept ones.
-    ``variants`` has no effect any more; the number of segmentations is not bounded.
     """
 
-    def __init__(self, vocabulary: str, dropout: float, seed: int, variants: int | None = None):
+    def __init__(self, vocabulary: str, dropout: float, seed: int):
         self.model = model_of(vocabulary)
         self.dropout, self.seed = dropout, seed
         self._memory = PieceMemory(self._plain, _MOST_UNITS)
@@ -262,14 +318,14 @@ class DropoutEncoder:
         return self.model.segment(codes, bounds, np.zeros(len(units), np.uint64), 0.0, self.seed, met)
 
     def _plain(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of units without skips."""
-        return self._unskipped(units, None)
+        """Ids of units without skips; the candidates met are kept for ``_met``, which is asked for the same units next."""
+        self._last_met = [np.zeros((4, 0), np.int64)]
+        return self._unskipped(units, self._last_met if self.dropout > 0 else None)
 
     def _met(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Begin, middle and end of each candidate that merging the units without skips meets."""
-        met = [np.zeros((4, 0), np.int64)]
-        self._unskipped(units, met)
-        every = np.concatenate(met, 1)
+        every = np.concatenate(self._last_met, 1)
+        self._last_met = []
         every = every[:, np.argsort(every[0], kind="stable")]
         return every[1:].T.astype(np.int32).ravel(), 3 * np.bincount(every[0], minlength=len(units))
 
@@ -278,11 +334,10 @@ class DropoutEncoder:
         data, bounds = B.flat_bytes(pa.array([" " + t if t else "" for t in texts], pa.large_string()))
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(texts) + 1, np.int64)
-        space = data == 32
-        begins = space.copy()
-        begins[1:] &= ~space[:-1]
-        begins[bounds[:-1][np.diff(bounds) > 0]] = True
-        first = np.flatnonzero(begins)
+        codes, code_bounds = _codes(data, bounds)
+        begins = self.model.apart(codes)
+        begins[code_bounds[:-1][np.diff(code_bounds) > 0]] = True
+        first = np.flatnonzero((data & 0xC0) != 0x80)[begins]
         rows = np.searchsorted(first, bounds)
         starts, widths = first, np.diff(np.append(first, len(data)))
         # skips hang on the document and the place of the unit there
@@ -325,14 +380,12 @@ class DropoutEncoder:
         return data[1:].decode() if data else ""
 
 
-def encode(docs: DataFrame, vocabulary: str = PIECE_VOCABULARY, dropout: float = 0.1, seed: int = 1,
-           variants: int | None = None) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str = PIECE_VOCABULARY, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """doc_id and ids of every document, each candidate merge skipped with chance ``dropout``.
 
     Whether a candidate is skipped is a keyed hash of the seed, the document, the
-    place there of the unit (a run of spaces and what follows up to the next), and
-    the candidate's place in it: each occurrence of a word is drawn on its own.
-    ``variants`` has no effect any more. So a text is cut
+    place there of the unit (a stretch that no merge can leave), and the
+    candidate's place in it: each occurrence of a word is drawn on its own. So a text is cut
     the same way for the same seed on any cluster and otherwise for another one.
     With dropout 0 the ids are the library's. A space mark that stands in the
     text itself is written as bytes, which the library does not do, so that
@@ -340,7 +393,7 @@ def encode(docs: DataFrame, vocabulary: str = PIECE_VOCABULARY, dropout: float =
     doc_id counts as 0 in the choice. Other columns are not read.
     """
     def cut(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = DropoutEncoder(vocabulary, dropout, seed, variants)
+        encoder = DropoutEncoder(vocabulary, dropout, seed)
         for part in B.slices(parts):
             doc_ids = np.asarray(part.column("doc_id").fill_null(0))
             ids, bounds = encoder.encode(doc_ids, part.column("text").to_pylist())
@@ -353,7 +406,7 @@ def encode(docs: DataFrame, vocabulary: str = PIECE_VOCABULARY, dropout: float =
 def decode(encoded: DataFrame, vocabulary: str = PIECE_VOCABULARY) -> DataFrame:
     """doc_id and text of ids; null ids decode to an empty text."""
     def join(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = DropoutEncoder(vocabulary, 0.0, 0, 1)
+        decoder = DropoutEncoder(vocabulary, 0.0, 0)
         for part in parts:
             texts = [decoder.decode(np.array(ids or [], np.int64)) for ids in part.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
@@ -361,14 +414,13 @@ def decode(encoded: DataFrame, vocabulary: str = PIECE_VOCABULARY) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(join, "doc_id bigint, text string")
 
 
-def round_trip(docs: DataFrame, vocabulary: str = PIECE_VOCABULARY, dropout: float = 0.1, seed: int = 1,
-               variants: int | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str = PIECE_VOCABULARY, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """doc_id, n_bytes, n_tokens, ids_crc32 (little-endian 32-bit ids) and whether decoding gives the text back.
 
     Nulls, empty texts, repeats and other columns count as for ``encode``.
     """
     def check(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = DropoutEncoder(vocabulary, dropout, seed, variants)
+        encoder = DropoutEncoder(vocabulary, dropout, seed)
         raw = np.array([len(r) for r in encoder.model.raw])
         table = np.frombuffer(b"".join(encoder.model.raw), np.uint8)
         start = np.concatenate([[0], np.cumsum(raw)])
