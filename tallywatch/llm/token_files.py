@@ -89,7 +89,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each document of the shards: doc_id, start, n_tokens, ids_crc32.
+    """One row for each document of the shards: doc_id, start, n_tokens, ids_crc32, first_id (by access to its place).
 
     ``start`` counts the ids of all documents before it: those of earlier ranges,
     of which there are a bounded number, of earlier shards, and in the shard.
@@ -110,10 +110,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(doc_ids, pa.int64()), pa.array(bounds[:-1] + first + starts[key_range]), pa.array(sizes),
-                     pa.array(crcs, pa.int64())],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
+                     pa.array(crcs, pa.int64()), pa.array(matrix.access(bounds[:-1]))],
+                    ["doc_id", "start", "n_tokens", "ids_crc32", "first_id"],
                 )
 
     return shards.select("key_range", "first_token", "file").mapInArrow(
-        decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+        decode, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, first_id bigint"
     )

@@ -169,7 +169,7 @@ class PieceEncoder:
             keep = kind != 1
             kept = np.concatenate([[0], np.cumsum(keep)])
             data = B.lower_ascii(data[keep])
-            positions = np.unique(kept[np.flatnonzero(cut)])
+            positions = B.distinct(kept[np.flatnonzero(cut)])
             bounds = kept[bounds]
         else:
             positions = np.flatnonzero(cut)

@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from . import batches as B
+
 END = 256
 START = 0
 _BIAS = 128
@@ -119,7 +121,7 @@ class MergeTransducer:
     def _columns_of(self, symbols: np.ndarray) -> np.ndarray:
         columns = self._column[symbols]
         if (columns == 0).any():
-            for symbol in np.unique(symbols[columns == 0]):
+            for symbol in B.distinct(symbols[columns == 0]):
                 self._column[symbol] = len(self._columns)
                 self._columns.append(int(symbol))
             if len(self._columns) > self._table.shape[1]:
@@ -134,7 +136,7 @@ class MergeTransducer:
         missing = cells < 0
         if missing.any():
             wide = self._table.shape[1]
-            for key in np.unique(states[missing] * wide + columns[missing]):
+            for key in B.distinct(states[missing] * wide + columns[missing]):
                 state, column = divmod(int(key), wide)
                 follow, change = self._step(state, self._columns[column])
                 self._table[state, column] = (follow << 8) | (change + _BIAS)

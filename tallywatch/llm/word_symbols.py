@@ -7,6 +7,7 @@ import unicodedata
 
 import numpy as np
 
+from . import batches as B
 from .transducer import END, MergeTransducer
 
 _SPACE, _LETTER, _NUMBER, _OTHER = 0, 1, 2, 3
@@ -71,7 +72,7 @@ class WordSymbols:
     def _learn_all(self, codes: np.ndarray) -> None:
         seen = self._known[codes]
         if not seen.all():
-            for code in np.unique(codes[~seen]):
+            for code in B.distinct(codes[~seen]):
                 self._learn(int(code))
 
     def _plain(self, text: str) -> tuple[str, int]:
