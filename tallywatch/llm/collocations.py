@@ -20,7 +20,7 @@ SIDE = 512
 #: A tile with at least so many pairs in a buffer is counted in a dense array; others as sorted coordinates.
 DENSE = SIDE * SIDE // 8
 #: Pairs or words a task holds before it emits their counts.
-BUFFER = 1 << 21
+BUFFER = 1 << 19
 #: Bits of the field that tells which units are frequent: 16 for each, within these bounds.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 _ROW_BITS = 8 * 4096
@@ -61,7 +61,7 @@ def word_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, groups: lis
 def _count_words(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, kind, word and count, summed over slices until the buffer is full."""
     known: dict[int, list] = {}
-    for part in B.slices(parts):
+    for part in B.slices(parts, most=2 << 20):
         data, starts, ends, _, groups, group = slice_words(part)
         ids, first, times = np.unique(word_ids(data, starts, ends, groups, group), return_index=True, return_counts=True)
         raw = data.tobytes()
@@ -159,7 +159,7 @@ def _count_pairs(docs: DataFrame, levels: list[Level]) -> DataFrame:
     def counted(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = [Level(*level) for level in shared.value]
         held, size = [], 0
-        for part in B.slices(parts):
+        for part in B.slices(parts, most=2 << 20):
             pair = adjacent(part, known)
             held.append(pair)
             size += len(pair[0])
