@@ -35,14 +35,14 @@ def _hubs(edges: DataFrame, per_part: int) -> DataFrame:
     return degree.select("dst", F.ceil(F.col("n") / per_part).cast("bigint").alias("parts"))
 
 
-def _bucketed_by_target(edges: DataFrame, hubs: DataFrame, name: str, path: str) -> DataFrame:
+def _bucketed_by_target(edges: DataFrame, hubs: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Edges as a table bucketed by (dst, part), so that no hop shuffles them again; only hubs have several parts."""
     spark = edges.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = F.pmod(F.xxhash64("src"), F.coalesce("parts", F.lit(1).cast("bigint"))).alias("part")
     cut = edges.join(hubs, "dst", "left").select("src", "dst", part)
     writer = cut.repartition(buckets, "dst", "part").write.bucketBy(buckets, "dst", "part")
-    writer.option("path", path).saveAsTable(name)
+    (writer if path is None else writer.option("path", path)).saveAsTable(name)
     return spark.table(name)
 
 

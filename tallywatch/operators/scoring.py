@@ -13,12 +13,15 @@ from .proximity import with_proximity
 from .velocity import velocity
 
 
-def with_features(hashed: DataFrame, near: DataFrame, window_s: int = 3600) -> DataFrame:
-    """Add ``velocity``, ``hops``, ``list_name``, ``path`` and the ``features`` struct to pseudonymised rows.
+def with_features(hashed: DataFrame, near: DataFrame, window_s: int = 3600, of: DataFrame | None = None) -> DataFrame:
+    """Add ``velocity``, ``hops``, ``list_name``, ``nearer`` and the ``features`` struct to pseudonymised rows.
 
     ``near`` holds the nearest watch list of each account hash, see :func:`graph.nearest_lists`.
+    With ``of``, some of the rows, only these are given; velocity counts all. The velocity goes by the
+    account id where it is still there, which is far shorter than its hash.
     """
-    counted = with_proximity(velocity(hashed, key="account_hash", window_s=window_s), near)
+    key = "account_id" if "account_id" in hashed.columns else "account_hash"
+    counted = with_proximity(velocity(hashed, key=key, window_s=window_s, of=of), near, paths=False)
     return counted.withColumn("features", risk.feature_struct(
         F.col("amount_cents"), F.col("txn_type"), F.col("timestamp_ns"), F.col("velocity"), F.col("hops")
     ))
@@ -37,9 +40,12 @@ def with_score(featured: DataFrame, load_model: Callable | None = None, threshol
 
 
 def anomaly_detail(ledger: DataFrame, scored: DataFrame) -> DataFrame:
-    """Ledger records, one per id, with the score computed where the amounts are known."""
+    """Ledger records, one per id, with the score computed where the amounts are known.
+
+    ``nearer`` names the party nearer to a list; :func:`proximity.with_paths` adds the transfers.
+    """
     extra = scored.select(
-        "txn_id", "counterparty_hash", "score", "reconstruction_loss", "hops", "list_name", "path", "flag_reason",
+        "txn_id", "counterparty_hash", "score", "reconstruction_loss", "hops", "list_name", "nearer", "flag_reason",
         "features", "behavioral_delta",
     )
     return spread_join(ledger, extra, ["txn_id"], "inner")

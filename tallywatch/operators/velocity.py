@@ -78,13 +78,18 @@ def velocity(
     window_s: int = 3600,
     slot_s: int = 1,
     out: str = "velocity",
+    of: DataFrame | None = None,
 ) -> DataFrame:
     """Add the number of the key's rows in (t - window, t], the current row included.
 
+    All rows of ``df`` are counted; the counts are given to ``of``, some rows of
+    ``df``, or to all of them.
+
     Rows at the same instant count each other. Rows collapse to instants before
     the first shuffle; the counts return by a join on (key, instant). A null
     key has no count.
     """
     instants = df.where(F.col(key).isNotNull()).groupBy(key, ts).agg(F.count("*").alias("_n"))
     counts = instant_velocity(instants, key, ts, "_n", window_s, slot_s)
-    return df.join(counts.withColumnRenamed("velocity", out), [key, ts], "left").select(*df.columns, out)
+    rows = df if of is None else of
+    return rows.join(counts.withColumnRenamed("velocity", out), [key, ts], "left").select(*rows.columns, out)

@@ -262,7 +262,7 @@ def first_anomalies(spark, sf):
 def alert_feed(spark, sf):
     """The ten newest anomalies by severity."""
     newest = feeds.newest(fx.hashed_txns(spark, sf).where(F.col("anomaly_score") >= 0.75), 10)
-    placed = with_proximity(newest, fx.nearest(spark, sf))
+    placed = with_proximity(newest, fx.nearest(spark, sf), paths=False)
     flag = flag_reason(F.col("anomaly_score"), F.col("hops"), F.col("list_name"), F.lit(0.0))
     return feeds.alert_feed(placed.withColumn("flag_reason", flag), 10)
 

@@ -20,12 +20,12 @@ from .sqltext import HOUR, OFFHOURS, STATUS, WEEKDAY, WEEKEND, benford_gap, digi
 SCORE_THRESHOLD = 0.32
 
 
-def featured(spark, sf):
-    return with_features(fx.hashed_txns(spark, sf), fx.nearest(spark, sf))
+def featured(spark, sf, near=None):
+    return with_features(fx.hashed_txns(spark, sf), fx.nearest(spark, sf) if near is None else near)
 
 
-def scored(spark, sf):
-    return with_score(featured(spark, sf), threshold=SCORE_THRESHOLD)
+def scored(spark, sf, near=None):
+    return with_score(featured(spark, sf, near), threshold=SCORE_THRESHOLD)
 
 
 @query(f"""{views('scored')} SELECT txn_type, status, count(*) AS n, round(avg(score), 6) AS avg_score,
@@ -65,7 +65,7 @@ def status_and_severity(spark, sf):
 
 
 def placed(spark, sf):
-    return with_proximity(fx.hashed_txns(spark, sf), fx.nearest(spark, sf))
+    return with_proximity(fx.hashed_txns(spark, sf), fx.nearest(spark, sf), paths=False)
 
 
 @query(f"""{views('near')} SELECT txn_id, CASE WHEN anomaly_score > 0.85 AND hops <= 2 THEN list_name
@@ -145,7 +145,8 @@ def model_scores(spark, sf):
     FROM scored s JOIN way w ON w.node = s.party JOIN way b ON b.node = w.node AND b.seq = w.seq - 1""")
 def proximity_paths(spark, sf):
     """Transfers from each transaction's nearer party to the watch list."""
-    return proximity_edges(scored(spark, sf))
+    near = fx.nearest(spark, sf)
+    return proximity_edges(scored(spark, sf, near), near)
 
 
 @query(f"""{views('scored', 'ledger')} SELECT l.txn_id, l.binding_hash, l.status, round(s.score, 9) AS score, s.hops,

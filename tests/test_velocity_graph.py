@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallywatch.operators.graph import hops_to_blacklist, nearest_lists, transfer_edges
-from tallywatch.operators.proximity import proximity_edges, with_proximity
+from tallywatch.operators.proximity import proximity_edges, with_paths, with_proximity
+from tallywatch.operators.scoring import with_features
 from tallywatch.operators.velocity import velocity
 
 NS = 10**9
@@ -159,3 +160,23 @@ def test_hub_with_half_of_all_edges(spark):
     got = {r["node"]: r["hops"] for r in hops_to_blacklist(df, spark.createDataFrame([("hub",)], "node string"), 5, per_part=40).collect()}
     assert got == {"hub": 0, **{f"n{i}": 1 for i in range(300)}, **{f"m{i}": 2 for i in range(300)}}
     assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_paths_only_where_wanted(spark):
+    """Features carry no path; the edges from a later look-up are those of the whole rows, ties and far rows included."""
+    pairs = [("a", "b"), ("b", "x"), ("c", "d"), ("e", "f"), ("f", "y"), ("a", "e"), ("x", "y"), ("c", None)]
+    txns = spark.createDataFrame(
+        [(f"T{n}", a, b, a, b, 100, "NEFT", n) for n, (a, b) in enumerate(pairs)],
+        "txn_id string, account_id string, counterparty_id string, account_hash string, counterparty_hash string, "
+        "amount_cents bigint, txn_type string, timestamp_ns bigint")
+    lists = spark.createDataFrame([("x", 1, "L"), ("y", 1, "L")], "node string, tier int, list_name string")
+    near = nearest_lists(transfer_edges(txns, "account_hash", "counterparty_hash"), lists, 5)
+    whole = with_proximity(txns, near)
+    features = with_features(txns, near)
+    assert "path" not in features.columns
+    ends = {r.txn_id: (r.path or [None])[0] for r in whole.collect()}
+    assert {r.txn_id: r.nearer for r in features.collect()} == ends
+    assert ends["T5"] == "a" and ends["T2"] is None
+    edges = lambda rows: sorted(tuple(r) for r in rows.collect())
+    assert edges(proximity_edges(features, near)) == edges(proximity_edges(whole)) != []
+    assert {r.txn_id: len(r.path) for r in with_paths(features, near).collect()} == {r.txn_id: len(r.path) for r in whole.collect()}
