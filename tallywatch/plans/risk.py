@@ -155,7 +155,11 @@ def proximity_paths(spark, sf):
 def anomaly_details(spark, sf):
     """Quarantined ledger records with their score."""
     held = fx.ledger(spark, sf).where(F.col("status") == "QUARANTINED")
-    return anomaly_detail(held, scored(spark, sf)).select(
+    hashed, near = fx.hashed_txns(spark, sf), fx.nearest(spark, sf)
+    # only what is held is joined and scored; velocity counts all rows
+    of = hashed.join(held.select("txn_id"), "txn_id", "left_semi")
+    scores = with_score(with_features(hashed, near, of=of), threshold=SCORE_THRESHOLD)
+    return anomaly_detail(held, scores).select(
         "txn_id", "binding_hash", "status", F.round("score", 9).alias("score"), "hops", "list_name", "flag_reason",
         "counterparty_hash", F.round("features.log_amount", 9).alias("log_amount"),
     )

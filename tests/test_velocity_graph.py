@@ -180,3 +180,15 @@ def test_paths_only_where_wanted(spark):
     edges = lambda rows: sorted(tuple(r) for r in rows.collect())
     assert edges(proximity_edges(features, near)) == edges(proximity_edges(whole)) != []
     assert {r.txn_id: len(r.path) for r in with_paths(features, near).collect()} == {r.txn_id: len(r.path) for r in whole.collect()}
+
+
+def test_features_of_some_rows_count_all(spark):
+    """Rows left out of the result still count in the velocity of the others."""
+    txns = spark.createDataFrame(
+        [(f"T{n}", f"A{n % 2}", "B", f"A{n % 2}", "B", 100, "NEFT", n) for n in range(10)],
+        "txn_id string, account_id string, counterparty_id string, account_hash string, counterparty_hash string, "
+        "amount_cents bigint, txn_type string, timestamp_ns bigint")
+    lists = spark.createDataFrame([("B", 1, "L")], "node string, tier int, list_name string")
+    near = nearest_lists(transfer_edges(txns, "account_hash", "counterparty_hash"), lists, 5)
+    some = with_features(txns, near, of=txns.where("txn_id in ('T7', 'T8')"))
+    assert {(r.txn_id, r.velocity, r.hops) for r in some.collect()} == {("T7", 4, 0), ("T8", 5, 0)}
