@@ -171,3 +171,14 @@ def test_a_few_ids_do_not_shuffle_the_ledger(spark, tmp_path):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert sorted((r.txn_id, r.found) for r in rows) == [("T17", True), ("T5", True), ("T5", True), ("T99999", False)]
     assert "BroadcastHashJoin" in plan and "LeftSemi" in plan
+
+
+def test_a_token_of_every_row_is_collapsed_before_the_shuffle(spark):
+    """Search for leaked ids: one aggregate over the value, no join that one value could crowd into a task."""
+    from tallywatch.operators.privacy import leaked_ids
+    raw = spark.range(2000).select(F.concat(F.lit("ACC-"), F.col("id")).alias("account_id"), F.lit("ACC-7").alias("counterparty_id"))
+    export = raw.select(F.lit("ok").alias("memo"), F.when(F.col("account_id") == "ACC-3", F.lit("to ACC-7 of ACC-7")).alias("note"))
+    found = leaked_ids(export, raw)
+    plan = planned(found)
+    assert "Join" not in plan and re.search(r"Exchange hashpartitioning\(value.*partial_", plan, re.S)
+    assert [tuple(r) for r in found.collect()] == [("note", "ACC-7", 2)]
