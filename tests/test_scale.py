@@ -182,3 +182,13 @@ def test_a_token_of_every_row_is_collapsed_before_the_shuffle(spark):
     plan = planned(found)
     assert "Join" not in plan and re.search(r"Exchange hashpartitioning\(value.*partial_", plan, re.S)
     assert [tuple(r) for r in found.collect()] == [("note", "ACC-7", 2)]
+
+
+def test_resolved_ledger_carries_no_column_twice(spark):
+    from tallywatch.plans.ingest import ledger_round_trip
+    plan = ledger_round_trip(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "commitment_b64" not in plan and "account_hash" not in plan
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("a", 3, None), ("b", None, None)], "k string, seq int, v string")
+    assert {tuple(r) for r in latest_by(df, ["k"], ["seq", "v"]).collect()} == {("a", 3, "y"), ("b", None, None)}
+    assert "max_by" not in planned(latest_by(df, ["k"], ["seq", "v"]))
+    assert {tuple(r) for r in latest_by(df.select("k"), ["k"], ["k"]).collect()} == {("a",), ("b",)}
