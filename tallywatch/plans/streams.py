@@ -28,8 +28,8 @@ DRAIN = {"availableNow": True}
 RESUME_AT = 1704844800_000_000_000
 
 
-#: Rows of a file of a delivery; a larger delivery has several files, which are read as one batch.
-FILE_ROWS = 1_000_000
+#: Rows of a file of a delivery; a larger delivery has several files, which are read as one batch, a task each.
+FILE_ROWS = 100_000
 
 
 def deliver(rows, name, parts, n):
@@ -90,7 +90,7 @@ def commit_from_feed(spark, sf):
     out = work_dir(spark, "commits")
     commit_stream(feed_stream(spark, sf), out, fx.KEY, f"{out}/_checkpoint", trigger=DRAIN).awaitTermination()
     frames = {name: spark.read.parquet(f"{out}/{name}") for name in ("committed", "anomalies")}
-    frames["ledger"] = read_ledger(spark, f"{out}/ledger")
+    frames["ledger"] = read_ledger(spark, f"{out}/ledger", columns=["txn_id", "binding_hash", "status"])
     rows = [f.select(F.lit(name).alias("output"), "txn_id", "binding_hash", "status") for name, f in frames.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
 

@@ -192,3 +192,12 @@ def test_resolved_ledger_carries_no_column_twice(spark):
     assert {tuple(r) for r in latest_by(df, ["k"], ["seq", "v"]).collect()} == {("a", 3, "y"), ("b", None, None)}
     assert "max_by" not in planned(latest_by(df, ["k"], ["seq", "v"]))
     assert {tuple(r) for r in latest_by(df.select("k"), ["k"], ["k"]).collect()} == {("a",), ("b",)}
+
+
+def test_large_deliveries_have_several_files(spark, monkeypatch):
+    """A file is one task of a batch: half a million rows of a delivery are not left to one."""
+    from tallywatch.plans import streams
+    folders = []
+    monkeypatch.setattr(streams, "work_dir", lambda spark, name: folders.append(work_dir(spark, name)) or folders[-1])
+    streams.deliver(spark.range(1000), "wide", [F.lit(True)], 2_000_000)
+    assert len(spark.read.parquet(folders[0]).inputFiles()) == 5
