@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tallywatch.llm import quality, toxicity
-from tallywatch.llm.graph import saved
+from tallywatch.llm.graph import saved, tidy
 from tallywatch.llm.jaccard import jaccard_components
 from tallywatch.llm.marks import marked, marks_of
 from tallywatch.llm.packing import pack
@@ -34,7 +34,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     other columns there are. Without labels, or of one class only, nothing is
     called toxic unless labelled texts mostly are. An empty table stays empty.
     """
-    ready(spark)
+    tidy(ready(spark))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep(docs, toxicity.train(docs, labels, training=~toxicity.held_out()))
 
@@ -46,7 +46,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     without words; repeated rows, rows without a doc_id and extra columns do not
     matter. An empty table stays empty.
     """
-    ready(spark)
+    tidy(ready(spark))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.keep(docs, quality.train(docs, labels, training=~quality.held_out()))
 
@@ -58,7 +58,7 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     doc_id all stay. Null and empty texts have no copies. Only rows that may have
     to go are shuffled.
     """
-    ready(spark)
+    tidy(ready(spark))
     linked = saved(jaccard_components(docs, words=5, percent=80).where("doc_id is not null"), "near")
     copies = linked.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times"))
     doubtful = saved(copies.where("doc_id <> component_id or times > 1"), "near")
@@ -82,7 +82,7 @@ def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     doc_id, stay whole. Null and empty texts stay as they are. Documents that lose
     nothing are not shuffled.
     """
-    ready(spark)
+    tidy(ready(spark))
     left = remove_repeats(docs).where("n_removed > 0").select("doc_id", "mark", "kept").dropDuplicates(["doc_id", "mark"])
 
     def readable(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,7 +116,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Null and empty texts are their end id alone, very long ones are cut, repeated
     rows and rows without a doc_id are packed each. An empty table gives no row.
     """
-    ready(spark)
+    tidy(ready(spark))
     return pack(docs)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.joins import spread_join
 from ..session import work_dir
@@ -17,6 +17,15 @@ def saved(frame: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def tidy(spark: SparkSession) -> None:
+    """Collect the driver's garbage between steps, as Spark itself does every half hour.
+
+    Plans of finished steps would fill the driver's heap up to its limit before
+    they go, and only a collection lets Spark's cleaner remove their broadcasts.
+    """
+    spark._jvm.java.lang.System.gc()
+
+
 def release(*tables: DataFrame) -> None:
     """Delete the files of saved tables that no later step reads."""
     for table in tables:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import batches as B
-from .graph import components, release, saved
+from .graph import components, release, saved, tidy
 from .marks import hits, marks_of, with_place
 from .segments import PROBE, signatures
 
@@ -305,19 +305,25 @@ def link_classes(docs: DataFrame, described: DataFrame, known: DataFrame, rows:
     fresh = saved(_ordered(ties), "pairs")
     ids = fresh.select(F.col("a").alias("doc_id")).unionByName(fresh.select(F.col("b").alias("doc_id"))).distinct()
     sets = saved(_sets_of(docs, ids, words), "shingles")
+    tidy(docs.sparkSession)
     links = _verified(fresh, sets, percent)
+    tidy(docs.sparkSession)
     found = components(links)
+    tidy(docs.sparkSession)
     sampled = saved(_sampled(_apart(ties, found)).join(fresh, ["a", "b"], "left_anti"), "pairs")
     gained = _verified(sampled, sets, percent)
+    tidy(docs.sparkSession)
     if not gained.isEmpty():
         links = links.unionByName(gained)
         found = components(links)
     fresh = fresh.unionByName(sampled)
+    tidy(docs.sparkSession)
     rest = saved(_across(_apart(ties, found), sets, percent), "pairs")
     gained = _verified(rest.join(fresh, ["a", "b"], "left_anti"), sets, percent)
     if not gained.isEmpty():
         found = components(links.unionByName(gained))
     release(ties, sets, sampled, rest)
+    tidy(docs.sparkSession)
     final = known.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "n_shingles", "h1", "h2", F.coalesce("component", "class_id").alias("component_id")
     )
