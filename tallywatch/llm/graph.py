@@ -60,6 +60,7 @@ def components(links: DataFrame) -> DataFrame:
         small = small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         old, edges = edges, saved(small.where("u <> v").distinct(), "edges")
         release(old)
+        tidy(edges.sparkSession)
         now = _size(edges)
         if now == before:
             break

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.joins import spread_join
 from . import batches as B
 from .graph import components, release, saved, tidy
 from .marks import hits, marks_of, with_place
@@ -310,7 +311,10 @@ def link_classes(docs: DataFrame, described: DataFrame, known: DataFrame, rows:
     tidy(docs.sparkSession)
     found = components(links)
     tidy(docs.sparkSession)
-    sampled = saved(_sampled(_apart(ties, found)).join(fresh, ["a", "b"], "left_anti"), "pairs")
+    members = _apart(ties, found)
+    placed = saved(_largest(members), "members")
+    sampled = saved(_sampled(placed).join(fresh, ["a", "b"], "left_anti"), "pairs")
+    release(ties, placed)
     gained = _verified(sampled, sets, percent)
     tidy(docs.sparkSession)
     if not gained.isEmpty():
@@ -318,11 +322,12 @@ def link_classes(docs: DataFrame, described: DataFrame, known: DataFrame, rows:
         found = components(links)
     fresh = fresh.unionByName(sampled)
     tidy(docs.sparkSession)
-    rest = saved(_across(_apart(ties, found), sets, percent), "pairs")
+    apart = _still_apart(members, found)
+    rest = _across(apart, sets, percent)
     gained = _verified(rest.join(fresh, ["a", "b"], "left_anti"), sets, percent)
     if not gained.isEmpty():
         found = components(links.unionByName(gained))
-    release(ties, sets, sampled, rest)
+    release(members, apart, sets, sampled, rest)
     tidy(docs.sparkSession)
     final = known.join(found.withColumnRenamed("node", "class_id"), "class_id", "left").select(
         "n_shingles", "h1", "h2", F.coalesce("component", "class_id").alias("component_id")
@@ -333,32 +338,47 @@ def link_classes(docs: DataFrame, described: DataFrame, known: DataFrame, rows:
 
 
 def _apart(ties: DataFrame, found: DataFrame) -> DataFrame:
-    """Members (sig, node, component) of the signatures whose members are not all in one component."""
+    """Members (sig, node, component) of the signatures whose members are not all in one component.
+
+    A signature with a single tie has two members, a pair that was verified
+    already. Ties are placed once, in files, and each gives both its ends.
+    """
     one = found.select(F.col("node").alias("a"), F.col("component").alias("component_a"))
     two = found.select(F.col("node").alias("b"), F.col("component").alias("component_b"))
-    placed = ties.where("sig <> 0").join(one, "a", "left").join(two, "b", "left").select(
+    placed = saved(ties.where("sig <> 0").join(one, "a", "left").join(two, "b", "left").select(
         "sig", "a", "b", F.coalesce("component_a", "a").alias("component_a"), F.coalesce("component_b", "b").alias("component_b")
-    )
-    open_ = placed.where("component_a <> component_b").select("sig").distinct()
-    members = placed.join(open_, "sig", "left_semi")
-    return members.select("sig", F.col("a").alias("node"), F.col("component_a").alias("component")).unionByName(
-        members.select("sig", F.col("b").alias("node"), F.col("component_b").alias("component"))
-    ).distinct()
+    ), "placed")
+    by_sig = placed.groupBy("sig").agg(F.max(F.col("component_a") != F.col("component_b")).alias("apart"), F.count("*").alias("n"))
+    ends = F.array(*[F.struct(F.col(x).alias("node"), F.col(f"component_{x}").alias("component")) for x in ("a", "b")])
+    open_ = spread_join(placed, by_sig.where("apart and n > 1").select("sig"), ["sig"], "left_semi")
+    members = saved(open_.select("sig", F.explode(ends).alias("end")).select("sig", "end.*").distinct(), "members")
+    release(placed)
+    return members
+
+
+def _still_apart(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Those members, with their present components, whose signatures are not in one component yet: components only merge."""
+    now = members.select("sig", "node").join(found, "node", "left").select("sig", "node", F.coalesce("component", "node").alias("component"))
+    now = saved(now, "members")
+    ends = now.groupBy("sig").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    apart = saved(spread_join(now, ends.where("least <> most").select("sig"), ["sig"], "left_semi"), "members")
+    release(now)
+    return apart
 
 
 def _largest(members: DataFrame) -> DataFrame:
     """Members with the largest component of their signature."""
     counted = members.groupBy("sig", "component").agg(F.count("*").alias("n"))
-    return members.join(counted.groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("largest")), "sig")
+    largest = counted.groupBy("sig").agg(F.max_by("component", F.struct("n", "component")).alias("largest"))
+    return spread_join(members, largest, ["sig"], "inner")
 
 
-def _sampled(members: DataFrame) -> DataFrame:
+def _sampled(placed: DataFrame) -> DataFrame:
     """Pairs of each member outside its signature's largest component with a few of that component, chosen by hash.
 
     Near copies hang together in so many ways that these few pairs join nearly
     all of them; what they leave apart is compared in full afterwards.
     """
-    placed = _largest(members)
     main = placed.where("component = largest").groupBy("sig").agg(
         *[F.min_by("node", F.xxhash64("node", "sig", F.lit(n))).alias(f"m{n}") for n in range(SAMPLES)])
     other = placed.where("component <> largest").select("sig", "node").join(main, "sig")
@@ -381,4 +401,6 @@ def _across(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     one, other = side("a").where("not main_a"), side("b")
     apart = (F.col("component_a") != F.col("component_b")) & (F.col("main_b") | (F.col("a") < F.col("b")))
     pairs = one.withColumnRenamed("sig", "sig_a").join(other, (F.col("sig_a") == F.col("sig")) & apart & _may_link(percent))
-    return _ordered(pairs.select("a", "b"))
+    rest = saved(_ordered(pairs.select("a", "b")), "pairs")
+    release(sketched)
+    return rest
