@@ -53,19 +53,30 @@ def _spread(frontier: DataFrame, hubs: DataFrame, *more: str) -> DataFrame:
     return frontier.join(hubs, frontier["node"] == hubs["dst"], "left").select(F.col("node").alias("dst"), parts.alias("part"), *more)
 
 
+def _met(incoming: DataFrame, frontier: DataFrame, hubs: DataFrame, *more: str) -> DataFrame:
+    """Edges into the frontier. The frontier's part of a bucket is hashed, at most its nodes, and edges stream past unsorted."""
+    spread = _spread(frontier, hubs, *more).hint("shuffle_hash")
+    return incoming.join(spread, ["dst", "part"], "inner" if more else "left_semi")
+
+
 @contextmanager
 def _incoming(edges: DataFrame, per_part: int) -> Iterator[tuple[DataFrame, DataFrame]]:
     """Edges bucketed by their target, and hubs, while a search lasts; the table lies in the shared folder."""
     spark = edges.sparkSession
     shared_dir(spark)
-    name, path = "edges_" + uuid.uuid4().hex, work_dir(spark, "edges")
-    edges = edges.select("src", "dst").checkpoint()
-    hubs = _hubs(edges, per_part).checkpoint()
+    name, path, plain = "edges_" + uuid.uuid4().hex, work_dir(spark, "edges"), work_dir(spark, "pairs")
     try:
+        edges.select("src", "dst").write.parquet(f"{plain}/edges")
+        edges = spark.read.schema(edges.select("src", "dst").schema).parquet(f"{plain}/edges")
+        # files have a size, so the join to a few hubs needs no shuffle of the edges
+        hubs = _hubs(edges, per_part)
+        hubs.write.parquet(f"{plain}/hubs")
+        hubs = spark.read.schema(hubs.schema).parquet(f"{plain}/hubs")
         yield _bucketed_by_target(edges, hubs, name, path), hubs
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove_dir(spark, path)
+        remove_dir(spark, plain)
 
 
 def hops_to_blacklist(edges: DataFrame, blacklist: DataFrame, max_hops: int = 5, per_part: int = 1_000_000) -> DataFrame:
@@ -73,8 +84,8 @@ def hops_to_blacklist(edges: DataFrame, blacklist: DataFrame, max_hops: int = 5,
 
     ``edges`` comes from :func:`transfer_edges`, ``blacklist`` has (node). A breadth-first search
     against the edge direction. The edges are written once, bucketed by the
-    node they end in; each hop joins the frontier to them, keeps each new node
-    once, and is checkpointed in the shared folder. Edges into a hub are cut by
+    node they end in; each hop hashes the frontier and streams them past it, so
+    that no hop shuffles or sorts them, keeps each new node once, and is checkpointed in the shared folder. Edges into a hub are cut by
     their source into as many parts as its degree asks for, ``per_part`` edges
     each, and only hubs are repeated in the frontier. The table of edges is
     dropped with its files when the search ends.
@@ -83,7 +94,7 @@ def hops_to_blacklist(edges: DataFrame, blacklist: DataFrame, max_hops: int = 5,
         frontier = blacklist.select("node").distinct().withColumn("hops", F.lit(0)).checkpoint()
         reached = frontier
         for hop in range(1, max_hops + 1):
-            found = incoming.join(_spread(frontier, hubs), ["dst", "part"]).select(F.col("src").alias("node")).distinct()
+            found = _met(incoming, frontier, hubs).select(F.col("src").alias("node")).distinct()
             new = found.join(reached.select("node"), "node", "left_anti")
             frontier = new.withColumn("hops", F.lit(hop)).checkpoint()
             if frontier.isEmpty():
@@ -114,7 +125,7 @@ def nearest_lists(edges: DataFrame, lists: DataFrame, max_hops: int = 5, per_par
         frontier = start.select(*columns, F.array("node").alias("path")).withColumn("hops", F.lit(0)).checkpoint()
         reached = frontier
         for hop in range(1, max_hops + 1):
-            met = incoming.join(_spread(frontier, hubs, "tier", "list_name", "path"), ["dst", "part"])
+            met = _met(incoming, frontier, hubs, "tier", "list_name", "path")
             met = met.select(F.col("src").alias("node"), F.struct("tier", "list_name", F.col("dst").alias("next"), "path").alias("way"))
             new = met.join(reached.select("node"), "node", "left_anti").groupBy("node").agg(F.min("way").alias("best"))
             path = F.concat(F.array("node"), "best.path").alias("path")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywatch.operators.commit import commit_table
 from tallywatch.operators.feeds import last_per_topic, newest
-from tallywatch.operators.graph import _bucketed_by_target, _hubs, _spread
+from tallywatch.operators.graph import _bucketed_by_target, _hubs, _incoming, _met, _spread
 from tallywatch.operators.rules import unusual_place
 from tallywatch.operators.verify import lookup, verify_claims
 from tallywatch.operators.velocity import velocity
@@ -126,6 +126,19 @@ def test_edges_are_not_shuffled_again(spark):
     spark.sql(f"DROP TABLE {name}")
 
 
+def test_edges_are_not_sorted_for_a_hop(spark):
+    """Edges lie in columnar files and stream past the frontier."""
+    edges = spark.range(1000).select(F.col("id").cast("string").alias("src"), (F.col("id") % 7).cast("string").alias("dst"))
+    listed = spark.createDataFrame([("3", "x")], "node string, tag string").checkpoint()
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"), _incoming(edges, 100) as (incoming, hubs):
+        for more in ([], ["tag"]):
+            met = _met(incoming, listed, hubs, *more).select("src", *more)
+            plan = planned(met)
+            edges_side = plan[plan.index("ShuffledHashJoin"):]
+            assert "Bucketed: true" in plan and "Sort" not in edges_side[: edges_side.index("FileScan")]
+            assert met.count() == 143
+
+
 def test_stored_ledger_is_read_in_part(spark):
     """Two columns for a verification, and a filter on the day that passes the last write per id."""
     path = work_dir(spark, "stored")
