@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterable, Iterator
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,25 @@ def id_and_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+_held: dict[str, object] = {}
+
+
+def held(name: str, make: Callable[[], object]) -> object:
+    """What an earlier task of this process made under the name, or else made now."""
+    if name not in _held:
+        _held[name] = make()
+    return _held[name]
+
+
+def let_go(but: str | None = None) -> None:
+    """Drop what tasks of another kind left in this process; a vocabulary would lie beside the work of all later stages."""
+    others = [n for n in _held if n != but]
+    for name in others:
+        del _held[name]
+    if others:
+        gc.collect()
+
+
 def give_back() -> None:
     """Return memory that earlier work of this process has freed to the system: workers are used again by later stages."""
     pa.default_memory_pool().release_unused()
@@ -27,8 +47,12 @@ def give_back() -> None:
         trim(0)
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that a slice holds about ``most`` bytes of text; a longer text stands alone."""
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, using: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that a slice holds about ``most`` bytes of text; a longer text stands alone.
+
+    Of what is held in this process only the object named ``using`` stays.
+    """
+    let_go(using)
     give_back()
     for batch in batches:
         _, bounds = flat_bytes(batch.column(column))

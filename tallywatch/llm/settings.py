@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 from ..session import ship_package
 
 #: Arrow batches of whole texts; several workers of an executor hold one each.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def ready(spark: SparkSession) -> SparkSession:

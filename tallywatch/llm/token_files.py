@@ -37,7 +37,7 @@ def write_shards(docs: DataFrame, path: str, vocabulary: str = WORD_VOCABULARY,
 
     def encode(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = encoder(vocabulary)
-        for part in B.slices(parts, most=8 << 20):
+        for part in B.slices(parts, most=8 << 20, using=vocabulary):
             ids, bounds = tokenizer.encode(part.column("text"))
             if len(ids) and int(ids.max()) >> levels:
                 raise ValueError(f"an id needs more than {levels} bits")

@@ -181,11 +181,6 @@ class PieceEncoder:
         return np.searchsorted(positions, bounds), ids, sizes
 
 
-_encoders: dict[str, PieceEncoder] = {}
-
-
-def encoder(vocabulary: str) -> PieceEncoder:
-    """The encoder of a file, kept for the life of the process."""
-    if vocabulary not in _encoders:
-        _encoders[vocabulary] = PieceEncoder(vocabulary)
-    return _encoders[vocabulary]
+def encoder(vocabulary: str, most_pieces: int = MOST_PIECES) -> PieceEncoder:
+    """The encoder of a file, held in the process until a task cuts slices for something else."""
+    return B.held(vocabulary, lambda: PieceEncoder(vocabulary, most_pieces))

@@ -19,7 +19,7 @@ STEMS = (4, 5, 6, 7, 8)
 REPEATS = (2, 4)
 SIZE = 1 << BITS
 #: Texts are rated and fitted in slices of so many bytes: all terms of a slice are held with their factors.
-RATED_BYTES = 2 << 20
+RATED_BYTES = 1 << 19
 
 
 def _apart() -> np.ndarray:
@@ -97,9 +97,8 @@ class FactorizationMachine:
     known: np.ndarray
 
     def opened(self) -> FactorizationMachine:
-        """The same with wide numbers, and the place of each known term."""
-        wide = [a.astype(np.float32) for a in (self.weights, self.factors, self.scale, self.pair_scale)]
-        made = FactorizationMachine(self.bias, *wide, self.radius, self.known)
+        """The same with the place of each known term. Numbers become wide when they are used: every worker has this beside the model."""
+        made = FactorizationMachine(self.bias, self.weights, self.factors, self.scale, self.pair_scale, self.radius, self.known)
         made.place = np.full(SIZE, -1, np.int32)
         made.place[self.known] = np.arange(len(self.known))
         return made
@@ -119,9 +118,9 @@ class FactorizationMachine:
 
     def margins(self, hashed: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         alone, paired = self.shares(hashed, bounds)
-        x = self.factors[hashed]
+        x = self.factors[hashed].astype(np.float32)
         sums, squares = _by_row(x, bounds), _by_row((x * x).sum(1), bounds)
-        return self.bias + alone * _by_row(self.weights[hashed], bounds) + paired**2 * ((sums * sums).sum(1) - squares) / 2
+        return self.bias + alone * _by_row(self.weights[hashed].astype(np.float32), bounds) + paired**2 * ((sums * sums).sum(1) - squares) / 2
 
     def scores(self, hashed: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margins(*self.features(hashed, bounds)), -30, 30)))
@@ -273,6 +272,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Co
             return
         bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
         made = fit(np.concatenate(found), bounds, np.concatenate(classes), prior, factors, seed=seed)
+        found.clear()
+        B.give_back()
         arrays = [pa.array([a.tobytes()], pa.binary()) for a in (made.weights, made.factors, made.scale, made.pair_scale, made.known)]
         yield pa.RecordBatch.from_arrays([pa.array([made.bias]), *arrays[:4], pa.array([made.radius]), arrays[4]], names=_MODEL_NAMES)
 
