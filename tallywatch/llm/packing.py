@@ -146,6 +146,10 @@ def _pack_partition(parts, vocabulary, size, windows, end_id, least_cut):
     left = [row for rows in waiting.values() for row in rows]
     if left:
         yield batch(left, True)
+    # an executor has more workers than tasks; those that wait would hold a vocabulary each
+    del tokenizer
+    B.let_go()
+    B.give_back()
 
 
 def _merge_windows(group: pd.DataFrame, size: int, windows: int, merged_partitions: int) -> pd.DataFrame:

@@ -137,6 +137,16 @@ def blank(prior: float, factors: int = 8, radius: float = 3.0) -> FactorizationM
     return FactorizationMachine(_logit(prior), none, np.zeros((0, factors), np.float16), none, none, radius, np.zeros(0, np.int32))
 
 
+def documents_with(hashed: np.ndarray, bounds: np.ndarray, weights: np.ndarray, most: int = 256) -> np.ndarray:
+    """For each term the weights of the documents that have it, summed for ``most`` documents at a time: numpy widens what it counts."""
+    out = np.zeros(SIZE)
+    for at in range(0, len(weights), most):
+        part = slice(at, at + most)
+        own = bounds[at : at + most + 1]
+        out += np.bincount(hashed[own[0] : own[-1]], np.repeat(weights[part], np.diff(own)), SIZE)
+    return out
+
+
 def scales(hashed: np.ndarray, bounds: np.ndarray, labels: np.ndarray, shrink: float, soft: float, floor: float) -> tuple[np.ndarray, np.ndarray]:
     """Inputs of all terms, for weights and for pairs: how much a fit may lean on each.
 
@@ -147,8 +157,7 @@ def scales(hashed: np.ndarray, bounds: np.ndarray, labels: np.ndarray, shrink: f
     """
     n, ones = len(labels), max(int(labels.sum()), 1)
     zeros = max(n - int(labels.sum()), 1)
-    docs = np.bincount(hashed, minlength=SIZE).astype(np.float64)
-    in_one = np.bincount(hashed, np.repeat(labels, np.diff(bounds)), SIZE)
+    docs, in_one = documents_with(hashed, bounds, np.ones(n)), documents_with(hashed, bounds, labels)
     share = docs / n
     pairs = docs / (docs + shrink) * (1 - share)
     spread = np.maximum(share * (1 - share) * (1 / ones + 1 / zeros), 1e-12)
@@ -161,7 +170,7 @@ class _Adam:
 
     def __init__(self, start: np.ndarray, rate: float, least: float):
         self.value, self.rate, self.least = start, rate, least
-        self.first, self.second = np.zeros_like(start), np.zeros_like(start)
+        self.first, self.second = np.zeros(start.shape, start.dtype), np.zeros(start.shape, start.dtype)
 
     def step(self, rows: np.ndarray, gradient: np.ndarray, n: int) -> None:
         first = 0.9 * self.first[rows] + 0.1 * gradient
@@ -178,64 +187,92 @@ def fit(hashed: np.ndarray, bounds: np.ndarray, labels: np.ndarray, prior: float
     ``alone`` rounds fit the weights; ``together`` rounds more fit weights and
     factors, so pairs learn what single terms leave unexplained. A batch's step
     touches its own terms only. Factors take full steps only where their
-    gradients are not small.
+    gradients are not small. Parameters of terms that the sample lacks are not
+    held, and of the terms themselves one copy, in the order of the batches.
     """
     rng = np.random.default_rng(seed)
     scale, pair_scale = scales(hashed, bounds, labels, shrink, soft, floor)
-    weights = _Adam(np.zeros(SIZE, np.float32), rate, 1e-7)
-    crossed = _Adam(rng.normal(0, 0.02, (SIZE, factors)).astype(np.float32), pair_rate, 5e-3)
+    there = documents_with(hashed, bounds, np.ones(len(labels))) > 0
+    present = np.flatnonzero(there).astype(np.int32)
+    scale, pair_scale = scale[present], pair_scale[present]
+    weights = _Adam(np.zeros(len(present), np.float32), rate, 1e-7)
+    crossed = _Adam(_normal_rows(rng, there, factors), pair_rate, 5e-3)
     bias = _Adam(np.zeros(1, np.float32), rate, 1e-8)
-    every = np.arange(SIZE, dtype=np.int32)
-    machine = FactorizationMachine(0.0, weights.value, crossed.value, scale, pair_scale, radius, every)
+    machine = FactorizationMachine(0.0, weights.value, crossed.value, scale, pair_scale, radius, present).opened()
     order = rng.permutation(len(labels))
     batches = [_Batch(machine, order[at : at + batch], hashed, bounds, labels) for at in range(0, len(order), batch)]
+    place = machine.place
+    del hashed
+    B.give_back()
     n = 0
     for turn in range(alone + together):
         for k in rng.permutation(len(batches)):
             n += 1
-            batches[k].step(weights, crossed if turn >= alone else None, bias, decay, n)
-    known = np.flatnonzero(pair_scale > 0).astype(np.int32)
+            batches[k].step(weights, crossed if turn >= alone else None, bias, decay, n, place)
+    batches.clear()
+    known = np.flatnonzero(pair_scale > 0)
     kept = (weights.value * scale, crossed.value * pair_scale[:, None], scale, pair_scale)
     moved = float(bias.value[0]) + _logit(prior) - _logit(labels.mean())
-    return FactorizationMachine(moved, *[k[known].astype(np.float16) for k in kept], radius, known)
+    return FactorizationMachine(moved, *[k[known].astype(np.float16) for k in kept], radius, present[known])
+
+
+def _normal_rows(rng: np.random.Generator, wanted: np.ndarray, factors: int, rows: int = 1 << 14) -> np.ndarray:
+    """The wanted rows of first factors, drawn for all terms some rows at a time."""
+    drawn = (rng.normal(0, 0.02, (len(part), factors)).astype(np.float32)[part] for part in np.split(wanted, range(rows, len(wanted), rows)))
+    return np.concatenate(list(drawn))
 
 
 class _Batch:
-    """Documents fitted at once: their terms, and where each term occurs."""
+    """Documents fitted at once: their terms, and where each term occurs. All batches are held, so each in few bytes a term."""
 
     def __init__(self, machine: FactorizationMachine, rows: np.ndarray, hashed: np.ndarray, bounds: np.ndarray, labels: np.ndarray):
         sizes = bounds[rows + 1] - bounds[rows]
+        self.machine = machine
         self.bounds = np.concatenate([[0], np.cumsum(sizes)])
-        own = hashed[np.repeat(bounds[rows] - self.bounds[:-1], sizes) + np.arange(self.bounds[-1])]
+        self.own = machine.place[hashed[np.repeat(bounds[rows] - self.bounds[:-1], sizes) + np.arange(self.bounds[-1])]]
         self.labels = labels[rows].astype(np.float32)
-        self.alone, self.paired = (s.astype(np.float32) for s in machine.shares(own, self.bounds))
+        self.alone, self.paired = (s.astype(np.float32) for s in machine.shares(self.own, self.bounds))
         self.paired *= self.paired
-        self.terms, place = np.unique(own, return_inverse=True)
-        self.place = place.astype(np.int32)
-        by_term = np.argsort(self.place, kind="stable")
-        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[by_term]
-        self.term_bounds = np.append(np.searchsorted(self.place[by_term], np.arange(len(self.terms))), len(own))
-        self.scale, self.pair_scale = machine.scale[self.terms], machine.pair_scale[self.terms][:, None]
-
-    def step(self, weights: _Adam, factors: _Adam | None, bias: _Adam, decay: float, n: int) -> None:
+        by_term = np.argsort(self.own, kind="stable")
+        self.row = np.repeat(np.arange(len(rows), dtype=np.min_scalar_type(len(rows) - 1)), sizes)[by_term]
+        ordered = self.own[by_term]
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+        self.terms = ordered[first]
+        self.term_bounds = np.append(first, len(ordered)).astype(np.int32)
+
+    def step(self, weights: _Adam, factors: _Adam | None, bias: _Adam, decay: float, n: int, place: np.ndarray) -> None:
+        scale, pair_scale = self.machine.scale[self.terms], self.machine.pair_scale[self.terms][:, None]
         w = weights.value[self.terms]
-        margin = bias.value[0] + self.alone * _by_row((w * self.scale)[self.place], self.bounds)
+        place[self.terms] = np.arange(len(self.terms), dtype=np.int32)  # room for it is shared by all batches
+        place = place[self.own]
+        margin = bias.value[0] + self.alone * _by_row((w * scale)[place], self.bounds)
         if factors is not None:
             v = factors.value[self.terms]
-            x = v * self.pair_scale
-            sums = _by_row(x[self.place], self.bounds)
-            margin = margin + self.paired * ((sums * sums).sum(1) - _by_row((x * x).sum(1)[self.place], self.bounds)) / 2
+            x = v * pair_scale
+            sums = _by_row(x[place], self.bounds)
+            margin = margin + self.paired * ((sums * sums).sum(1) - _by_row((x * x).sum(1)[place], self.bounds)) / 2
         slope = ((1 / (1 + np.exp(-np.clip(margin, -30, 30))) - self.labels) / len(self.labels)).astype(np.float32)
         pull = _by_row((slope * self.alone)[self.row], self.term_bounds).astype(np.float32)
-        weights.step(self.terms, pull * self.scale + decay * w, n)
+        weights.step(self.terms, pull * scale + decay * w, n)
         if factors is not None:
             slopes = slope * self.paired
             cross = _by_row((slopes[:, None] * sums).astype(np.float32)[self.row], self.term_bounds)
             cross = cross - _by_row(slopes[self.row], self.term_bounds)[:, None] * x
-            factors.step(self.terms, (cross * self.pair_scale + decay * v).astype(np.float32), n)
+            factors.step(self.terms, (cross * pair_scale + decay * v).astype(np.float32), n)
         bias.step(np.zeros(1, np.int64), np.array([slope.sum()], np.float32), n)
 
 
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts in one array; the list is emptied, and each part goes as it is copied."""
+    whole, at = np.empty(sum(map(len, parts)), np.int32), 0
+    parts.reverse()
+    while parts:
+        part = parts.pop()
+        whole[at : at + len(part)] = part
+        at += len(part)
+    return whole
+
+
 _MODEL_COLUMNS = "bias double, weights binary, factors binary, scale binary, pair_scale binary, radius double, known binary"
 
 
@@ -271,8 +308,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", training: Co
         if not found or len(np.unique(np.concatenate(classes))) < 2:
             return
         bounds = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-        made = fit(np.concatenate(found), bounds, np.concatenate(classes), prior, factors, seed=seed)
-        found.clear()
+        made = fit(_joined(found), bounds, np.concatenate(classes), prior, factors, seed=seed)
         B.give_back()
         arrays = [pa.array([a.tobytes()], pa.binary()) for a in (made.weights, made.factors, made.scale, made.pair_scale, made.known)]
         yield pa.RecordBatch.from_arrays([pa.array([made.bias]), *arrays[:4], pa.array([made.radius]), arrays[4]], names=_MODEL_NAMES)

@@ -61,3 +61,24 @@ def test_narrow_numbers_score_as_wide_ones():
     wide = toxicity.FactorizationMachine(-0.3, *[a.astype(np.float32) for a in (narrow.weights, narrow.factors, narrow.scale, narrow.pair_scale)], 3.0, narrow.known)
     found = toxicity.terms(texts(40, 300).column("text"))
     assert (narrow.opened().scores(*found) == wide.opened().scores(*found)).all()
+
+
+def sample(docs, each):
+    rng = np.random.default_rng(9)
+    hashed = np.concatenate([np.sort(rng.choice(toxicity.SIZE >> 1, each, replace=False)) for _ in range(docs)]).astype(np.int32)
+    return hashed, np.arange(docs + 1) * each, np.arange(docs) % 2
+
+
+def test_a_fit_holds_few_bytes_for_each_term_of_the_sample():
+    found = sample(1500, 2000)
+    tracemalloc.start()
+    toxicity.fit(*found, 0.5, alone=1, together=1)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 240 << 20, peak
+
+
+def test_first_factors_are_those_drawn_for_all_terms():
+    wanted = np.random.default_rng(3).uniform(size=100_000) < 0.3
+    whole = np.random.default_rng(7).normal(0, 0.02, (len(wanted), 8)).astype(np.float32)
+    assert (toxicity._normal_rows(np.random.default_rng(7), wanted, 8) == whole[wanted]).all()
