@@ -47,6 +47,15 @@ def give_back() -> None:
         trim(0)
 
 
+def lean(task: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The task, after whose end its last arrays are given back too: its worker may wait long for the next one."""
+    def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from task(parts)
+        give_back()
+
+    return run
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES, using: str | None = None) -> Iterator[pa.RecordBatch]:
     """Cut batches so that a slice holds about ``most`` bytes of text; a longer text stands alone.
 

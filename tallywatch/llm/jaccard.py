@@ -56,7 +56,7 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
                 ["doc_id", "n_shingles", "h1", "h2"],
             )
 
-    return B.id_and_text(docs).mapInArrow(measure, _SET_COLUMNS)
+    return B.id_and_text(docs).mapInArrow(B.lean(measure), _SET_COLUMNS)
 
 
 def _stars(rows: DataFrame, partitions: int) -> DataFrame:
@@ -103,7 +103,7 @@ def _stars(rows: DataFrame, partitions: int) -> DataFrame:
     deal = F.when(F.col("other").isNull(), F.shiftright("sig", 2)).otherwise(F.col("other"))
     return (
         rows.repartition(partitions, deal).sortWithinPartitions("sig", "node")
-        .mapInArrow(link, "sig bigint, a bigint, b bigint")
+        .mapInArrow(B.lean(link), "sig bigint, a bigint, b bigint")
     )
 
 
@@ -143,7 +143,7 @@ def _document_entries(docs: DataFrame, words: int, percent: int) -> DataFrame:
             if len(sigs):
                 yield entries(sigs, h1[fresh][owner])
 
-    return B.id_and_text(docs).where("doc_id is not null").mapInArrow(enter, "sig bigint, node bigint, other bigint")
+    return B.id_and_text(docs).where("doc_id is not null").mapInArrow(B.lean(enter), "sig bigint, node bigint, other bigint")
 
 
 def _sketches(shingles: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -199,7 +199,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(marks_of(ids))
     placed = with_place(B.id_and_text(docs), len(shared.value))
     columns = ", ".join(f"{c} bigint" for c in _SKETCH_COLUMNS)
-    found = placed.mapInArrow(collect, f"doc_id bigint, h1 bigint, size bigint, shingles binary, fine binary, {columns}")
+    found = placed.mapInArrow(B.lean(collect), f"doc_id bigint, h1 bigint, size bigint, shingles binary, fine binary, {columns}")
     return found.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id", "h1"]).drop("h1")
 
 
@@ -244,10 +244,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     left, right = _sides(sets, "size", *_SKETCH_COLUMNS)
     near = pairs.join(left, "a").join(right, "b").where(_may_link(percent)).select("a", "b")
     left, right = _sides(sets, "size", "fine")
-    near = saved(near.join(right, "b").join(left, "a").mapInArrow(finer, "a bigint, b bigint"), "near")
+    near = saved(near.join(right, "b").join(left, "a").mapInArrow(B.lean(finer), "a bigint, b bigint"), "near")
     left, right = _sides(sets, "shingles")
     both = near.join(right, "b").join(left, "a")
-    links = both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(check, "a bigint, b bigint").distinct()
+    links = both.select("a", "b", "shingles_a", "shingles_b").mapInArrow(B.lean(check), "a bigint, b bigint").distinct()
     links = saved(links, "links")
     release(near)
     return links

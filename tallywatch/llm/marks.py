@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .batches import lean
+
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 28
 _ROW_BITS = 8 * 4096
 
@@ -58,4 +60,4 @@ def marked(rows: DataFrame, field: np.ndarray, hit: bool) -> DataFrame:
     def keep(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from hits(parts, shared.value, hit)
 
-    return with_place(rows, len(field)).mapInArrow(keep, rows.schema)
+    return with_place(rows, len(field)).mapInArrow(lean(keep), rows.schema)

@@ -109,7 +109,7 @@ def _pack_partition(parts, vocabulary, size, windows, end_id, least_cut):
         columns += [pa.array([partition] * len(rows), pa.int32()), pa.array([is_open] * len(rows), pa.bool_())]
         return pa.RecordBatch.from_arrays(columns, [*names, "partition", "open"])
 
-    for part in B.slices(parts, most=2 << 20, using=vocabulary):
+    for part in B.slices(parts, most=1 << 20, using=vocabulary):
         done: list[tuple] = []
         ids, bounds = tokenizer.encode(part.column("text"))
         for doc_id, begin, end in zip(part.column("doc_id").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):

@@ -216,7 +216,7 @@ def score(docs: DataFrame, model: PuClassifier, threshold: float = 0.7) -> DataF
                 ["doc_id", "score", "predicted"],
             )
 
-    return B.id_and_text(docs).mapInArrow(rate, "doc_id bigint, score double, predicted int")
+    return B.id_and_text(docs).mapInArrow(B.lean(rate), "doc_id bigint, score double, predicted int")
 
 
 def keep(docs: DataFrame, model: PuClassifier, threshold: float = 0.7) -> DataFrame:
@@ -229,7 +229,7 @@ def keep(docs: DataFrame, model: PuClassifier, threshold: float = 0.7) -> DataFr
             scores = model.scores(features(part.column("text").fill_null("")))
             yield part.filter(pa.array(scores >= threshold))
 
-    return docs.mapInArrow(choose, docs.schema)
+    return docs.mapInArrow(B.lean(choose), docs.schema)
 
 
 def held_out(folds: int = 4, fold: int = 2) -> Column:

@@ -52,7 +52,7 @@ def _context_rows(docs: DataFrame, window: int) -> DataFrame:
             )
 
     rows = B.id_and_text(docs).where("doc_id is not null")
-    return rows.mapInArrow(cut, f"anchor bigint, context bigint, doc_id bigint, {_PLACE}, known boolean")
+    return rows.mapInArrow(B.lean(cut), f"anchor bigint, context bigint, doc_id bigint, {_PLACE}, known boolean")
 
 
 def _sorted_out(rows: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
     return (
         rows.repartition(partitions, deal)
         .sortWithinPartitions("anchor", "context", F.col("known").desc(), "doc_id", "place")
-        .mapInArrow(sort_out, f"anchor bigint, doc_id bigint, {_PLACE}, repeat boolean")
+        .mapInArrow(B.lean(sort_out), f"anchor bigint, doc_id bigint, {_PLACE}, repeat boolean")
     )
 
 
@@ -132,7 +132,7 @@ def _with_flanks(docs: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
                 )
 
     return texts.join(needed, "doc_id").mapInArrow(
-        cut, "anchor bigint, doc_id bigint, at bigint, least int, most int, left binary, right binary"
+        B.lean(cut), "anchor bigint, doc_id bigint, at bigint, least int, most int, left binary, right binary"
     )
 
 
@@ -342,4 +342,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, most_contexts: int = M
                 ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "mark"],
             )
 
-    return all_rows.mapInArrow(cut, "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, mark bigint")
+    return all_rows.mapInArrow(B.lean(cut), "doc_id bigint, kept binary, n_bytes bigint, n_removed bigint, n_spans bigint, mark bigint")

@@ -342,7 +342,7 @@ def score(docs: DataFrame, machine: FactorizationMachine, threshold: float = 0.5
                 ["doc_id", "score", "predicted"],
             )
 
-    return B.id_and_text(docs).mapInArrow(rate, "doc_id bigint, score double, predicted int")
+    return B.id_and_text(docs).mapInArrow(B.lean(rate), "doc_id bigint, score double, predicted int")
 
 
 def keep(docs: DataFrame, machine: FactorizationMachine, threshold: float = 0.5) -> DataFrame:
@@ -359,7 +359,7 @@ def keep(docs: DataFrame, machine: FactorizationMachine, threshold: float = 0.5)
             scores = model.scores(*terms(part.column("text").fill_null("")))
             yield part.filter(pa.array(scores < threshold))
 
-    return docs.mapInArrow(choose, docs.schema)
+    return docs.mapInArrow(B.lean(choose), docs.schema)
 
 
 def held_out(folds: int = 5, fold: int = 0) -> Column:

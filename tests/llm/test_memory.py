@@ -82,3 +82,17 @@ def test_first_factors_are_those_drawn_for_all_terms():
     wanted = np.random.default_rng(3).uniform(size=100_000) < 0.3
     whole = np.random.default_rng(7).normal(0, 0.02, (len(wanted), 8)).astype(np.float32)
     assert (toxicity._normal_rows(np.random.default_rng(7), wanted, 8) == whole[wanted]).all()
+
+
+def test_what_a_task_held_is_given_back_when_it_has_ended(monkeypatch):
+    gone = []
+
+    def task(parts):
+        array = np.zeros(1000)
+        there.append(weakref.ref(array))
+        for part in parts:
+            yield part
+
+    there = []
+    monkeypatch.setattr(B, "give_back", lambda: gone.append(there[0]() is None))
+    assert len(list(B.lean(task)([texts(1, 3)]))) == 1 and gone == [True]
